@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, packing, quality_rules
+from . import line_dedup, minhash_dedup, packing, quality_rules
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,7 +17,9 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op1_pack_powers_of_two(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=False).select(
+        "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"
+    )
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +28,10 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text"), 256).alias("kept_sha256"))
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.classes(_documents(spark, sf_dir)).select("doc_id", "class_id")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir).select("doc_id", "text")
     judged = quality_rules.metrics(quality_rules.cascade(docs, verdict_col="rejected_by"))
@@ -41,5 +47,6 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack_powers_of_two": op1_pack_powers_of_two,
     "op5_line_dedup": op5_line_dedup,
+    "op9_near_duplicates": op9_near_duplicates,
     "op10_quality_rules": op10_quality_rules,
 }
