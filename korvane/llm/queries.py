@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, minhash_dedup, packing, quality_rules
+from . import line_dedup, minhash_dedup, packing, quality_rules, secret_scan
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +22,12 @@ def op1_pack_powers_of_two(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.find_secrets(_documents(spark, sf_dir)).select(
+        "doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_live", "n_example"
+    )
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir).select("doc_id", "text")
     kept = line_dedup.dedup_lines(docs)
@@ -46,6 +52,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack_powers_of_two": op1_pack_powers_of_two,
+    "op2_secret_ownership": op2_secret_ownership,
     "op5_line_dedup": op5_line_dedup,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_quality_rules": op10_quality_rules,
