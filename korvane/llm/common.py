@@ -4,9 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: White space of the contracts: space and U+0009 to U+000D.
@@ -53,12 +51,10 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def rows_of(text: Callable[[list], dict], schema: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A mapInArrow function from one that turns a batch's columns (name to list) into columns."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = text(batch)
-            yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in schema], schema=schema)
-
-    return run
+def small_batches(df: DataFrame, rows: int = 500) -> DataFrame:
+    """``df``, after its session is told to hand Python this many rows at a time at most: texts may be long."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark = df.sparkSession
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, rows)
+    return df

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .common import fresh, materialise
+from .common import fresh, materialise, small_batches
 
 MIN_CHARS, MIN_DOCS = 20, 3
 #: Distinct hashes in a shard, and the rows that one task should read at most; both only steer the cost.
@@ -230,7 +230,7 @@ def dedup_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
 
     A null text stays one empty line and becomes the empty text.
     """
-    index = line_index(docs, text_col, id_col, min_chars, min_docs)
+    index = line_index(small_batches(docs), text_col, id_col, min_chars, min_docs)
     drops = lines_to_drop(docs, index, text_col, id_col, min_chars)
 
     @F.pandas_udf("text string, n_lines long, n_dropped long")

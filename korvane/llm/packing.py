@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, small_batches
 from .tokens import encoder
 
 MAX_LENGTH, END_ID = 4096, 2
@@ -54,7 +54,7 @@ def piece_rows(docs: DataFrame, tokenizer: str, text_col: str, id_col: str, long
                 columns = list(zip(*rows, strict=True)) or [()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip([*columns, all_ids], schema, strict=False)], schema=schema)
 
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    rows = small_batches(docs).select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
     return rows.mapInArrow(run, ", ".join(f"{c} long" for c, _ in fields) + ", ids array<int>" * with_ids)
 
 

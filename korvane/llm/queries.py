@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, minhash_dedup, packing, quality_rules, secret_scan
+from . import byte_bpe, line_dedup, minhash_dedup, packing, quality_rules, rans_files, secret_scan
+from .common import shared_dir
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,6 +36,17 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text"), 256).alias("kept_sha256"))
 
 
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return byte_bpe.digests(_documents(spark, sf_dir), path, public_tokenizers.PATTERN)
+
+
+def op8_rans_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/korvane/{spark.sparkContext.applicationId}/ids-{uuid.uuid4().hex}"
+    rans_files.write_ids(_documents(spark, sf_dir), path, public_tokenizers.path("byte_bpe_50k.json"))
+    return rans_files.read_ids(spark, path, with_ids=False)
+
+
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.classes(_documents(spark, sf_dir)).select("doc_id", "class_id")
 
@@ -54,6 +67,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack_powers_of_two": op1_pack_powers_of_two,
     "op2_secret_ownership": op2_secret_ownership,
     "op5_line_dedup": op5_line_dedup,
+    "op7_byte_bpe": op7_byte_bpe,
+    "op8_rans_files": op8_rans_files,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_quality_rules": op10_quality_rules,
 }

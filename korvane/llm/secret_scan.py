@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, materialise
+from .common import fresh, materialise, small_batches
 
 # Fixed values of the base.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -102,7 +102,7 @@ def scan(docs: DataFrame, text_col: str, id_col: str, repository: Column, owner:
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], *[pa.array(c, f.type) for c, f in zip(made, list(schema)[5:], strict=True)]], schema=schema)
 
     text = F.col(f"`{text_col}`")
-    rows = docs.select(
+    rows = small_batches(docs).select(
         F.monotonically_increasing_id().alias("uid"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"),
         repository.cast("string").alias("repository"), owner.cast("string").alias("owner"), text.alias("text"),
     )

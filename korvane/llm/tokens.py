@@ -15,7 +15,7 @@ import numpy as np
 from tokenizers import Tokenizer
 
 #: Pieces kept in a worker; beyond it the store starts anew, which costs time only.
-CACHE_PIECES = 700_000
+CACHE_PIECES = 500_000
 JOINED = re.compile(r"\s \s|^ |^\s+$")
 #: Punctuation that both vocabularies encode apart from the letters before it.
 TAIL = ".,;:!?"
@@ -23,6 +23,22 @@ TAIL = ".,;:!?"
 LATIN = "\u0250"
 
 
+def cut_pieces(texts: list[str]) -> tuple[list[list[str | tuple[str]]], list[int]]:
+    """The pieces of each text between single spaces, and the texts that must not be cut (they have none here).
+
+    A piece in a tuple begins its text; the others follow a space, which isn't in them.
+    """
+    cut, whole = [], []
+    for i, text in enumerate(texts):
+        if JOINED.search(text):
+            whole.append(i)
+            cut.append([])
+        else:
+            first, *rest = text.split(" ")
+            cut.append([(first,), *rest])
+    return cut, whole
+
+
 class PieceEncoder:
     """Encodes texts to little-endian unsigned 32-bit ids, as bytes.
 
@@ -82,17 +98,10 @@ class PieceEncoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         texts = [t or "" for t in texts]
-        whole, cut = [], []
-        for i, t in enumerate(texts):
-            if not self.keeps_space:
-                pieces = t.replace("\n", " ").split(" ")
-            elif JOINED.search(t):
-                whole.append(i)
-                pieces = []
-            else:
-                pieces = t.split(" ")
-                pieces[0] = (pieces[0],)
-            cut.append(pieces)
+        if self.keeps_space:
+            cut, whole = cut_pieces(texts)
+        else:
+            cut, whole = [t.replace("\n", " ").split(" ") for t in texts], []
         if len(self.store) > CACHE_PIECES:
             self.store = {}
         self._learn(list(set().union(*cut).difference(self.store)))
