@@ -37,22 +37,21 @@ def piece_rows(docs: DataFrame, tokenizer: str, text_col: str, id_col: str, long
     end = end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer, False).encode
+        encode = encoder(tokenizer, False).encode_column
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                some = batch.slice(at, 1000)
-                rows, all_ids = [], []
-                for doc_id, data in zip(some.column(0).to_pylist(), encode(some.column(1).to_pylist()), strict=True):
-                    data += end
-                    n, start = len(data) // 4, 0
-                    for length in piece_lengths(n, longest):
-                        piece = data[4 * start : 4 * (start + length)]
-                        rows.append((doc_id, start, length, zlib.crc32(piece), n))
-                        if with_ids:
-                            all_ids.append(memoryview(piece).cast("i").tolist())
-                        start += length
-                columns = list(zip(*rows, strict=True)) or [()] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip([*columns, all_ids], schema, strict=False)], schema=schema)
+            rows, all_ids = [], []
+            ids, cuts = encode(batch.column(1))
+            for doc_id, a, b in zip(batch.column(0).to_pylist(), cuts.tolist(), cuts[1:].tolist(), strict=False):
+                data = ids[a:b].tobytes() + end
+                n, start = len(data) // 4, 0
+                for length in piece_lengths(n, longest):
+                    piece = data[4 * start : 4 * (start + length)]
+                    rows.append((doc_id, start, length, zlib.crc32(piece), n))
+                    if with_ids:
+                        all_ids.append(memoryview(piece).cast("i").tolist())
+                    start += length
+            columns = list(zip(*rows, strict=True)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip([*columns, all_ids], schema, strict=False)], schema=schema)
 
     rows = small_batches(docs).select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
     return rows.mapInArrow(run, ", ".join(f"{c} long" for c, _ in fields) + ", ids array<int>" * with_ids)

@@ -8,47 +8,86 @@ vocabularies join it, and the whole text is encoded instead. Plain words are enc
 from __future__ import annotations
 
 import os
-import re
 from functools import cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
-#: Pieces kept in a worker; beyond it the store starts anew, which costs time only.
-CACHE_PIECES = 500_000
-JOINED = re.compile(r"\s \s|^ |^\s+$")
+#: Pieces in a generation of a worker's store. Two generations are kept: what the younger one lacks and the older one
+#: has moves on, the rest goes. This bounds memory and costs time only.
+CACHE_PIECES = 300_000
+#: White space on both sides of a space, before the text, or alone; Arrow's \\s would be ASCII.
+_SPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+JOINED = rf"{_SPACE} {_SPACE}|\A |\A{_SPACE}+\z"
 #: Punctuation that both vocabularies encode apart from the letters before it.
 TAIL = ".,;:!?"
 #: Below it, Python and the tokenizers agree on what a letter is, and texts are in normal form C.
-LATIN = "\u0250"
+LATIN = "\u0130"
 
 
-def cut_pieces(texts: list[str]) -> tuple[list[list[str | tuple[str]]], list[int]]:
-    """The pieces of each text between single spaces, and the texts that must not be cut (they have none here).
+class PieceStore:
+    """Encodes texts by their pieces, of which it keeps those met before; what a piece gives is up to ``_learn``.
 
-    A piece in a tuple begins its text; the others follow a space, which isn't in them.
+    keeps_space: the space before a word belongs to it (byte-level).
     """
-    cut, whole = [], []
-    for i, text in enumerate(texts):
-        if JOINED.search(text):
-            whole.append(i)
-            cut.append([])
-        else:
-            first, *rest = text.split(" ")
-            cut.append([(first,), *rest])
-    return cut, whole
 
+    def __init__(self, keeps_space: bool):
+        self.keeps_space, self.store, self.old = keeps_space, {}, {}
+
+    def _learn(self, pieces: list[str | tuple[str]]) -> None:
+        """Put the ids of new pieces into the store, as bytes.
 
-class PieceEncoder:
-    """Encodes texts to little-endian unsigned 32-bit ids, as bytes.
+        A piece in a tuple begins its text; others have a space before them, which byte-level ids hold.
+        """
+        raise NotImplementedError
 
-    keeps_space: the space before a word belongs to it (byte-level); else words end in a marked token.
-    """
+    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts of a column (null: the empty text), and where those of each text begin and end."""
+        texts = pc.fill_null(texts, "")
+        whole = np.zeros(len(texts), bool)
+        if self.keeps_space:
+            whole = pc.match_substring_regex(texts, JOINED).to_numpy(zero_copy_only=False)
+            cut = pc.if_else(pa.array(whole), "", texts)
+        else:
+            cut = pc.replace_substring(texts, "\n", " ")
+        lists = pc.split_pattern(cut, " ")
+        coded = lists.flatten().dictionary_encode()
+        code, distinct = coded.indices.to_numpy().copy(), coded.dictionary.to_pylist()
+        firsts = lists.offsets.to_numpy()
+        if self.keeps_space:  # the first piece of a text has no space before it, and stands for the whole if need be
+            own = texts.filter(pa.array(whole)).to_pylist()
+            begin = [(p,) for p in lists.flatten().take(pa.array(firsts[:-1])).to_pylist()]
+            for i, text in zip(np.flatnonzero(whole).tolist(), own, strict=True):
+                begin[i] = (text,)
+            code[firsts[:-1]] = len(distinct) + np.arange(len(begin))
+            distinct += begin
+        if len(self.store) > CACHE_PIECES:
+            self.store, self.old = {}, self.store
+        self._learn(list(set(distinct).difference(self.store)))
+        ids = [self.store[p] for p in distinct]
+        sizes = np.fromiter(map(len, ids), np.int32, len(ids)) // 4
+        flat, begins = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(sizes, dtype=np.int32) - sizes
+        n = sizes[code]
+        ends = np.cumsum(n, dtype=np.int32)  # of one batch
+        out = flat[np.repeat(begins[code] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0, dtype=np.int32)]
+        for p in own if self.keeps_space else ():  # whole texts aren't worth their place
+            self.store.pop((p,), None)
+        return out, np.concatenate([[0], ends])[firsts]
+
+    def encode(self, texts: pa.Array | list[str | None]) -> list[bytes]:
+        ids, cuts = self.encode_column(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))
+        return [ids[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
+class PieceEncoder(PieceStore):
+    """Encodes texts by the tokenizers library. Without ``keeps_space``, words end in a marked token."""
 
     def __init__(self, path: str, keeps_space: bool):
+        super().__init__(keeps_space)
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.keeps_space, self.store = keeps_space, {}
         size = self.tokenizer.get_vocab_size()
         names = [self.tokenizer.id_to_token(i) or "" for i in range(size)]
         #: Tokens that only the start (with the space) or only the end of a word has.
@@ -74,17 +113,22 @@ class PieceEncoder:
         return out
 
     def _learn(self, pieces: list[str | tuple[str]]) -> None:
-        """A piece in a tuple begins its text; others have a space before them, which byte-level ids hold."""
-        store, lead = self.store, " " if self.keeps_space else ""
+        store, old, lead = self.store, self.old, " " if self.keeps_space else ""
         plain, tailed, other = set(), [], []
         for p in pieces:
+            if p in old:
+                store[p] = old[p]
+                continue
             if isinstance(p, tuple):
                 other.append((p, p[0]))
                 continue
             word = p.rstrip(TAIL)
-            if word.isalpha() and max(word) < LATIN:
+            if word.isalpha() and (word.isascii() or max(word) < LATIN):
                 if word not in store:
-                    plain.add(word)
+                    if word in old:
+                        store[word] = old[word]
+                    else:
+                        plain.add(word)
                 if len(word) < len(p):
                     tailed.append((p, word, (p[len(word) :],)))
             else:
@@ -96,21 +140,6 @@ class PieceEncoder:
         for piece, word, tail in tailed:
             store[piece] = store[word] + store[tail]
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        texts = [t or "" for t in texts]
-        if self.keeps_space:
-            cut, whole = cut_pieces(texts)
-        else:
-            cut, whole = [t.replace("\n", " ").split(" ") for t in texts], []
-        if len(self.store) > CACHE_PIECES:
-            self.store = {}
-        self._learn(list(set().union(*cut).difference(self.store)))
-        get = self.store.__getitem__
-        out = [b"".join(map(get, pieces)) for pieces in cut]
-        for i, ids in zip(whole, self._encode([texts[i] for i in whole]), strict=True):
-            out[i] = ids
-        return out
-
 
 @cache
 def encoder(path: str, keeps_space: bool) -> PieceEncoder:
