@@ -9,8 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, line_dedup, minhash_dedup, packing, quality_rules, rans_files, secret_scan
-from .common import shared_dir
+from . import byte_bpe, gif_columns, language_gru, line_dedup, minhash_dedup, packing, quality_rules, rans_files, secret_scan
+from .common import materialise, shared_dir
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +30,17 @@ def op2_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_gif_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    media = materialise(gif_columns.store_texts(_documents(spark, sf_dir)), "media")
+    return gif_columns.media_digests(media)
+
+
+def op4_language_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    net = language_gru.fit(docs)
+    return language_gru.predict(docs, net).select("doc_id", language_gru.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir).select("doc_id", "text")
     kept = line_dedup.dedup_lines(docs)
@@ -66,6 +77,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack_powers_of_two": op1_pack_powers_of_two,
     "op2_secret_ownership": op2_secret_ownership,
+    "op3_gif_columns": op3_gif_columns,
+    "op4_language_gru": op4_language_gru,
     "op5_line_dedup": op5_line_dedup,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_rans_files": op8_rans_files,
