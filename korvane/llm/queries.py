@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, gif_columns, language_gru, line_dedup, minhash_dedup, packing, quality_rules, rans_files, secret_scan
+from . import byte_bpe, gif_columns, html_wrappers, language_gru, line_dedup, minhash_dedup, packing, quality_rules, rans_files, secret_scan
 from .common import materialise, shared_dir
 
 
@@ -47,6 +47,10 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text"), 256).alias("kept_sha256"))
 
 
+def op6_html_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_wrappers.extract_main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return byte_bpe.digests(_documents(spark, sf_dir), path, public_tokenizers.PATTERN)
@@ -80,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_gif_columns": op3_gif_columns,
     "op4_language_gru": op4_language_gru,
     "op5_line_dedup": op5_line_dedup,
+    "op6_html_wrappers": op6_html_wrappers,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_rans_files": op8_rans_files,
     "op9_near_duplicates": op9_near_duplicates,
