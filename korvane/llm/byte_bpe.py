@@ -13,6 +13,7 @@ from __future__ import annotations
 import base64
 import codecs
 import hashlib
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import cache
 
@@ -23,11 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_batches
-from .tokens import CACHE_PIECES, cut_pieces
+from .tokens import PieceStore
 
 ROOT = 0
 #: Determinised states kept in a worker; beyond it they are made anew.
-MAX_STATES = 150_000
+MAX_STATES = 350_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -35,14 +36,31 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f if line.strip())}
 
 
-def merge(piece: bytes, ranks: dict[bytes, int]) -> list[bytes]:
-    """BPE by its definition: the leftmost pair of the lowest rank is joined until none has a rank."""
+NONE = 1 << 60
+
+
+def merge(piece: bytes, ranks: dict[bytes, int], border: int = 0) -> list[bytes]:
+    """BPE by its definition: the leftmost pair of the lowest rank is joined until none has a rank.
+
+    With a ``border`` inside the piece it stops, and returns nothing, once a token would lie across it.
+    """
     parts = [piece[i : i + 1] for i in range(len(piece))]
-    while len(parts) > 1:
-        rank, i = min((ranks.get(a + b, 1 << 60), i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)))
-        if rank == 1 << 60:
+    rank = [ranks.get(piece[i : i + 2], NONE) for i in range(len(piece) - 1)]
+    while rank:
+        least = min(rank)
+        if least == NONE:
             break
+        i = rank.index(least)
+        if i + 1 == border:
+            return []
+        if i < border:
+            border -= 1
         parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        del rank[i]
+        if i < len(rank):
+            rank[i] = ranks.get(parts[i] + parts[i + 1], NONE)
+        if i:
+            rank[i - 1] = ranks.get(parts[i - 1] + parts[i], NONE)
     return parts
 
 
@@ -70,45 +88,58 @@ class Transducer:
 
     def _follows(self, last: int, token: int) -> bool:
         """Whether BPE can give ``token`` right after ``last`` (-1: at the start)."""
-        key = (last, token)
-        if key not in self.fits:
-            a, b = self.bytes_of[last] if last >= 0 else b"", self.bytes_of[token]
-            self.fits[key] = merge(a + b, self.ranks) == [x for x in (a, b) if x]
-        return self.fits[key]
+        if last < 0:
+            return merge(self.bytes_of[token], self.ranks) == [self.bytes_of[token]]
+        a, b = self.bytes_of[last], self.bytes_of[token]
+        return merge(a + b, self.ranks, len(a)) == [a, b]
 
     def _step(self, number: int, byte: int) -> tuple[int, tuple[int, ...]]:
         """The state that ``byte`` leads to, and what is emitted on the way."""
-        members, ended = [], None
+        members, ended, fits = [], None, self.fits
         for place, last, waiting in self.states[number]:
             to = self.child.get(place << 8 | byte)
             if to is None:
                 continue
-            token = self.token_at.get(to)
-            if token is not None and ended is None and self._follows(last, token):
-                ended = (ROOT, token, (*waiting, token))
+            if ended is None and (token := self.token_at.get(to)) is not None:
+                pair = last << 32 | token
+                fit = fits.get(pair)
+                if fit is None:
+                    fit = fits[pair] = self._follows(last, token)
+                if fit:
+                    ended = (ROOT, token, (*waiting, token))
             if to in self.inner:
                 members.append((to, last, waiting))
         if ended is None:
             raise ValueError("the vocabulary lacks a byte")
         members.append(ended)
-        shared = 0
-        while all(len(m[2]) > shared and m[2][shared] == ended[2][shared] for m in members):
-            shared += 1
-        state = tuple((place, last, waiting[shared:]) for place, last, waiting in members)
-        to = self.numbers.setdefault(state, len(self.states))
-        if to == len(self.states):
+        mine = ended[2]
+        shared = len(mine)
+        for _, _, waiting in members:
+            k = 0
+            for x, y in zip(waiting, mine, strict=False):
+                if x != y:
+                    break
+                k += 1
+            shared = min(shared, k)
+            if not shared:
+                break
+        state = tuple((place, last, waiting[shared:]) for place, last, waiting in members) if shared else tuple(members)
+        to = self.numbers.get(state)
+        if to is None:
+            to = self.numbers[state] = len(self.states)
             self.states.append(state)
-        self.next[number << 8 | byte] = out = to, ended[2][:shared]
+        self.next[number << 8 | byte] = out = to, mine[:shared]
         return out
 
     def feed(self, data: Iterable[int]) -> Iterator[int]:
         """Tokens of a stream of bytes, as soon as nothing can change them."""
         if len(self.states) > MAX_STATES:
             self._forget()
-        state = 0
+        state, known = 0, self.next.get
         for byte in data:
-            state, ready = self.next.get(state << 8 | byte) or self._step(state, byte)
-            yield from ready
+            state, ready = known(state << 8 | byte) or self._step(state, byte)
+            if ready:
+                yield from ready
         if state:
             yield from self.states[state][-1][2]
 
@@ -130,37 +161,31 @@ class StreamDecoder:
         return self.machine.decode(b"", True)
 
 
-class ByteBpe:
+class ByteBpe(PieceStore):
     """Texts to little-endian unsigned 32-bit ids and back."""
 
     def __init__(self, path: str, pattern: str):
+        super().__init__(keeps_space=True)
         self.fst = Transducer(load_ranks(path))
         self.pattern = regex.compile(pattern)
-        self.words: dict[str, bytes] = {}
-        self.pieces: dict[str | tuple[str], bytes] = {}
-
-    def _text(self, text: str) -> bytes:
-        words, out = self.words, []
-        for word in self.pattern.findall(text):
-            ids = words.get(word)
-            if ids is None:
-                ids = np.array(self.fst.encode(word.encode()), "<u4").tobytes()
-                if len(word) < 64:
-                    words[word] = ids
-            out.append(ids)
-        return b"".join(out)
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        texts = [t or "" for t in texts]
-        cut, whole = cut_pieces(texts)
-        if len(self.pieces) > CACHE_PIECES:
-            self.pieces, self.words = {}, {}
-        for p in set().union(*cut).difference(self.pieces):
-            self.pieces[p] = self._text(p[0] if isinstance(p, tuple) else " " + p)
-        out = [b"".join(map(self.pieces.__getitem__, pieces)) for pieces in cut]
-        for i in whole:
-            out[i] = self._text(texts[i])
-        return out
+
+    def _learn(self, pieces: list[str | tuple[str]]) -> None:
+        """Words of a piece are kept as well; they have two or more in common."""
+        store, old = self.store, self.old
+        for piece in pieces:
+            if piece in old:
+                store[piece] = old[piece]
+                continue
+            ids = []
+            for word in self.pattern.findall(piece[0] if isinstance(piece, tuple) else piece if piece.startswith("\n") else " " + piece):
+                key = ("", word)
+                known = store.get(key) or old.get(key)
+                if known is None:
+                    known = array("I", self.fst.encode(word.encode())).tobytes()
+                    if len(word) < 64:
+                        store[key] = known
+                ids.append(known)
+            store[piece] = b"".join(ids)
 
     def decode(self, ids: bytes, at_once: int = 4096) -> str:
         decoder = StreamDecoder(self.fst.bytes_of)
@@ -195,7 +220,7 @@ def _mapped(docs, path, pattern, text_col, id_col, schema, made, ddl) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(path, pattern)
         for batch in batches:
-            ids = bpe.encode(batch.column(1).to_pylist())
+            ids = bpe.encode(batch.column(1))
             rows = [made(x, bpe.decode(x)) for x in ids]
             columns = [batch.column(0), [len(x) // 4 for x in ids], [a for a, _ in rows], [b for _, b in rows]]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) if isinstance(c, list) else c for c, f in zip(columns, schema, strict=True)], schema=schema)

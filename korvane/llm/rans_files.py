@@ -167,7 +167,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, text_col: str = "text"
             return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((part, chunk, first, n, data), schema, strict=True)], schema=schema)
 
         for batch in batches:
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist()), strict=True):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1)), strict=True):
                 doc_ids.append(doc_id)
                 texts_ids.append(ids + end)
                 n += len(ids) // 4 + 1

@@ -18,9 +18,9 @@ from tokenizers import Tokenizer
 #: Pieces in a generation of a worker's store. Two generations are kept: what the younger one lacks and the older one
 #: has moves on, the rest goes. This bounds memory and costs time only.
 CACHE_PIECES = 300_000
-#: White space on both sides of a space, before the text, or alone; Arrow's \\s would be ASCII.
+#: White space on both sides of a space, three in a row, before the text, or alone; Arrow's \\s would be ASCII.
 _SPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-JOINED = rf"{_SPACE} {_SPACE}|\A |\A{_SPACE}+\z"
+JOINED = rf"{_SPACE} {_SPACE}|{_SPACE}{{3}}|\A |\A{_SPACE}+\z"
 #: Punctuation that both vocabularies encode apart from the letters before it.
 TAIL = ".,;:!?"
 #: Below it, Python and the tokenizers agree on what a letter is, and texts are in normal form C.
@@ -39,7 +39,8 @@ class PieceStore:
     def _learn(self, pieces: list[str | tuple[str]]) -> None:
         """Put the ids of new pieces into the store, as bytes.
 
-        A piece in a tuple begins its text; others have a space before them, which byte-level ids hold.
+        A piece in a tuple begins its text, one with a line feed before it its line; others have a space before
+        them, which byte-level ids hold.
         """
         raise NotImplementedError
 
@@ -49,7 +50,7 @@ class PieceStore:
         whole = np.zeros(len(texts), bool)
         if self.keeps_space:
             whole = pc.match_substring_regex(texts, JOINED).to_numpy(zero_copy_only=False)
-            cut = pc.if_else(pa.array(whole), "", texts)
+            cut = pc.replace_substring(pc.if_else(pa.array(whole), "", texts), "\n", " \n")  # no space before a line
         else:
             cut = pc.replace_substring(texts, "\n", " ")
         lists = pc.split_pattern(cut, " ")
@@ -89,6 +90,7 @@ class PieceEncoder(PieceStore):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         size = self.tokenizer.get_vocab_size()
+        self.line_feed = self.tokenizer.token_to_id("\u010a") if keeps_space else None  # as byte-level names it
         names = [self.tokenizer.id_to_token(i) or "" for i in range(size)]
         #: Tokens that only the start (with the space) or only the end of a word has.
         self.edge = np.array([x.startswith("\u0120") if keeps_space else x.endswith("</w>") for x in names])
@@ -97,6 +99,19 @@ class PieceEncoder(PieceStore):
         got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in got]
 
+    def _encode_starts(self, words: list[str]) -> list[bytes]:
+        """Words of letters without a space before them; many to a call, cut again at the line feeds between them."""
+        out = []
+        for i in range(0, len(words), 1000):
+            some = words[i : i + 1000]
+            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            feeds = np.flatnonzero(ids == self.line_feed).tolist()
+            if len(feeds) != len(some) - 1:
+                raise AssertionError("a line feed between words is not one id")
+            data = ids.tobytes()
+            out += [data[4 * a : 4 * b] for a, b in zip([0, *[f + 1 for f in feeds]], [*feeds, len(ids)], strict=True)]
+        return out
+
     def _encode_words(self, words: list[str]) -> list[bytes]:
         """Words of letters, each but for its space; many to a call, cut again at the tokens of their edge."""
         out = []
@@ -114,7 +129,7 @@ class PieceEncoder(PieceStore):
 
     def _learn(self, pieces: list[str | tuple[str]]) -> None:
         store, old, lead = self.store, self.old, " " if self.keeps_space else ""
-        plain, tailed, other = set(), [], []
+        plain, tailed, other, begun = set(), [], [], []
         for p in pieces:
             if p in old:
                 store[p] = old[p]
@@ -122,6 +137,9 @@ class PieceEncoder(PieceStore):
             if isinstance(p, tuple):
                 other.append((p, p[0]))
                 continue
+            if lead and p.startswith("\n"):
+                begun.append(p)
+                continue
             word = p.rstrip(TAIL)
             if word.isalpha() and (word.isascii() or max(word) < LATIN):
                 if word not in store:
@@ -133,6 +151,8 @@ class PieceEncoder(PieceStore):
                     tailed.append((p, word, (p[len(word) :],)))
             else:
                 other.append((p, lead + p))
+        if begun:
+            self._learn_begun(begun, tailed, other)
         words = list(plain)
         store.update(zip(words, self._encode_words(words), strict=True))
         other += [(tail, tail[0]) for tail in {tail for _, _, tail in tailed} - store.keys()]
@@ -141,6 +161,22 @@ class PieceEncoder(PieceStore):
             store[piece] = store[word] + store[tail]
 
 
+    def _learn_begun(self, pieces: list[str], tailed: list, other: list) -> None:
+        """Pieces that begin a line: the ids of the line feed, and those of what follows as at the start of a text."""
+        starts = {}
+        for p in pieces:
+            word = p[1:].rstrip(TAIL)
+            if word.isalpha() and (word.isascii() or max(word) < LATIN):
+                starts[word] = "\n" + word
+                if len(word) + 1 < len(p):
+                    tailed.append((p, "\n" + word, (p[len(word) + 1 :],)))
+            else:
+                other.append((p, p))
+        words = [w for w, key in starts.items() if key not in self.store]
+        feed = int(self.line_feed).to_bytes(4, "little")
+        self.store.update(("\n" + w, feed + ids) for w, ids in zip(words, self._encode_starts(words), strict=True))
+
+
 @cache
 def encoder(path: str, keeps_space: bool) -> PieceEncoder:
     """One for each Python worker; a task has one core."""
