@@ -15,7 +15,6 @@ import codecs
 import hashlib
 from array import array
 from collections.abc import Iterable, Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import held, small_batches
 from .tokens import PieceStore
 
 ROOT = 0
@@ -194,10 +193,9 @@ class ByteBpe(PieceStore):
         return "".join([*parts, decoder.end()])
 
 
-@cache
 def codec(path: str, pattern: str) -> ByteBpe:
     """One for each Python worker."""
-    return ByteBpe(path, pattern)
+    return held(("byte_bpe", path, pattern), lambda: ByteBpe(path, pattern))
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,6 +44,22 @@ def drop_materialised(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+_held: dict = {}
+
+
+def held(key: tuple, make: Callable):
+    """The one large object that a Python worker keeps between tasks; it goes when another one is asked for."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
+def let_go() -> None:
+    """Tasks that need no such object call this first: workers outlive the operator that they served before."""
+    _held.clear()
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, or with underscores before it until no column of ``df`` has it (in any case)."""
     taken = {c.lower() for c in df.columns}

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .common import fresh, materialise, small_batches
+from .common import fresh, let_go, materialise, small_batches
 
 MIN_CHARS, MIN_DOCS = 20, 3
 #: Distinct hashes in a shard, and the rows that one task should read at most; both only steer the cost.
@@ -147,6 +147,7 @@ def distinct_keys(docs: DataFrame, text_col: str, id_col: str, min_chars: int) -
     schema = pa.schema([("id", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
             ids, one, two = [], [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, materialise, small_batches
+from .common import fresh, let_go, materialise, small_batches
 
 # Fixed values of the base.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -89,6 +89,7 @@ def scan(docs: DataFrame, text_col: str, id_col: str, repository: Column, owner:
     ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
             rows = []
             for text in batch.column(5).to_pylist():

@@ -8,13 +8,14 @@ vocabularies join it, and the whole text is encoded instead. Plain words are enc
 from __future__ import annotations
 
 import os
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
+from .common import held
+
 #: Pieces in a generation of a worker's store. Two generations are kept: what the younger one lacks and the older one
 #: has moves on, the rest goes. This bounds memory and costs time only.
 CACHE_PIECES = 300_000
@@ -160,7 +161,6 @@ class PieceEncoder(PieceStore):
         for piece, word, tail in tailed:
             store[piece] = store[word] + store[tail]
 
-
     def _learn_begun(self, pieces: list[str], tailed: list, other: list) -> None:
         """Pieces that begin a line: the ids of the line feed, and those of what follows as at the start of a text."""
         starts = {}
@@ -177,8 +177,7 @@ class PieceEncoder(PieceStore):
         self.store.update(("\n" + w, feed + ids) for w, ids in zip(words, self._encode_starts(words), strict=True))
 
 
-@cache
 def encoder(path: str, keeps_space: bool) -> PieceEncoder:
     """One for each Python worker; a task has one core."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return PieceEncoder(path, keeps_space)
+    return held(("tokenizer", path, keeps_space), lambda: PieceEncoder(path, keeps_space))
