@@ -50,6 +50,13 @@ def bm25_scores(docs: DataFrame, query: str, id_col: str = "doc_id", text_col: s
     return docs.select(F.col(id_col).alias("id")).join(scores, "id", "left").select("id", F.round(F.coalesce("s", F.lit(0.0)), DIGITS).alias("bm25"))
 
 
+def index_stats(docs: DataFrame, alpha: float, text_col: str = "text") -> DataFrame:
+    """One row: documents, their mean length, distinct words, and the weight in use."""
+    words = docs.select(F.explode(tokens_of(F.col(text_col))).alias("w")).agg(F.count_distinct("w").alias("n_terms"))
+    stats = corpus_stats(docs, text_col).select(F.col("n").alias("n_documents"), F.round("avgdl", DIGITS).alias("mean_words"))
+    return stats.join(F.broadcast(words)).withColumn("alpha", F.lit(float(alpha)))  # one row each
+
+
 def min_max(scores: DataFrame, column: str, out: str) -> DataFrame:
     """Scores scaled to 0 to 1 by the smallest and largest of all; 0.5 where all are equal."""
     ends = scores.agg(F.min(column).alias("_lo"), F.max(column).alias("_hi"))  # one row
