@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from korvane.session import fixed
+
 CUE = r"(?m)^([0-9:.]+)\s+-->\s+([0-9:.]+)"
 
 
@@ -89,7 +91,7 @@ def times_and_speakers(ranges: DataFrame, captions: DataFrame, key: str, order:
 def renumber(rows: DataFrame, order: list[str], parts: int = 256) -> DataFrame:
     """``global_id`` from 0 in the order of all rows, without one task for all: ranges are counted, then numbered apart."""
     ranged = rows.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id())
-    ranged = ranged.sortWithinPartitions(*order).withColumn("_i", F.monotonically_increasing_id() - F.col("_part").cast("long") * (1 << 33))
+    ranged = fixed(ranged.sortWithinPartitions(*order).withColumn("_i", F.monotonically_increasing_id() - F.col("_part").cast("long") * (1 << 33)))
     sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))  # at most ``parts`` rows
     before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
     return ranged.join(F.broadcast(before), "_part").withColumn("global_id", F.col("_before") + F.col("_i")).drop("_part", "_i", "_before")

@@ -1 +1,187 @@
-"""Queries."""
+"""Statistics, validation and chunking over ``documents``, ``labels`` and ``embeddings``."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from korvane.functions import text as texts
+from korvane.functions.models import overlap_score
+from korvane.operators import chunking, corrective, stats, validation
+from korvane.plans.base import CHUNKS, chunks, query, table
+from korvane.plans.retrieval import TEXT
+
+
+def _plain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks(spark, sf_dir).drop("embedding")
+
+
+@query(f"WITH {CHUNKS} SELECT count(*) AS n_chunks, count(DISTINCT source_document) AS n_documents, coalesce(round(avg(token_count), 2), 0) AS avg_tokens FROM chunks")
+def table_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.table_stats(_plain(spark, sf_dir))
+
+
+_PROFILE = "SELECT source_document, count(*) AS n_chunks, CAST(sum(token_count) AS BIGINT) AS tokens, round(avg(token_count), 2) AS avg_tokens FROM chunks GROUP BY source_document"
+
+
+@query(f"WITH {CHUNKS} SELECT source_document, n_chunks FROM ({_PROFILE})")
+def chunks_per_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.document_profile(_plain(spark, sf_dir)).select("source_document", "n_chunks").orderBy(F.desc("n_chunks"), "source_document")
+
+
+@query(f"WITH {CHUNKS} {_PROFILE} ORDER BY n_chunks DESC, source_document LIMIT 10")
+def document_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.document_profile(_plain(spark, sf_dir), 10)
+
+
+@query(f"WITH {CHUNKS} SELECT source_document, tokens FROM ({_PROFILE})")
+def document_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.document_profile(_plain(spark, sf_dir)).select("source_document", "tokens")
+
+
+@query("SELECT CAST(len(embedding) AS BIGINT) AS dims, count(*) AS n FROM embeddings GROUP BY 1")
+def embedding_dims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.embedding_dims(table(spark, sf_dir, "embeddings"))
+
+
+@query(f"WITH {CHUNKS}, p AS ({_PROFILE}) SELECT count(*) AS n_documents, CAST(sum(n_chunks) AS BIGINT) AS n_chunks, CAST(sum(tokens) AS BIGINT) AS tokens, round(avg(n_chunks), 6) AS chunks_per_document FROM p")
+def batch_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.batch_report(_plain(spark, sf_dir))
+
+
+@query("""SELECT CAST(sum((trim(coalesce(text, ''), ' ') <> '')::INT + (trim(coalesce(source, ''), ' ') <> '')::INT + (lang IS NOT NULL AND trim(lang, ' ') <> '')::INT) AS BIGINT) AS complete,
+CAST(sum(2 + (lang IS NOT NULL)::INT) AS BIGINT) AS total, round(sum((trim(coalesce(text, ''), ' ') <> '')::INT + (trim(coalesce(source, ''), ' ') <> '')::INT + (lang IS NOT NULL AND trim(lang, ' ') <> '')::INT)::DOUBLE / sum(2 + (lang IS NOT NULL)::INT), 6) AS ratio FROM documents""")
+def completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = stats.completeness(table(spark, sf_dir, "documents"), ["text", "source"], ["lang"])
+    return found.withColumn("complete", F.col("complete").cast("long")).withColumn("total", F.col("total").cast("long"))
+
+
+@query("""WITH f AS (SELECT doc_id AS vec_id FROM documents), c AS (SELECT (SELECT count(*) FROM f) AS n_files, (SELECT count(*) FROM embeddings) AS n_rows,
+(SELECT count(*) FROM f WHERE vec_id NOT IN (SELECT vec_id FROM embeddings)) AS n_missing, (SELECT count(*) FROM embeddings WHERE embedding IS NULL OR len(embedding) <> 64) AS n_bad)
+SELECT *, n_files = n_rows AND n_missing = 0 AND n_bad = 0 AS valid FROM c""")
+def index_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents stand for the files that should have a vector."""
+    files = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"))
+    return stats.index_validation(files, table(spark, sf_dir, "embeddings"), 64, "vec_id")
+
+
+@query("""WITH r AS (SELECT CASE WHEN quality = 1 AND toxic = 0 THEN 'ok' WHEN toxic = 1 THEN 'failed' ELSE 'skipped' END AS s FROM labels)
+SELECT count(*) FILTER (WHERE s = 'ok') AS n_ok, count(*) FILTER (WHERE s = 'failed') AS n_failed, count(*) FILTER (WHERE s = 'skipped') AS n_skipped,
+coalesce(round(100.0 * n_ok::DOUBLE / nullif(n_ok + n_failed, 0), 2), 0) AS success_rate FROM r""")
+def index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    status = F.when((F.col("quality") == 1) & (F.col("toxic") == 0), "ok").when(F.col("toxic") == 1, "failed").otherwise("skipped")
+    return stats.index_stats(table(spark, sf_dir, "labels").withColumn("status", status))
+
+
+_GRADES = """g AS (SELECT source, coalesce(TRY_CAST(CASE WHEN quality IS NULL THEN 'none' WHEN toxic = 1 THEN '0.1' ELSE '0.' || (5 + 4 * quality) END AS DOUBLE), 0.5) AS g FROM documents LEFT JOIN labels USING (doc_id))"""
+
+
+@query(f"""WITH {_GRADES}, a AS (SELECT source, round(avg(g), 6) AS quality, count(*) FILTER (WHERE g >= 0.5) AS n_kept, avg(g) FILTER (WHERE g >= 0.5) AS m FROM g GROUP BY source)
+SELECT source, quality, n_kept, CASE WHEN n_kept > 0 THEN round(0.7 * m + 0.3 * least(n_kept / 5.0::DOUBLE, 1.0), 6) ELSE 0.0 END AS confidence FROM a""")
+def retrieval_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels as grades of a source's documents; those without a label have a grade that can't be read."""
+    rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    grade = F.when(F.col("quality").isNull(), "none").when(F.col("toxic") == 1, "0.1").otherwise(F.concat(F.lit("0."), 5 + 4 * F.col("quality")))
+    return stats.retrieval_quality(rows.select("source", grade.alias("grade")), "source")
+
+
+_NUMBERED = f"{CHUNKS}, n AS (SELECT *, source_document || '_chunk_' || format('{{:03d}}', chunk_id) AS name, left(chunk_text, 600) AS summary FROM chunks)"
+
+
+@query(f"""WITH {_NUMBERED}, v AS (
+  SELECT name AS id, 'chunk_text' AS rule, 'error' AS severity FROM n WHERE trim(chunk_text, ' ') = ''
+  UNION ALL SELECT name, 'token_count', 'error' FROM n WHERE token_count < 1
+  UNION ALL SELECT name, 'too_long', 'error' FROM n WHERE token_count > 1000
+  UNION ALL SELECT name, 'summary_length', 'warning' FROM n WHERE NOT length(summary) BETWEEN 10 AND 500
+  UNION ALL SELECT name, 'summary_placeholder', 'warning' FROM n WHERE lower(trim(summary, ' ')) IN ({", ".join(f"'{p}'" for p in validation.PLACEHOLDERS)})
+) SELECT * FROM v""")
+def validate_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each violation; the text's start stands for a summary."""
+    rows = _plain(spark, sf_dir).withColumn("summary", F.substring("chunk_text", 1, 600)).withColumn("chunk_id", F.format_string("%s_chunk_%03d", "source_document", "chunk_id"))
+    return validation.violations(rows, validation.chunk_rules())
+
+
+_SECTIONS = r"""sec AS (SELECT doc_id AS document_id, i - 1 AS idx, lines[i] AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines, unnest(range(1, len(lines) + 1)) AS i FROM documents)),
+named AS (SELECT document_id, idx, 'T' || (idx % 7) AS title, CASE WHEN idx % 7 = 0 THEN 1 ELSE 2 END AS level, CASE WHEN idx % 7 = 0 THEN NULL ELSE 'T0' END AS parent_section, left(trim(line, ' '), 20) AS start_words FROM sec)"""
+
+
+def _sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as sections: every seventh is a chapter, the others are its children."""
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("idx", "line"))
+    top = F.col("idx") % 7 == 0
+    return rows.select(
+        "document_id", F.col("idx").cast("long").alias("idx"), F.concat(F.lit("T"), F.col("idx") % 7).alias("title"), F.when(top, 1).otherwise(2).alias("level"),
+        F.when(~top, "T0").alias("parent_section"), F.substring(F.btrim("line"), 1, 20).alias("start_words"), F.lit("").alias("end_words"),
+    )
+
+
+@query(f"""WITH {_SECTIONS}, k AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY idx) AS i FROM named WHERE start_words <> '')
+SELECT document_id, idx, CAST(document_id AS VARCHAR) || '_chunk_' || format('{{:03d}}', i) AS chunk_id FROM k""")
+def chunk_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.chunk_ids(_sections(spark, sf_dir)).select("document_id", "idx", "chunk_id")
+
+
+@query(f"""WITH {_SECTIONS}, c AS (SELECT document_id, string_agg(title, ',' ORDER BY idx) AS t FROM named WHERE level = 2 GROUP BY document_id)
+SELECT n.document_id, idx, 'T0' AS chapter_title, CASE WHEN level = 1 THEN coalesce(t, '') ELSE '' END AS children FROM named n LEFT JOIN c USING (document_id)""")
+def derive_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.derive_metadata(_sections(spark, sf_dir)).select("document_id", "idx", "chapter_title", F.array_join("subsection_title", ",").alias("children"))
+
+
+@query(f"WITH {CHUNKS} SELECT chunk_id, sha256(coalesce(source_document, '') || ' > ' || chapter_title || chr(10) || chr(10) || chunk_text) AS text_sha256, CAST(length(source_document || ' > ' || chapter_title || chr(10) || chr(10) || chunk_text) // 4 AS BIGINT) AS tokens FROM chunks WHERE chapter_title IS NOT NULL")
+def build_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _plain(spark, sf_dir).where(F.col("chapter_title").isNotNull())
+    whole = chunking.chunk_text(texts.breadcrumb(F.col("source_document"), F.col("chapter_title")), F.col("chunk_text"))
+    return rows.select("chunk_id", F.sha2(whole, 256).alias("text_sha256"), texts.token_count(whole).cast("long").alias("tokens"))
+
+
+@query("SELECT doc_id, 'structure_' || sha256(coalesce(text, '')) AS key FROM documents")
+def cache_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", chunking.cache_key("structure", F.coalesce("text", F.lit(""))).alias("key"))
+
+
+@query("SELECT doc_id, source AS title, lang, '' AS missing FROM documents WHERE lang IS NOT NULL UNION ALL SELECT doc_id, source, NULL, 'LANG' FROM documents WHERE lang IS NULL")
+def parse_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tagged = F.concat(F.lit("[TITLE]"), "source", F.lit("[/TITLE]\n"), F.coalesce(F.concat(F.lit("[LANG] "), "lang", F.lit(" [/LANG]")), F.lit("")))
+    rows = table(spark, sf_dir, "documents").select("doc_id", tagged.alias("tagged"))
+    return chunking.parse_tags(rows, ["TITLE", "LANG"], "tagged").select("doc_id", "title", "lang", F.array_join("missing_tags", ",").alias("missing"))
+
+
+@query(f"""WITH {CHUNKS} SELECT chunk_id, CASE WHEN x >= 0.95 THEN 'excellent' WHEN x >= 0.9 THEN 'good' WHEN x >= 0.9 THEN 'fair' ELSE 'poor' END AS class
+FROM (SELECT chunk_id, token_count % 101 / 100.0::DOUBLE AS x FROM chunks)""")
+def similarity_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _plain(spark, sf_dir).select("chunk_id", texts.similarity_class(F.col("token_count") % 101 / 100.0).alias("class"))
+
+
+@query(r"SELECT conv_id, turn, CASE WHEN lower(x) IN ('retrieve', 'respond') THEN lower(x) ELSE 'retrieve' END AS intent FROM (SELECT conv_id, turn, CASE role WHEN 'user' THEN 'respond' ELSE role END AS x FROM conversations)")
+def normalize_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = F.concat(F.lit(" '"), F.upper(F.when(F.col("role") == "user", "respond").otherwise(F.col("role"))), F.lit("'\n"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", texts.intent_or_default(said).alias("intent"))
+
+
+# --- by Python in tasks: held against brute force in the tests ------------------------------------------------------------
+
+
+@query()
+def parent_child_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.parent_child_chunks(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@query()
+def coverage_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of each item its pieces give back."""
+    parts = chunking.split_recursive(F.col("text"), 200)
+    return table(spark, sf_dir, "benchmark").select("item_id", F.round(chunking.coverage_ratio(F.col("text"), parts), 6).alias("ratio"))
+
+
+@query()
+def fuzzy_locate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the last words of each item lie in it."""
+    part = F.array_join(F.slice(F.reverse(F.split("text", " ")), 1, 8), " ")
+    rows = table(spark, sf_dir, "benchmark").withColumn("part", F.array_join(F.reverse(F.split(part, " ")), " "))
+    return rows.select("item_id", chunking.fuzzy_locate(F.col("text"), F.col("part")).alias("at")).select("item_id", "at.*")
+
+
+@query()
+def corrective_rag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = corrective.corrective_search(chunks(spark, sf_dir), TEXT, 10, overlap_score)
+    return found.select("chunk_id", "similarity_score", "grade", "kept", "confidence", "query")

@@ -1 +1,93 @@
-"""Queries."""
+"""Sessions and streams over ``events``."""
+
+from __future__ import annotations
+
+from datetime import datetime
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from korvane.operators import ingest, sessions
+from korvane.plans.base import query, table
+
+NOW, TTL = datetime(2024, 1, 30), 86_400
+ENDS = ("error",)
+_LATEST = "latest AS (SELECT user_id, max(event_id) AS event_id FROM events GROUP BY user_id), s AS (SELECT e.user_id, e.event_id, e.event_type, e.ts AS updated_at FROM events e JOIN latest USING (user_id, event_id))"
+_LIVE = f"live AS (SELECT * FROM s WHERE updated_at >= TIMESTAMP '{NOW}' - INTERVAL {TTL} SECONDS)"
+
+
+def _sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A session for each user, as their last event left it."""
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", F.col("ts").alias("updated_at"))
+    return sessions.latest(rows, "user_id", ["event_id"]).withColumn("session_id", F.col("user_id"))
+
+
+@query(f"WITH {_LATEST} SELECT user_id, event_id, event_type, updated_at FROM s")
+def session_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sessions(spark, sf_dir).select("user_id", "event_id", "event_type", "updated_at")
+
+
+@query(f"WITH {_LATEST}, {_LIVE} SELECT user_id, event_id FROM live")
+def session_live(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sessions.live(_sessions(spark, sf_dir), F.lit(NOW).cast("timestamp_ntz"), TTL).select("user_id", "event_id")
+
+
+@query(f"WITH {_LATEST}, {_LIVE} SELECT user_id FROM s WHERE user_id NOT IN (SELECT user_id FROM live)")
+def session_expired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sessions.expired(_sessions(spark, sf_dir), F.lit(NOW).cast("timestamp_ntz"), TTL).select("user_id")
+
+
+@query(f"SELECT event_id AS session_id, ts AS updated_at FROM events WHERE user_id = 8 AND ts >= TIMESTAMP '{NOW}' - INTERVAL {TTL} SECONDS")
+def user_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event taken as a session of its user."""
+    rows = table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("session_id"), F.col("ts").alias("updated_at"))
+    return sessions.of_user(rows, 8, F.lit(NOW).cast("timestamp_ntz"), TTL).drop("user_id")
+
+
+@query(f"""WITH {_LATEST}, {_LIVE} SELECT e.event_id AS request_id, e.user_id AS session_id,
+CASE WHEN l.user_id IS NULL THEN 'created' WHEN l.user_id = e.user_id - e.event_id % 2 THEN 'loaded' ELSE 'forbidden' END AS outcome
+FROM events e LEFT JOIN live l ON l.user_id = e.user_id""")
+def session_create_or_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every second request comes from somebody else."""
+    requests = table(spark, sf_dir, "events").select(F.col("event_id").alias("request_id"), F.col("user_id").alias("session_id"), (F.col("user_id") - F.col("event_id") % 2).alias("user_id"))
+    return sessions.create_or_load(requests, _sessions(spark, sf_dir), F.lit(NOW).cast("timestamp_ntz"), TTL)
+
+
+@query("""WITH ends AS (SELECT user_id, min(event_id) AS e FROM events WHERE event_type = 'error' GROUP BY user_id),
+rows AS (SELECT v.* FROM events v LEFT JOIN ends USING (user_id) WHERE e IS NULL OR event_id <= e)
+SELECT user_id, coalesce(string_agg(CASE WHEN event_type = 'view' THEN CAST(event_id AS VARCHAR) END, '' ORDER BY event_id), '') AS answer,
+       count(*) FILTER (WHERE event_type = 'view') AS n_tokens, arg_max(event_type, event_id) FILTER (WHERE event_type IN ('signup', 'purchase')) AS stage,
+       CASE WHEN bool_or(event_type = 'error') THEN 'error' ELSE 'open' END AS status
+FROM rows GROUP BY user_id""")
+def stream_accumulate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Views are tokens, sign-ups and purchases stages, an error ends the stream."""
+    kind = F.col("event_type")
+    token = F.when(kind == "view", F.col("event_id").cast("string"))
+    stage = F.when(kind.isin("signup", "purchase"), kind)
+    return sessions.accumulate(table(spark, sf_dir, "events"), "user_id", "event_id", token, stage, "event_type", ENDS)
+
+
+@query("""WITH g AS (SELECT *, CASE WHEN ts > lag(ts) OVER w + INTERVAL 2 HOURS THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+r AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM g)
+SELECT user_id, min(ts) AS starts, max(ts) AS ends, count(*) AS n FROM r GROUP BY user_id, run""")
+def idle_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sessions.idle_sessions(table(spark, sf_dir, "events"), "user_id", "ts", "2 hours")
+
+
+@query("""WITH have AS (SELECT user_id FROM events WHERE event_type = 'signup' AND event_id % 3 = 0),
+f AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events)
+SELECT user_id, event_id FROM f WHERE i = 1 AND user_id NOT IN (SELECT user_id FROM have)""")
+def insert_if_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events")
+    there = rows.where("event_type = 'signup' AND event_id % 3 = 0").select("user_id").distinct()
+    return ingest.absent(rows.select("user_id", "event_id"), there, "user_id", ["event_id"])
+
+
+@query("""WITH new AS (SELECT user_id AS key, max(value) AS value FROM events WHERE event_type = 'purchase' GROUP BY user_id),
+old AS (SELECT user_id AS key, min(value) AS value FROM events GROUP BY user_id)
+SELECT key, value FROM new UNION ALL SELECT key, value FROM old WHERE key NOT IN (SELECT key FROM new)""")
+def upsert_key_value(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").withColumnRenamed("user_id", "key")
+    old = rows.groupBy("key").agg(F.min("value").alias("value"))
+    new = rows.where("event_type = 'purchase'").groupBy("key").agg(F.max("value").alias("value"))
+    return ingest.upsert(old, new, "key")
