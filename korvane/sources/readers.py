@@ -53,14 +53,14 @@ def chunk_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def documents(spark: SparkSession, path: str) -> DataFrame:
     """(document_id, content, sha256) of all text and Markdown files; the id is the file's name without its ending."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.{txt,md}").text(path)
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.{txt,md}").text(path, wholetext=True)
     name = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.[^.]+$", 1)
     return files.select(name.alias("document_id"), F.col("value").alias("content"), F.sha2("value", 256).alias("sha256")).where(F.btrim("content") != "")
 
 
 def captions(spark: SparkSession, path: str) -> DataFrame:
     """The captions of all WebVTT files of a folder."""
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.vtt").text(path)
+    files = spark.read.option("pathGlobFilter", "*.vtt").text(path, wholetext=True)
     return cues(files.withColumn("video_id", F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.vtt$", 1)))
 
 
