@@ -1,0 +1,456 @@
+"""Each operator against a brute-force version, an exact round trip, or held-out accuracy."""
+
+from __future__ import annotations
+
+import base64
+import hashlib
+import json
+import math
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+import tiktoken
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from oracle import of_frame, of_sql, tables
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from korvane.llm import byte_bpe, gif_columns, html_wrappers, language_gru, line_dedup, minhash_dedup, packing, quality_rules, queries, rans_files, secret_scan, sql, tokens
+
+from .conftest import LINE, TEXTS
+
+WORD, BYTE, RANKS = (public_tokenizers.path(x) for x in ("word_bpe_49k.json", "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"))
+WORDS = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def library(path):
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = True
+    return lambda t: tokenizer.encode(t or "", add_special_tokens=False).ids
+
+
+def texts_of(spark, sf):
+    return {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+
+
+@pytest.mark.parametrize("name", sorted(sql.ORACLE_SQL))
+def test_query_equals_its_sql(spark, sf, name):
+    assert of_frame(queries.QUERIES[name](spark, sf)) == of_sql(tables(sf), sql.ORACLE_SQL[name])
+
+
+# --- 1 and 8: token ids -----------------------------------------------------------------------------------------------
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(alphabet="abAB é中😀\n\t\r .,!'12 　<|>_İ", max_size=40), max_size=4))
+@pytest.mark.parametrize(("path", "space"), [(WORD, False), (BYTE, True)])
+def test_pieces_give_the_ids_of_the_whole(path, space, texts):
+    got = tokens.encoder(path, space).encode(texts)
+    want = library(path)
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [want(t) for t in texts]
+
+
+def test_packing(spark, sf):
+    rows = queries.op1_pack_powers_of_two(spark, sf).collect()
+    encode, texts = library(WORD), texts_of(spark, sf)
+    pieces = defaultdict(list)
+    for r in rows:
+        pieces[r.doc_id].append(r)
+    for doc_id, text in texts.items():
+        ids = [*encode(text), 2]
+        at = 0
+        for r in sorted(pieces[doc_id], key=lambda r: r.start):
+            assert (r.start, r.doc_tokens) == (at, len(ids))
+            assert r.ids_crc32 == zlib.crc32(np.array(ids[at : at + r.length], "<u4").tobytes())
+            assert r.length & (r.length - 1) == 0 and r.length <= 4096 and r.offset == 0
+            at += r.length
+        assert at == len(ids)
+    assert sorted(r.sequence_id for r in rows) == list(range(len(rows)))
+    assert [r.length for r in sorted(rows, key=lambda r: r.sequence_id)] == sorted((r.length for r in rows), reverse=True)
+
+
+def test_packing_of_awkward_rows(docs, none):
+    rows = packing.pack(docs, WORD).collect()
+    assert Counter(r.doc_id for r in rows if r.start == 0) == Counter(i for i, _ in TEXTS)
+    assert [r.ids for r in rows if r.doc_id == 5] == [[2]]
+    assert packing.pack(none, WORD).count() == 0
+
+
+def test_id_files(spark, sf):
+    encode, texts, at = library(BYTE), texts_of(spark, sf), 0
+    rows = {r.doc_id: r for r in queries.op8_rans_files(spark, sf).collect()}
+    for doc_id in sorted(texts):
+        ids = [*encode(texts[doc_id]), 0]
+        assert (rows[doc_id].start, rows[doc_id].n_tokens, rows[doc_id].ids_crc32) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        at += len(ids)
+
+
+def test_id_files_of_awkward_rows(spark, docs, none, tmp_path):
+    rans_files.write_ids(docs, str(tmp_path / "a"), BYTE)
+    rows = rans_files.read_ids(spark, str(tmp_path / "a")).collect()
+    assert Counter(r.doc_id for r in rows) == Counter(i for i, _ in TEXTS)
+    encode = library(BYTE)
+    assert all(r.ids == [*encode(dict(TEXTS)[r.doc_id]), 0] for r in rows)
+    rans_files.write_ids(none, str(tmp_path / "b"), BYTE)
+    assert rans_files.read_ids(spark, str(tmp_path / "b")).count() == 0
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.lists(st.integers(0, 50_256), min_size=1, max_size=400), st.integers(1, 60))
+def test_rans_round_trip(ids, times):
+    ids = np.array(ids * times, np.int64)
+    data = rans_files.to_file(np.array([3]), np.array([len(ids)]), ids)
+    file = rans_files.IdFile(data)
+    assert file.blocks().tolist() == ids.tolist()
+    if file.n_blocks > 1:  # any block alone
+        assert file.blocks(1, 2).tolist() == ids[rans_files.BLOCK : 2 * rans_files.BLOCK].tolist()
+    broken = bytearray(data)
+    broken[len(data) // 2] ^= 1
+    with pytest.raises(rans_files.Corrupt):
+        rans_files.IdFile(bytes(broken))
+
+
+# --- 2: secrets -------------------------------------------------------------------------------------------------------
+
+
+def base(text):
+    """The base by its definition, without any shortcut."""
+    low = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
+    found = [(m.start(), 0, m.end()) for m in low.finditer(text) if len(m[2]) >= 6]
+    found += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    found += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+    return sorted(found)
+
+
+def listed(spans):
+    return ",".join(f"{secret_scan.KINDS[k]}:{a}:{b}" for a, k, b in spans)
+
+
+def test_secrets(spark, sf):
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    owners = defaultdict(set)
+    every = {}
+    for i, r in docs.items():
+        text = r.text or ""
+        known = [(a, k, b, text) for a, k, b in base(text)]
+        every[i] = secret_scan.candidate_spans(text, known)
+        for *_, value in every[i]:
+            owners[value].add(r.source)
+    values = {m: owners[m] for m in owners}
+    for r in queries.op2_secret_ownership(spark, sf).collect():
+        text = docs[r.doc_id].text or ""
+        spans = base(text)
+        counts = Counter(k for _, k, _ in spans)
+        assert (r.n_assign, r.n_access, r.n_hex) == (counts[0], counts[1], counts[2])
+        assert r.base_sha256 == hashlib.sha256(listed(spans).encode()).hexdigest()
+        shown = set(r.spans.split(",")) - {""}
+        assert set(listed(spans).split(",")) - {""} <= shown
+        for a, k, b, v in every[r.doc_id]:
+            if len(values[v]) > 1:
+                assert f"owner:{a}:{b}" not in shown
+        assert len(shown) <= len(spans) + len(every[r.doc_id])
+
+
+def test_secrets_shared_by_owners_are_examples(spark):
+    value, own = "Zx9Qw8Er7Ty6Ui5Op4As3", "Pq1Zm2Xn3Cb4Vv5Bn6Mm7"
+    rows = [(i, f"key {value} here" + (f" {own}" if i == 1 else ""), f"o{i}") for i in range(1, 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("lang", F.lit("en"))
+    assert {r.doc_id: r.spans for r in secret_scan.find_secrets(docs).collect()} == {1: "owner:31:52", 2: "", 3: ""}
+    assert {r.doc_id: r.text for r in secret_scan.redact(docs).collect()}[1] == f"key {value} here <owner>"
+
+
+def test_secrets_of_awkward_rows(docs, none):
+    found = secret_scan.find_secrets(docs).collect()
+    assert Counter(r.doc_id for r in found) == Counter(i for i, _ in TEXTS)
+    nine = next(r for r in found if r.doc_id == 9)
+    assert (nine.n_assign, nine.n_access, nine.n_hex) == (1, 1, 1)
+    out = secret_scan.redact(docs)
+    assert out.columns == docs.columns and out.count() == len(TEXTS)
+    assert "hunter2" not in next(r.text for r in out.collect() if r.doc_id == 9)
+    assert secret_scan.redact(none).count() == 0
+
+
+# --- 3: media ---------------------------------------------------------------------------------------------------------
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(2, 8), st.data())
+def test_lzw_round_trip(bits, data):
+    values = data.draw(st.lists(st.integers(0, (1 << bits) - 1), min_size=1, max_size=300)) * data.draw(st.integers(1, 40))
+    assert gif_columns.lzw_decode(gif_columns.lzw_encode(bytes(values), bits), bits, len(values)) == bytes(values)
+
+
+def test_media(spark, sf):
+    texts = texts_of(spark, sf)
+    for r in queries.op3_gif_columns(spark, sf).collect():
+        n, payload = gif_columns.padded(texts[r.doc_id])
+        raw = (texts[r.doc_id] or "").encode()
+        assert payload == raw + b"\xff" * (576 * max(1, math.ceil(len(raw) / 576)) - len(raw))
+        stored = gif_columns.store_bytes(payload)
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
+        assert (r.media_bytes, r.media_sha256) == (len(stored), hashlib.sha256(stored).hexdigest())
+        levels = [int(x) for x in r.feature.split(";")[2].split(",")]
+        assert levels == np.bincount(np.frombuffer(payload, np.uint8) >> 4, minlength=16).tolist() or len(payload) > 96 * 96
+
+
+def gif(frames, width=2, height=2):
+    """A GIF of frames (left, top, w, h, indices, delay, disposal, transparent, interlaced) with four colours."""
+    palette = bytes([0, 0, 0, 255, 0, 0, 0, 255, 0, 0, 0, 255])
+    out = [b"GIF89a", bytes([width, 0, height, 0, 0x81, 0, 0]), palette]
+    for left, top, w, h, indices, delay, disposal, transparent, interlaced in frames:
+        out += [b"!\xf9\x04", bytes([disposal << 2 | (transparent >= 0), delay, 0, max(0, transparent), 0])]
+        out += [b",", bytes([left, 0, top, 0, w, 0, h, 0, 0x40 * interlaced, 2]), gif_columns._sub_blocks(gif_columns.lzw_encode(bytes(indices), 2))]
+    return b"".join([*out, b";"])
+
+
+def test_disposal_transparency_and_interlace(spark):
+    data = gif([(0, 0, 2, 2, [1, 1, 1, 1], 5, 1, -1, False), (0, 0, 1, 1, [2], 7, 2, -1, False), (0, 0, 2, 1, [3, 0], 1, 3, 0, False), (0, 0, 2, 2, [2, 0, 0, 0], 2, 0, 0, False)])
+    rows = gif_columns.frames(spark.createDataFrame([(1, bytearray(data)), (2, bytearray(b"GIF89a")), (3, None)], "doc_id long, media binary")).orderBy("frame").collect()
+    red, green, blue, clear = 0xFF0000FF, 0xFF00FF00, 0xFFFF0000, 0
+    shown = [np.frombuffer(r.pixels, "<u4").tolist() for r in rows]
+    assert shown == [[red] * 4, [green, red, red, red], [blue, red, red, red], [green, red, red, red]]
+    assert clear == 0 and [r.starts_ms for r in rows] == [0, 50, 120, 130] and {r.doc_id for r in rows} == {1}
+    assert rows[0].red[15] == 4 and rows[2].blue[15] == 1
+    order = [0, 4, 2, 6, 1, 3, 5, 7]  # the rows as they are stored
+    found = gif_columns.read_gif(gif([(0, 0, 1, 8, [k % 4 for k in order], 1, 0, -1, True)], 1, 8))[2]
+    assert found[0].indices[:, 0].tolist() == [k % 4 for k in range(8)]
+
+
+# --- 4: language ------------------------------------------------------------------------------------------------------
+
+
+def test_gradients_are_those_of_differences():
+    rng = np.random.default_rng(1)
+    net = language_gru.Network.start(["a", "b"])
+    for name in ("inputs", "hidden", "out", "bias"):
+        setattr(net, name, getattr(net, name).astype(np.float64))
+    x, valid, label = rng.integers(0, 256, (3, 6)).astype(np.uint8), np.ones((3, 6), bool), np.array([0, 1, 0])
+    valid[1, 4:] = False
+    _, grads = language_gru.gradients(net, x, valid, label)
+    for w, g in zip(net.weights, grads, strict=True):
+        for at in rng.choice(np.flatnonzero(g), min(8, np.count_nonzero(g)), replace=False):
+            old = w.flat[at]
+            values = []
+            for step in (1e-2, -1e-2):
+                w.flat[at] = old + step
+                values.append(language_gru.gradients(net, x, valid, label)[0])
+            w.flat[at] = old
+            assert abs((values[0] - values[1]) / 2e-2 - g.flat[at]) < 1e-3
+
+
+def test_language_by_held_out_accuracy(spark):
+    docs = {r.doc_id: r for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    rows = queries.op4_language_gru(spark, "/root/testdata/sf0.01").collect()
+    assert len(rows) == len(docs)
+    right = total = 0
+    for r in rows:
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and 0 <= r.score <= 1
+        if r.held_out and docs[r.doc_id].lang and r.lang_pred != "und":
+            total += 1
+            right += r.lang_pred == docs[r.doc_id].lang
+    assert total > 100 and right / total > 0.95
+
+
+def test_language_of_awkward_rows(docs, none):
+    net = language_gru.train([b"the and of", b"der die das"] * 4, ["en", "de"] * 4, steps=3)
+    got = language_gru.predict(docs, net)
+    assert set(docs.columns) < set(got.columns)
+    by = {r.doc_id: r.lang_pred for r in got.collect()}
+    assert by[4] == by[5] == by[6] == "und" and by[7] in ("en", "de")
+    assert {r.lang_pred for r in language_gru.predict(docs, None).collect()} == {"und"}
+    assert language_gru.fit(none) is None and language_gru.predict(none, net).count() == 0
+    assert len(language_gru.positions(net, "über")) == 5
+
+
+# --- 5: lines ---------------------------------------------------------------------------------------------------------
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.sets(st.integers(0, 2**64 - 1), max_size=300))
+def test_perfect_hash_is_minimal(keys):
+    keys = np.array(sorted(keys), np.uint64)
+    perfect = line_dedup.PerfectHash.from_bytes(line_dedup.PerfectHash.build(keys).to_bytes())
+    assert sorted(perfect.index(keys).tolist()) == list(range(len(keys)))
+
+
+def test_lines_of_awkward_rows(docs, none):
+    got = line_dedup.dedup_lines(docs)
+    rows = {r.doc_id: r for r in got.collect()}
+    assert got.count() == len(TEXTS)
+    assert rows[1].text.startswith("my own") and rows[2].text == "something else altogether" and rows[3].text == f"{LINE}\n{LINE}\nlast"
+    assert (rows[5].text, rows[5].n_lines, rows[5].n_dropped) == ("", 1, 0) and rows[6].n_lines == 3
+    assert [r.n_dropped for r in got.where("doc_id = 13").collect()] == [0, 0]
+    assert line_dedup.dedup_lines(none).count() == 0
+
+
+# --- 6: pages ---------------------------------------------------------------------------------------------------------
+
+PAGE = (
+    "<html><head><title>t</title><style>p{}</style></head><body><nav><a href='/'>Home</a></nav><div class='ad'>Buy</div>"
+    "<article><h1>Title &amp; more</h1><p>One  <b>bold</b>\n text.<p>Two<br>lines.</p><ul><li>a</li><li>b</li></ul><form>no</form></article>"
+    "<section class='comments'><p>reader</p></section><footer>foot</footer><script>var x = '<p>';</script></body></html>"
+)
+
+
+def test_pages(spark):
+    plain = PAGE.replace("article>", "div>").replace("<div><h1>", "<div class='story'><h1>")
+    rows = [(1, "http://a/1", PAGE), (2, "http://a/2", PAGE.replace("Two", "Other")), (3, "http://b/1", plain), (4, None, PAGE), (5, "http://a/3", None), (6, "http://a/4", ""), (6, "http://a/4", "")]
+    got = [(r.page_id, r.text, r.n_chars) for r in html_wrappers.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()]
+    want = "Title & more\nOne bold text.\nTwo lines.\na\nb"
+    by = {i: t for i, t, _ in got}
+    assert len(got) == 7 and by[1] == by[4] == want and by[2] == want.replace("Two", "Other") and by[5] == by[6] == ""
+    assert all(n == len(t) for _, t, n in got) and "Title & more" in by[3] and "reader" not in by[3]
+    assert html_wrappers.extract_main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_wrapper_accepts_the_pages_it_was_inferred_from():
+    pages = [f"<div><ul>{'<li>x</li>' * n}</ul>{'<p>y</p>' * (n % 2)}<article><p>body {n}</p></article></div>" for n in range(1, 5)]
+    w = json.loads(html_wrappers.infer_wrapper(pages))
+    pattern = re.compile(w["pattern"], re.DOTALL)
+    accepted = [bool(pattern.fullmatch("".join(w["letters"].get(s, "?") for s, _, t in html_wrappers.tokens(p) if s != "T" or t.strip()))) for p in pages]
+    assert sum(accepted) >= 3
+    assert [html_wrappers.extract(p, json.dumps(w)) for p in pages] == [f"body {n}" for n in range(1, 5)]
+
+
+def test_pages_of_the_driver(spark, sf):
+    """The paragraphs of plain ``<article>`` elements, by another reading."""
+    pages = {r.page_id: r.html for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+    rows = {r.page_id: r.text for r in queries.op6_html_wrappers(spark, sf).collect()}
+    assert rows.keys() == pages.keys()
+    for i, text in rows.items():
+        assert "<script" not in text and not re.search(r"track\(\d*\)", text)
+        if "<article" in (pages[i] or ""):
+            assert text
+
+
+# --- 7: byte-level BPE ------------------------------------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def reference():
+    with open(RANKS, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def test_byte_bpe(spark, sf, reference):
+    texts = texts_of(spark, sf)
+    for r in queries.op7_byte_bpe(spark, sf).collect():
+        ids = reference.encode_ordinary(texts[r.doc_id] or "")
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
+        assert r.decoded_sha256 == hashlib.sha256((texts[r.doc_id] or "").encode()).hexdigest()
+
+
+@settings(max_examples=200, deadline=None)
+@given(text=st.text(alphabet="abc é中😀\n\t .,' 123", max_size=60))
+def test_transducer(reference, text):
+    got = byte_bpe.codec(RANKS, public_tokenizers.PATTERN)
+    ids = got.encode([text])[0]
+    assert np.frombuffer(ids, "<u4").tolist() == reference.encode_ordinary(text)
+    assert got.decode(ids, 1) == text
+
+
+def test_byte_bpe_of_awkward_rows(docs, none, reference):
+    rows = byte_bpe.round_trip(docs, RANKS, public_tokenizers.PATTERN).collect()
+    assert Counter(r.doc_id for r in rows) == Counter(i for i, _ in TEXTS)
+    assert all(r.decoded == (dict(TEXTS)[r.doc_id] or "") for r in rows)
+    assert byte_bpe.round_trip(none, RANKS, public_tokenizers.PATTERN).count() == 0
+
+
+# --- 9: near-duplicates -----------------------------------------------------------------------------------------------
+
+
+def shingle_set(text):
+    w = WORDS.findall(text or "")
+    return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+
+
+def brute_classes(texts):
+    parent = {i: i for i in texts}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    sets, holders = {i: shingle_set(t) for i, t in texts.items()}, defaultdict(list)
+    for i in sorted(texts):
+        for j, n in Counter(j for s in sets[i] for j in holders[s]).items():
+            if n >= 0.8 * (len(sets[i]) + len(sets[j]) - n):
+                a, b = find(i), find(j)
+                parent[max(a, b)] = min(a, b)
+        for s in sets[i]:
+            holders[s].append(i)
+    return {i: find(i) for i in texts}
+
+
+@pytest.mark.parametrize("folder", ["sf0.001", "sf0.01"])
+def test_near_duplicates_by_brute_force(spark, folder):
+    path = f"/root/testdata/{folder}"
+    got = {r.doc_id: r.class_id for r in queries.op9_near_duplicates(spark, path).collect()}
+    assert got == brute_classes(texts_of(spark, path))
+
+
+def test_near_duplicates_of_awkward_rows(docs, none):
+    rows = minhash_dedup.classes(docs).collect()
+    by = {r.doc_id: r.class_id for r in rows}
+    assert len(rows) == len(TEXTS) and by[11] == by[12] == by[13] == 11 and by[4] == 4 and by[5] == 5 and by[None] is None
+    kept = minhash_dedup.dedup_near(docs)
+    assert kept.columns == docs.columns
+    assert Counter(r.doc_id for r in kept.collect()) == Counter([i for i, _ in TEXTS if i not in (12, 13)])
+    assert minhash_dedup.dedup_near(none).count() == 0
+
+
+def test_a_large_bucket_of_different_texts_loses_no_link(spark):
+    """All share a passage; some pairs are alike, and none of those is like a leader."""
+    shared = " ".join(f"s{k}" for k in range(60))
+    rows = [(i, shared + " " + " ".join(f"u{i // 2}x{k}" for k in range(40)) + f" end{i}") for i in range(120)]
+    got = {r.doc_id: r.class_id for r in minhash_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_classes(dict(rows))
+
+
+def test_signatures_estimate_weighted_similarity():
+    rng = np.random.default_rng(0)
+    elements = rng.integers(0, 2**63, 300).astype(np.uint64)
+    w1, w2 = rng.uniform(0.1, 3, 300), rng.uniform(0.1, 3, 300)
+    k = 4000
+    a, b = (minhash_dedup.dart_signatures(elements, w, np.array([300]), k)[0] for w in (w1, w2))
+    want = np.minimum(w1, w2).sum() / np.maximum(w1, w2).sum()
+    assert abs((a == b).mean() - want) < 0.04
+
+
+# --- 10: quality ------------------------------------------------------------------------------------------------------
+
+
+def test_quality_of_awkward_rows(docs, none):
+    judged = {r.doc_id: r for r in quality_rules.metrics(docs).collect()}
+    assert judged[5].n_words == judged[4].n_words == judged[6].n_words == 0
+    assert judged[10].n_repeat_words == 3000 and judged[14].word_chars == 50_000
+    kept = quality_rules.filter_quality(docs)
+    assert kept.columns == docs.columns and {1, 11, 12, 13} <= {r.doc_id for r in kept.collect()}
+    assert not {4, 5, 6, 7, 10, 14} & {r.doc_id for r in kept.collect()}
+    assert quality_rules.filter_quality(none).count() == 0
+
+
+def test_the_order_of_rules_changes_no_verdict(docs):
+    rules = quality_rules.RULES
+    verdicts = []
+    for order in (rules, rules[::-1]):
+        df, named = quality_rules.with_arrays(docs)
+        fails = F.lit(False)
+        for r in order:
+            fails = fails | quality_rules.rejects(r, named)
+        verdicts.append({x.doc_id: x.f for x in df.select("doc_id", fails.alias("f")).collect()})
+    assert verdicts[0] == verdicts[1]
+    kept = {r.doc_id for r in quality_rules.filter_quality(docs).collect()}
+    assert kept == {i for i, f in verdicts[0].items() if not f}
+
+
+def test_no_python_in_quality_rules(spark, sf):
+    plan = queries.op10_quality_rules(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Arrow|Pandas", plan)
