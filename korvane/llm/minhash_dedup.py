@@ -8,9 +8,10 @@ rank that covers all coordinates are drawn, so the work is about k log k + n and
 
 Joining. Equal texts are one node. Bands of a signature are bucket keys. Of each bucket the
 nodes that meet most others lead; the rest are compared with them, first by signature, and where that leaves it open by
-their whole shingle sets. Links are contracted to classes after each round. Nodes of no leader's class go on among
-themselves, each round with twice the leaders, until a bucket has one class left or all was compared. So a bucket of
-alike nodes costs its size and not its square, and no pair of different classes goes unasked.
+their whole shingle sets. Links are contracted to classes after each round. Only nodes that have led leave a bucket,
+as they were compared with all that stay; the others go on, absorbed or not, each round with twice the leaders, until a
+bucket has one class left. Nodes outside of a bucket's largest class lead before its members. So a bucket of alike
+nodes costs its size and not its square, and no pair of different classes goes unasked.
 
 Nulls and ties: texts without a word (null too) are alike to none. Texts of one to four words have one shingle, all
 their words. Equal rows are one class. class_id is the smallest doc_id of the class, null if it has none.
@@ -249,28 +250,30 @@ def linked(nodes: DataFrame, docs: DataFrame, text_col: str, id_col: str, words:
     sizes = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     crowded = materialise(rows.join(sizes, "bucket"), "crowded")
     met = materialise(crowded.groupBy("uid").agg(F.sum("n").alias("met")), "met")
-    left = materialise(crowded.select("bucket", "uid").join(met, "uid").withColumn("label", F.col("uid")), "buckets")
+    left = materialise(crowded.select("bucket", "uid").join(met, "uid").withColumn("label", F.col("uid")).withColumn("last", F.lit(False)), "buckets")
     sketches = materialise(nodes.select("uid", "sketch").join(met.select("uid"), "uid", "left_semi"), "sketches")
     members = nodes.join(met.select("uid"), "uid", "left_semi").select("uid", "doc_id", "text_hash")
     sets = materialise(shingle_sets(docs, members, text_col, id_col, words), "sets")
     labels = docs.sparkSession.createDataFrame([], "uid long, label long")
+    before = docs.sparkSession.createDataFrame([], "a long, b long")
     leaders = FIRST_LEADERS
     while not left.isEmpty():
-        order = Window.partitionBy("bucket").orderBy(F.desc("met"), F.desc("uid"))
+        order = Window.partitionBy("bucket").orderBy("last", F.desc("met"), F.desc("uid"))
         top = materialise(left.withColumn("i", F.row_number().over(order)).where(F.col("i") <= leaders).select("bucket", "uid", "label"), "leaders")
         lead = top.join(sketches, "uid").groupBy("bucket").agg(F.collect_list(F.struct("uid", "label", "sketch")).alias("leaders"))
         # the buckets of a node mostly ask the same: each pair is looked at once
         asks = likely(left.join(sketches, "uid").join(lead, "bucket"), similarity).groupBy("uid").agg(F.array_distinct(F.flatten(F.collect_list("asks"))).alias("asks"))
         pairs = asks.select("uid", F.explode("asks").alias("leader")).select(F.least("uid", "leader").alias("a"), F.greatest("uid", "leader").alias("b"))
-        asked = materialise(pairs.distinct(), "asked")
+        asked = materialise(pairs.distinct().join(before, ["a", "b"], "left_anti"), "asked")
+        before = before.unionByName(asked)
         links = materialise(verified(asked, sets, similarity), "links")
         if not links.isEmpty():
             labels = components(links.unionByName(labels.where("uid <> label").select(F.col("uid").alias("a"), F.col("label").alias("b"))))
-        relabelled = lambda df: df.drop("label").join(labels, "uid", "left").withColumn("label", F.coalesce("label", "uid"))  # noqa: B023, E731
-        known = relabelled(top).groupBy("bucket").agg(F.collect_set("label").alias("known"))
-        rest = relabelled(left).join(known, "bucket").where(~F.array_contains("known", F.col("label"))).drop("known")
-        split = rest.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("bucket")
-        left = materialise(rest.join(split, "bucket", "left_semi"), "buckets")
+        # a leader was asked by all of its bucket; an absorbed node was not, and stays while another class does
+        rest = left.join(top.select("bucket", "uid"), ["bucket", "uid"], "left_anti").drop("label", "last").join(labels, "uid", "left").withColumn("label", F.coalesce("label", "uid"))
+        held = rest.groupBy("bucket", "label").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.count("*").alias("held"), F.max(F.struct("n", "label")).alias("most"))
+        left = rest.join(held.where("held > 1"), "bucket").withColumn("last", F.expr("most.n > 1 AND label = most.label"))
+        left = materialise(left.select("bucket", "uid", "met", "label", "last"), "buckets")
         leaders *= 2
     return labels
 

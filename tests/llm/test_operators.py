@@ -6,6 +6,7 @@ import base64
 import hashlib
 import json
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -414,6 +415,33 @@ def test_a_large_bucket_of_different_texts_loses_no_link(spark):
     assert got == brute_classes(dict(rows))
 
 
+def hub_and_chains(seed, n_words=140, copies=150, chains=60, length=6, step=3):
+    """Near copies of one text, and chains of versions that leave it word by word."""
+    rng = random.Random(seed)
+    hub = [f"h{k}" for k in range(n_words)]
+
+    def version(words, n):
+        out = list(words)
+        for k in rng.sample(range(n_words), n):
+            out[k] = f"v{rng.random()}"
+        return out
+
+    out = [version(hub, 1) for _ in range(copies)]
+    for _ in range(chains):
+        words = hub
+        for _ in range(length):
+            words = version(words, step)
+            out.append(words)
+    rng.shuffle(out)
+    return [(i, " ".join(w)) for i, w in enumerate(out)]
+
+
+def test_members_that_a_leader_absorbed_are_asked_too(spark):
+    rows = hub_and_chains(1)
+    got = {r.doc_id: r.class_id for r in minhash_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_classes(dict(rows))
+
+
 def test_signatures_estimate_weighted_similarity():
     rng = np.random.default_rng(0)
     elements = rng.integers(0, 2**63, 300).astype(np.uint64)
