@@ -35,6 +35,8 @@ SIMILARITY = 0.8
 BANDS, ROWS = 32, 5  # at a similarity of 0.8, about 3 in a million pairs share no band
 #: Leaders of a bucket in the first round; each later round has twice as many.
 FIRST_LEADERS = 2
+#: Leaders in one list; a bucket with more has several, and a row meets one of them at a time.
+BLOCK = 256
 #: Bytes of text for one numpy step; a longer text is a step of its own.
 STEP = 1 << 20
 NO_ID = -(2**63)
@@ -250,7 +252,7 @@ def linked(nodes: DataFrame, docs: DataFrame, text_col: str, id_col: str, words:
     sizes = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     crowded = materialise(rows.join(sizes, "bucket"), "crowded")
     met = materialise(crowded.groupBy("uid").agg(F.sum("n").alias("met")), "met")
-    left = materialise(crowded.select("bucket", "uid").join(met, "uid").withColumn("label", F.col("uid")).withColumn("last", F.lit(False)), "buckets")
+    left = materialise(crowded.select("bucket", "uid", "n").join(met, "uid").withColumn("label", F.col("uid")).withColumn("last", F.lit(False)), "buckets")
     sketches = materialise(nodes.select("uid", "sketch").join(met.select("uid"), "uid", "left_semi"), "sketches")
     members = nodes.join(met.select("uid"), "uid", "left_semi").select("uid", "doc_id", "text_hash")
     sets = materialise(shingle_sets(docs, members, text_col, id_col, words), "sets")
@@ -259,10 +261,11 @@ def linked(nodes: DataFrame, docs: DataFrame, text_col: str, id_col: str, words:
     leaders = FIRST_LEADERS
     while not left.isEmpty():
         order = Window.partitionBy("bucket").orderBy("last", F.desc("met"), F.desc("uid"))
-        top = materialise(left.withColumn("i", F.row_number().over(order)).where(F.col("i") <= leaders).select("bucket", "uid", "label"), "leaders")
-        lead = top.join(sketches, "uid").groupBy("bucket").agg(F.collect_list(F.struct("uid", "label", "sketch")).alias("leaders"))
+        top = materialise(left.withColumn("i", F.row_number().over(order)).where(F.col("i") <= leaders).select("bucket", "uid", "label", F.floor((F.col("i") - 1) / BLOCK).alias("block")), "leaders")
+        lead = top.join(sketches, "uid").groupBy("bucket", "block").agg(F.collect_list(F.struct("uid", "label", "sketch")).alias("leaders"))
         # the buckets of a node mostly ask the same: each pair is looked at once
-        asks = likely(left.join(sketches, "uid").join(lead, "bucket"), similarity).groupBy("uid").agg(F.array_distinct(F.flatten(F.collect_list("asks"))).alias("asks"))
+        meets = left.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.least("n", F.lit(leaders)) - 1) / BLOCK))))
+        asks = likely(meets.join(sketches, "uid").join(lead, ["bucket", "block"]), similarity).groupBy("uid").agg(F.array_distinct(F.flatten(F.collect_list("asks"))).alias("asks"))
         pairs = asks.select("uid", F.explode("asks").alias("leader")).select(F.least("uid", "leader").alias("a"), F.greatest("uid", "leader").alias("b"))
         asked = materialise(pairs.distinct().join(before, ["a", "b"], "left_anti"), "asked")
         before = before.unionByName(asked)
@@ -270,10 +273,10 @@ def linked(nodes: DataFrame, docs: DataFrame, text_col: str, id_col: str, words:
         if not links.isEmpty():
             labels = components(links.unionByName(labels.where("uid <> label").select(F.col("uid").alias("a"), F.col("label").alias("b"))))
         # a leader was asked by all of its bucket; an absorbed node was not, and stays while another class does
-        rest = left.join(top.select("bucket", "uid"), ["bucket", "uid"], "left_anti").drop("label", "last").join(labels, "uid", "left").withColumn("label", F.coalesce("label", "uid"))
-        held = rest.groupBy("bucket", "label").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.count("*").alias("held"), F.max(F.struct("n", "label")).alias("most"))
+        rest = left.join(top.select("bucket", "uid"), ["bucket", "uid"], "left_anti").drop("label", "last", "n").join(labels, "uid", "left").withColumn("label", F.coalesce("label", "uid"))
+        held = rest.groupBy("bucket", "label").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.count("*").alias("held"), F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("most"))
         left = rest.join(held.where("held > 1"), "bucket").withColumn("last", F.expr("most.n > 1 AND label = most.label"))
-        left = materialise(left.select("bucket", "uid", "met", "label", "last"), "buckets")
+        left = materialise(left.select("bucket", "uid", "n", "met", "label", "last"), "buckets")
         leaders *= 2
     return labels
 

@@ -442,6 +442,22 @@ def test_members_that_a_leader_absorbed_are_asked_too(spark):
     assert got == brute_classes(dict(rows))
 
 
+def test_lists_of_leaders_are_bounded(spark, monkeypatch):
+    shared = " ".join(f"s{k}" for k in range(60))
+    rows = [(i, shared + " " + " ".join(f"u{i // 2}x{k}" for k in range(40)) + f" end{i}") for i in range(24)]
+    sizes, likely = [], minhash_dedup.likely
+
+    def spy(df, similarity):
+        sizes.append(df.agg(F.max(F.size("leaders"))).first()[0])
+        return likely(df, similarity)
+
+    monkeypatch.setattr(minhash_dedup, "likely", spy)
+    monkeypatch.setattr(minhash_dedup, "BLOCK", 3, raising=False)
+    got = {r.doc_id: r.class_id for r in minhash_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_classes(dict(rows))
+    assert len(sizes) > 1 and max(sizes) == 3
+
+
 def test_signatures_estimate_weighted_similarity():
     rng = np.random.default_rng(0)
     elements = rng.integers(0, 2**63, 300).astype(np.uint64)
