@@ -19,9 +19,9 @@ from .common import held
 #: Pieces in a generation of a worker's store. Two generations are kept: what the younger one lacks and the older one
 #: has moves on, the rest goes. This bounds memory and costs time only.
 CACHE_PIECES = 300_000
-#: White space on both sides of a space, three in a row, before the text, or alone; Arrow's \\s would be ASCII.
+#: White space on both sides of a space, three in a row, two at the end, before the text, or alone; Arrow's \\s would be ASCII.
 _SPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-JOINED = rf"{_SPACE} {_SPACE}|{_SPACE}{{3}}|\A |\A{_SPACE}+\z"
+JOINED = rf"{_SPACE} {_SPACE}|{_SPACE}{{3}}|{_SPACE}{{2}}\z|\A |\A{_SPACE}+\z"
 #: Punctuation that both vocabularies encode apart from the letters before it.
 TAIL = ".,;:!?"
 #: Below it, Python and the tokenizers agree on what a letter is, and texts are in normal form C.

@@ -356,6 +356,16 @@ def test_transducer(reference, text):
     assert got.decode(ids, 1) == text
 
 
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2003\u2028\u2029\u202f\u205f\u3000"
+
+
+def test_texts_that_end_in_two_white_space_characters(reference):
+    texts = [head + a + b for head in ("word", "a b.", "\n1", "é", "two\n\nlines") for a in WHITE for b in WHITE]
+    want = [reference.encode_ordinary(t) for t in texts]
+    assert [np.frombuffer(x, "<u4").tolist() for x in byte_bpe.codec(RANKS, public_tokenizers.PATTERN).encode(texts)] == want
+    assert [np.frombuffer(x, "<u4").tolist() for x in tokens.encoder(BYTE, True).encode(texts)] == list(map(library(BYTE), texts))
+
+
 def test_byte_bpe_of_awkward_rows(docs, none, reference):
     rows = byte_bpe.round_trip(docs, RANKS, public_tokenizers.PATTERN).collect()
     assert Counter(r.doc_id for r in rows) == Counter(i for i, _ in TEXTS)
