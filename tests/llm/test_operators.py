@@ -318,6 +318,34 @@ def test_wrapper_accepts_the_pages_it_was_inferred_from():
     assert [html_wrappers.extract(p, json.dumps(w)) for p in pages] == [f"body {n}" for n in range(1, 5)]
 
 
+HOSTS = {
+    "body": "<body class='has-sidebar'><div class='content'><p>One {0}.</p><p>Two {0} is longer.</p></div></body>",
+    "ancestor": "<body><div class='content with-sidebar'><p>One {0}.</p><p>Two {0} is longer.</p></div></body>",
+    "article": "<body><article class='post has-comments'><p>One {0}.</p><p>Two {0} is longer.</p></article></body>",
+    "whole": "<body class='sidebar'><article class='comments'><p>One {0}.</p><p>Two {0} is longer.</p></article></body>",
+    "outside": "<body><div class='sidebar'><article><p>One {0}.</p><p>Two {0} is longer.</p></article></div><p>Imprint {0}</p></body>",
+    "aside": "<body><div class='social'><div class='text'><p>One {0}.</p><p>Two {0} is longer.</p></div></div></body>",
+    "teaser": "<body><div class='related'><article>x {0}</article></div><div class='text'><p>One {0}.</p><p>Two {0} is longer.</p></div></body>",
+    "ad": "<body><article><p>One {0}.</p><div class='box ad'>Buy {0}</div><nav>Next {0}</nav><p>Two {0} is longer.</p></article></body>",
+}
+
+
+@pytest.mark.parametrize("host", sorted(HOSTS))
+def test_names_put_no_article_outside(host):
+    pages = [HOSTS[host].format(f"word{n}") for n in range(5)]
+    wrapper = html_wrappers.infer_wrapper(pages)
+    for n, page in enumerate(pages):
+        want = f"One word{n}.\nTwo word{n} is longer."
+        assert html_wrappers.extract(page, wrapper) == want
+        assert html_wrappers.extract(page, None) == want
+        assert html_wrappers.extract(page.replace("<p>Two", "<h2></h2><p>Two"), wrapper) == want
+
+
+def test_figures_stay():
+    page = "<article><p>a</p><figure><img src='x'><figcaption>caption</figcaption><table><tr><td>cell</td></tr></table></figure><p>b</p></article>"
+    assert html_wrappers.extract(page, html_wrappers.infer_wrapper([page])).split("\n") == ["a", "caption", "cell", "b"]
+
+
 def test_pages_of_the_driver(spark, sf):
     """The paragraphs of plain ``<article>`` elements, by another reading."""
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
