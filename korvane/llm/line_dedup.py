@@ -166,6 +166,7 @@ def line_index(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     seen = Observation()
     repeated = materialise(
         distinct_keys(docs, text_col, id_col, min_chars)
+        .distinct()  # rows of one id are one document
         .groupBy("h1", "h2")
         .agg(F.count("*").alias("n_docs"), F.max("id").alias("largest"))
         .observe(seen, F.coalesce(F.sum("n_docs"), F.lit(0)).alias("rows"))

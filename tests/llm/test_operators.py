@@ -11,6 +11,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -496,6 +497,17 @@ def test_lists_of_leaders_are_bounded(spark, monkeypatch):
     assert len(sizes) > 1 and max(sizes) == 3
 
 
+def test_rows_of_one_id_are_one_document(spark, tmp_path):
+    rows = [(1, f"{LINE}\na"), (1, f"{LINE}\na"), (2, f"b\n{LINE}"), (3, "a line of three documents\nc"), (4, "a line of three documents"), (5, "a line of three documents"), (5, "d")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    frame.write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = {i: n for i, _, n, _ in con.execute(sql.ORACLE_SQL["op5_line_dedup"]).fetchall()}
+    got = {r.doc_id: r.n for r in line_dedup.dedup_lines(frame).groupBy("doc_id").agg(F.sum("n_dropped").alias("n")).collect()}
+    assert got == want == {1: 0, 2: 0, 3: 1, 4: 1, 5: 0}
+
+
 def test_signatures_estimate_weighted_similarity():
     rng = np.random.default_rng(0)
     elements = rng.integers(0, 2**63, 300).astype(np.uint64)
