@@ -8,6 +8,7 @@ vocabularies join it, and the whole text is encoded instead. Plain words are enc
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -84,18 +85,39 @@ class PieceStore:
 
 
 class PieceEncoder(PieceStore):
-    """Encodes texts by the tokenizers library. Without ``keeps_space``, words end in a marked token."""
+    """Encodes texts by the tokenizers library. Without ``keeps_space``, words end in a marked token.
 
-    def __init__(self, path: str, keeps_space: bool):
+    The strings of special tokens in a text give those tokens, as the library does by itself; with ``plain`` they are
+    ordinary text, so that a document can't forge an end.
+    """
+
+    def __init__(self, path: str, keeps_space: bool, plain: bool = False):
         super().__init__(keeps_space)
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = plain
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        #: Texts with such a string aren't cut.
+        self.special = None if plain or not special else "|".join(map(re.escape, special))
         size = self.tokenizer.get_vocab_size()
         self.line_feed = self.tokenizer.token_to_id("\u010a") if keeps_space else None  # as byte-level names it
         names = [self.tokenizer.id_to_token(i) or "" for i in range(size)]
         #: Tokens that only the start (with the space) or only the end of a word has.
         self.edge = np.array([x.startswith("\u0120") if keeps_space else x.endswith("</w>") for x in names])
 
+    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        if self.special is None:
+            return super().encode_column(texts)
+        texts = pc.fill_null(texts, "")
+        marked = pc.match_substring_regex(texts, self.special)
+        at = np.flatnonzero(marked.to_numpy(zero_copy_only=False)).tolist()
+        if not at:
+            return super().encode_column(texts)
+        ids, cuts = super().encode_column(pc.if_else(marked, "", texts))
+        parts = np.split(ids, cuts[1:-1])
+        for i, own in zip(at, self._encode(texts.filter(marked).to_pylist()), strict=True):
+            parts[i] = np.frombuffer(own, "<u4")
+        return np.concatenate(parts), np.cumsum([0, *map(len, parts)])
+
     def _encode(self, texts: list[str]) -> list[bytes]:
         got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in got]
@@ -177,7 +199,7 @@ class PieceEncoder(PieceStore):
         self.store.update(("\n" + w, feed + ids) for w, ids in zip(words, self._encode_starts(words), strict=True))
 
 
-def encoder(path: str, keeps_space: bool) -> PieceEncoder:
+def encoder(path: str, keeps_space: bool, plain: bool = False) -> PieceEncoder:
     """One for each Python worker; a task has one core."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return held(("tokenizer", path, keeps_space), lambda: PieceEncoder(path, keeps_space))
+    return held(("tokenizer", path, keeps_space, plain), lambda: PieceEncoder(path, keeps_space, plain))

@@ -31,9 +31,9 @@ WORD, BYTE, RANKS = (public_tokenizers.path(x) for x in ("word_bpe_49k.json", "b
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def library(path):
+def library(path, plain=False):
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
+    tokenizer.encode_special_tokens = plain
     return lambda t: tokenizer.encode(t or "", add_special_tokens=False).ids
 
 
@@ -58,6 +58,16 @@ def test_pieces_give_the_ids_of_the_whole(path, space, texts):
     assert [np.frombuffer(x, "<u4").tolist() for x in got] == [want(t) for t in texts]
 
 
+@pytest.mark.parametrize(("path", "space"), [(WORD, False), (BYTE, True)])
+@pytest.mark.parametrize("plain", [False, True])
+def test_special_strings_in_texts(path, space, plain):
+    texts = ["a<|endoftext|>b", "<|endoftext|>", "<|startoftext|> A  b", "plain words", None, "two <|endoftext|> of <|endoftext|>\n\n", "<|ENDOFTEXT|>", "<| endoftext |>"]
+    got = [np.frombuffer(x, "<u4").tolist() for x in tokens.encoder(path, space, plain).encode(texts)]
+    want = library(path, plain)
+    assert got == [want(t) for t in texts]
+    assert (got[0] != library(path, not plain)(texts[0])) and got[3] == library(path, not plain)(texts[3])
+
+
 def test_packing(spark, sf):
     rows = queries.op1_pack_powers_of_two(spark, sf).collect()
     encode, texts = library(WORD), texts_of(spark, sf)

@@ -71,7 +71,6 @@ def test_secrets(stages):
 def test_packing(stages):
     before, rows = texts(stages["packing"][0]), stages["packing"][1].collect()
     tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    tokenizer.encode_special_tokens = True
     ids = {}
     for r in sorted(rows, key=lambda r: r.start):
         ids.setdefault(r.doc_id, []).extend(r.ids)
