@@ -672,3 +672,21 @@ def test_the_order_of_rules_changes_no_verdict(docs):
 def test_no_python_in_quality_rules(spark, sf):
     plan = queries.op10_quality_rules(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
+    assert plan.count("Generate inline") == 1  # the arrays are made once
+
+
+def test_rules_are_ordered_by_rejections_per_second_of_what_is_left():
+    rules = [quality_rules.Rule(x, (), None) for x in "abcd"]
+    names = lambda *args: "".join(r.name for r in quality_rules.cascade_order(rules, *args))
+    none = (False,) * 4
+    # b rejects most, but what a rejects besides is less than c; d never rejects
+    rows = {none: 50, (True, True, False, False): 20, (True, False, False, False): 2, (False, True, False, False): 10, (False, False, True, False): 5}
+    assert names([1, 1, 1, 1], rows) == "bcad"
+    assert names([1, 10, 1, 1], rows) == "acbd"  # a rejects 22 a second, b 3, c 5; of what a leaves b rejects 1
+    assert names([1, 1, 1, 1], {none: 9}) == "abcd" and names([0, 0, 0, 0], {}) == "abcd"
+
+
+def test_a_plan_on_a_sample_puts_what_never_rejects_last(spark):
+    docs = spark.createDataFrame([(i, "#$% " * 30) for i in range(300)], "doc_id long, text string")
+    order = [r.name for r in quality_rules.plan_cascade(docs)]
+    assert set(order) == {r.name for r in quality_rules.RULES} and order[0] in ("repeated_words", "symbols")
