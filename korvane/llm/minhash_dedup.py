@@ -1,31 +1,40 @@
 """Near-duplicates by DartMinHash: weighted signatures from hashed darts, banded joining, exact verification.
 
-Signatures. An element (a shingle of five words) owns a region as wide as its weight. Darts are thrown at the plane of
-(weight, rank): those of one unit of an element's weight form a Poisson process along the rank, drawn by a hash of the
-element alone. A dart whose place is above the element's weight misses. A document keeps, for each coordinate, its
-earliest dart. Two documents agree there with the probability of their weighted Jaccard similarity. Only darts up to a
-rank that covers all coordinates are drawn, so the work is about k log k + n and not k * n.
-
-Joining. Equal texts are one node. Bands of a signature are bucket keys. Of each bucket the
-nodes that meet most others lead; the rest are compared with them, first by signature, and where that leaves it open by
-their whole shingle sets. Links are contracted to classes after each round. Only nodes that have led leave a bucket,
-as they were compared with all that stay; the others go on, absorbed or not, each round with twice the leaders, until a
-bucket has one class left. Nodes outside of a bucket's largest class lead before its members. So a bucket of alike
-nodes costs its size and not its square, and no pair of different classes goes unasked.
+Signatures. The weight of an element (a shingle of five words) is how often the text has it. An element owns a region as
+wide as its weight. Darts are thrown at the plane of (weight, rank): those of one unit of an element's weight form a
+Poisson process along the rank, drawn by a hash of the element alone. A dart whose place is above the element's weight
+misses. A document keeps, for each coordinate, its earliest dart. Two documents agree there with the probability of
+their weighted Jaccard similarity, the sum of the lesser weights over that of the greater ones. Only darts up to a rank
+that covers all coordinates are drawn, so the work is about k log k + n and not k * n.
+
+Joining. Equal texts are one node. Bands of a signature are bucket keys.
+
+1. Of each bucket the node that meets most others leads, and all others are compared with it by their whole weighted
+   sets. Links are contracted to classes. So a bucket of alike nodes costs its size and not its square.
+2. All nodes that met one leader are its group. In groups of several classes, each node is written as its difference
+   from the leader's set. What two sets have in common follows from two such differences exactly, and these are small.
+   All nodes outside of a group's largest class are compared so with all nodes of other classes, in numpy: nodes stream
+   past an inverted index of at most ``BLOCK`` elements, a large group is dealt out over blocks and tasks, and a node
+   gives one row for each class that it links to, never one for each pair.
+
+Two nodes of a bucket meet the same leader, so each pair of them that isn't of one class already is compared exactly:
+what bands bring together loses no link.
 
 Nulls and ties: texts without a word (null too) are alike to none. Texts of one to four words have one shingle, all
-their words. Equal rows are one class. class_id is the smallest doc_id of the class, null if it has none.
+their words. Equal rows are one class. class_id is the smallest doc_id of the class, null if it has none. Of nodes that
+meet equally many the one with the largest number leads; classes don't depend on it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh, let_go, materialise, small_batches
@@ -33,10 +42,9 @@ from .common import fresh, let_go, materialise, small_batches
 WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 32, 5  # at a similarity of 0.8, about 3 in a million pairs share no band
-#: Leaders of a bucket in the first round; each later round has twice as many.
-FIRST_LEADERS = 2
-#: Leaders in one list; a bucket with more has several, and a row meets one of them at a time.
-BLOCK = 256
+#: Elements in a block's index, elements that stream past it in one task, and counters of one numpy step: they only
+#: steer the cost.
+BLOCK, STREAM, COUNTERS = 1 << 20, 1 << 22, 1 << 22
 #: Bytes of text for one numpy step; a longer text is a step of its own.
 STEP = 1 << 20
 NO_ID = -(2**63)
@@ -89,6 +97,24 @@ def shingles(texts: list[bytes], words: int = WORDS) -> tuple[np.ndarray, np.nda
     return mix(out[keep] + np.minimum(left, words)[keep].astype(_U)), np.where(n_words >= words, n_words - words + 1, np.minimum(n_words, 1))
 
 
+def weighed(found: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct shingles of each text, how often it has them, and how many it has."""
+    doc = np.repeat(np.arange(len(counts)), counts)
+    order = np.lexsort((found, doc))
+    found, doc = found[order], doc[order]
+    first = np.ones(len(found), bool)
+    first[1:] = (found[1:] != found[:-1]) | (doc[1:] != doc[:-1])
+    at = np.flatnonzero(first)
+    return found[at], np.diff(np.append(at, len(found))).astype(np.float64), np.bincount(doc[at], minlength=len(counts))
+
+
+def layers(elements: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One element for each unit of weight, which element it is of, and its share of a unit (the last one may be a part)."""
+    n = np.ceil(weights).astype(np.int64)
+    level = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    return mix(np.repeat(elements, n) + level.astype(_U) * _GOLD), np.repeat(np.arange(len(n)), n), np.minimum(np.repeat(weights, n) - level, 1.0)
+
+
 def dart_signatures(elements: np.ndarray, weights: np.ndarray | None, counts: np.ndarray, k: int) -> np.ndarray:
     """(documents, k) hashes of the earliest dart of each coordinate; a document without elements has zeros.
 
@@ -96,11 +122,10 @@ def dart_signatures(elements: np.ndarray, weights: np.ndarray | None, counts: np
     """
     doc = np.repeat(np.arange(len(counts)), counts)
     share = None
-    if weights is not None:  # one unit of weight is a layer of its own; the last one may be a part
-        layers = np.ceil(weights).astype(np.int64)
-        level = np.arange(layers.sum()) - np.repeat(np.cumsum(layers) - layers, layers)
-        share = np.minimum(np.repeat(weights, layers) - level, 1.0)
-        elements, doc = mix(np.repeat(elements, layers) + level.astype(_U) * _GOLD), np.repeat(doc, layers)
+    if weights is not None:
+        elements, of, share = layers(elements, weights)
+        doc = doc[of]
+        share = None if (share == 1.0).all() else share
     mass = np.bincount(doc, minlength=len(counts))
     best = np.full(len(counts) * k, np.inf)
     out = np.zeros(len(counts) * k, _U)
@@ -164,83 +189,157 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 def nodes_of(docs: DataFrame, text_col: str, id_col: str, bands: int, rows: int, words: int) -> DataFrame:
     """A row for each document: uid, doc_id, text_hash, k1 and k2 (of its words), and its bucket keys."""
-    fields = [("uid", pa.int64()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("bands", pa.list_(pa.int64())), ("sketch", pa.binary())]
+    fields = [("uid", pa.int64()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("bands", pa.list_(pa.int64()))]
     schema = pa.schema(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         let_go()
         for batch in batches:
             for begin, texts in _steps(batch.column(3).to_pylist()):
-                found, counts = shingles(texts, words)
-                signatures = dart_signatures(found, None, counts, bands * rows)
-                keys = band_keys(signatures, bands, rows)
-                sketches = [x.tobytes() for x in signatures.astype("<u2")]
+                elements, weights, counts = weighed(*shingles(texts, words))
+                keys = band_keys(dart_signatures(elements, weights, counts, bands * rows), bands, rows)
                 words_hash = b"".join(xxhash.xxh3_128_digest(b" ".join(t.split())) for t in texts)
                 halves = [pa.array(h, mask=counts == 0) for h in np.frombuffer(words_hash, ">i8").astype(np.int64).reshape(-1, 2).T.copy()]
                 has = np.cumsum([0, *[bands * bool(n) for n in counts]])
                 lists = pa.ListArray.from_arrays(pa.array(has, pa.int32()), _signed(keys[counts > 0]))
                 part = batch.slice(begin, len(texts))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), *halves, lists, pa.array(sketches)], schema=schema)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), *halves, lists], schema=schema)
 
     text = F.col(f"`{text_col}`")
     rows_ = small_batches(docs).select(
         F.monotonically_increasing_id().alias("uid"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text")
     )
-    return rows_.mapInArrow(run, "uid long, doc_id long, text_hash long, k1 long, k2 long, bands array<long>, sketch binary")
+    return rows_.mapInArrow(run, "uid long, doc_id long, text_hash long, k1 long, k2 long, bands array<long>")
+
 
+def weighted_sets(docs: DataFrame, members: DataFrame, text_col: str, id_col: str, words: int) -> DataFrame:
+    """(uid, units) for ``members`` (uid, doc_id, text_hash), from their texts.
 
-def shingle_sets(docs: DataFrame, members: DataFrame, text_col: str, id_col: str, words: int) -> DataFrame:
-    """(uid, shingles) for ``members`` (uid, doc_id, text_hash), from their texts."""
-    schema = pa.schema([("uid", pa.int64()), ("shingles", pa.list_(pa.int64()))])
+    A set has an element for each unit of weight, so the common elements of two sets are the sum of the lesser weights.
+    """
+    schema = pa.schema([("uid", pa.int64()), ("units", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         let_go()
         for batch in batches:
             for begin, texts in _steps(batch.column(1).to_pylist()):
-                found, counts = shingles(texts, words)
-                sets = [np.unique(x) for x in np.split(found, np.cumsum(counts)[:-1])]
-                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), _signed(np.concatenate(sets)))
+                elements, weights, counts = weighed(*shingles(texts, words))
+                units, of, _ = layers(elements, weights)
+                sizes = np.bincount(np.repeat(np.arange(len(counts)), counts)[of], minlength=len(counts))
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), _signed(units))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, len(texts)), lists], schema=schema)
 
     text = F.col(f"`{text_col}`")
     left = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
     right = members.select("uid", F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "text_hash")
-    return left.join(right, ["id", "text_hash"]).select("uid", "text").mapInArrow(run, "uid long, shingles array<long>").dropDuplicates(["uid"])
+    return left.join(right, ["id", "text_hash"]).select("uid", "text").mapInArrow(run, "uid long, units array<long>").dropDuplicates(["uid"])
 
 
-def likely(rows: DataFrame, similarity: float) -> DataFrame:
-    """(uid, asks) from (uid, label, sketch, leaders): the leaders of other classes whose sketches allow this similarity.
+def differences(group: DataFrame, sets: DataFrame) -> DataFrame:
+    """(leader, uid, label, size, base, lacks, delta) of rows (leader, uid, label).
 
-    The share of equal coordinates may be four standard deviations below it, which 3 in 100,000 such pairs are.
+    ``delta`` has what only one of node and leader has, ``lacks`` counts those of the leader, ``base`` is its size.
     """
-    schema = pa.schema([("uid", pa.int64()), ("asks", pa.list_(pa.int64()))])
+    x, y = sets.select("uid", F.col("units").alias("x")), sets.select(F.col("uid").alias("leader"), F.col("units").alias("y"))
+    both = group.join(x, "uid").join(y, "leader").select("leader", "uid", "label", "x", F.size("y").alias("base"), F.array_except("y", "x").alias("lacking"), F.array_except("x", "y").alias("own"))
+    return both.select("leader", "uid", "label", F.size("x").alias("size"), "base", F.size("lacking").alias("lacks"), F.concat("lacking", "own").alias("delta"))
+
+
+class Nodes(NamedTuple):
+    """Columns of some nodes of a group; ``ends`` are where each one's differences end in ``delta``."""
+
+    uid: np.ndarray
+    label: np.ndarray
+    size: np.ndarray
+    lacks: np.ndarray
+    ends: np.ndarray
+    delta: np.ndarray
+
+    @classmethod
+    def joined(cls, parts: list[Nodes]) -> Nodes:
+        before = np.cumsum([0, *(len(p.delta) for p in parts)])
+        ends = [p.ends + b for p, b in zip(parts, before, strict=False)]
+        return cls(*(np.concatenate([p[k] for p in parts]) for k in range(4)), np.concatenate(ends), np.concatenate([p.delta for p in parts]))
+
+    def part(self, a: int, b: int) -> Nodes:
+        first, last = (int(self.ends[k - 1]) if k else 0 for k in (a, b))
+        return Nodes(self.uid[a:b], self.label[a:b], self.size[a:b], self.lacks[a:b], self.ends[a:b] - first, self.delta[first:last])
+
+
+class Block:
+    """An inverted index over the differences of some nodes from their leader's set of ``base`` elements."""
+
+    def __init__(self, nodes: Nodes, base: int):
+        self.nodes, self.base = nodes, base
+        order = np.argsort(nodes.delta, kind="stable")
+        self.owner = np.repeat(np.arange(len(nodes.uid)), np.diff(nodes.ends, prepend=0))[order]
+        self.elements, self.first, self.n = np.unique(nodes.delta[order], return_index=True, return_counts=True)
+
+    def links(self, others: Nodes, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(uids of others, uids here) of pairs at least so similar: one for each other node and class here, not its own."""
+        width = len(self.nodes.uid)
+        at = np.minimum(np.searchsorted(self.elements, others.delta), max(0, len(self.elements) - 1))
+        hit = self.elements[at] == others.delta if len(self.elements) else np.zeros(len(at), bool)
+        row = np.repeat(np.arange(len(others.uid)), np.diff(others.ends, prepend=0))[hit]
+        at = at[hit]
+        cost = np.maximum(width, np.bincount(row, self.n[at], len(others.uid)))
+        step = (np.cumsum(cost) // COUNTERS).astype(np.int64)
+        cuts = [0, *(np.flatnonzero(np.diff(step)) + 1).tolist(), len(step)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            these = slice(*np.searchsorted(row, [a, b]).tolist())
+            n = self.n[at[these]]
+            ends = np.cumsum(n)
+            owner = self.owner[np.repeat(self.first[at[these]] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+            shared = np.bincount(np.repeat(row[these] - a, n) * width + owner, minlength=(b - a) * width).reshape(b - a, width)
+            common = self.base - others.lacks[a:b, None] - self.nodes.lacks + shared
+            like = common >= similarity * (others.size[a:b, None] + self.nodes.size - common)
+            i, j = np.nonzero(like & (others.label[a:b, None] != self.nodes.label))
+            _, once = np.unique(np.stack([i, self.nodes.label[j]]), axis=1, return_index=True)
+            yield others.uid[a:b][i[once]], self.nodes.uid[j[once]]
+
+
+def links_within(group: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) of alike nodes of different classes of a group, from ``differences``: all that joining the classes needs."""
+    units = F.size("delta") + 1
+    held = group.groupBy("leader", "label").agg(F.count("*").alias("n"), F.sum(units).alias("units"))
+    held = held.groupBy("leader").agg(F.sum("units").alias("units"), F.max(F.struct("n", "label", "units")).alias("most"))
+    parts = held.select("leader", "most", F.ceil((F.col("units") - F.col("most.units")) / BLOCK).alias("blocks"), F.ceil(F.col("units") / STREAM).alias("salts"))
+    rows = group.join(parts, "leader")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    some = lambda n, salt: F.pmod(F.xxhash64("uid", F.lit(salt)), F.col(n))
+    columns = ("leader", "block", "salt", "past", "uid", "label", "size", "lacks", "base", "delta")
+    block = rows.where(F.col("label") != F.col("most.label")).select("*", some("blocks", 1).alias("block"), every("salts").alias("salt"), F.lit(0).alias("past"))
+    past = rows.select("*", every("blocks").alias("block"), some("salts", 2).alias("salt"), F.lit(1).alias("past"))
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         let_go()
+        place, waiting, index = None, [], None
         for batch in batches:
-            n, counts, flat = batch.num_rows, batch.column(3).value_lengths().to_numpy(), batch.column(3).flatten()
-            mine = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u2").reshape(n, -1)
-            theirs = np.frombuffer(b"".join(flat.field("sketch").to_pylist()), "<u2").reshape(len(flat), -1)
-            k = max(1, mine.shape[1])
-            least = k * similarity - 4 * np.sqrt(k * similarity * (1 - similarity))
-            row = np.repeat(np.arange(n), counts)
-            at = flat.field("label").to_numpy() != batch.column(1).to_numpy()[row]
-            for i, (end, size) in enumerate(zip(np.cumsum(counts).tolist(), counts.tolist(), strict=True)):
-                at[end - size : end] &= (theirs[end - size : end] == mine[i]).sum(axis=1) >= least
-            kept = np.bincount(row[at], minlength=n)
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(kept)]), pa.int32()), pa.array(flat.field("uid").to_numpy()[at]))
-            some = pa.array(kept > 0)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(some), lists.filter(some)], schema=schema)
-
-    return rows.select("uid", "label", "sketch", "leaders").mapInArrow(run, "uid long, asks array<long>")
+            key = np.stack([batch.column(c).to_numpy() for c in ("leader", "block", "salt", "past")], axis=1)
+            base, lists = batch.column("base").to_numpy(), batch.column("delta")
+            nodes = Nodes(*(batch.column(c).to_numpy() for c in ("uid", "label", "size", "lacks")), np.cumsum(lists.value_lengths().to_numpy()), lists.flatten().to_numpy())
+            cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist(), len(key)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if place != tuple(key[a, :3]):
+                    place, waiting, index = tuple(key[a, :3]), [], None
+                if not key[a, 3]:
+                    waiting.append(nodes.part(a, b))
+                elif index or waiting:
+                    index = index or Block(Nodes.joined(waiting), int(base[a]))
+                    for x, y in index.links(nodes.part(a, b), similarity):
+                        yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], schema=schema)
+
+    streams = block.select(*columns).unionByName(past.select(*columns)).repartition("leader", "block", "salt")
+    return streams.sortWithinPartitions("leader", "block", "salt", "past").mapInArrow(run, "a long, b long")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose shingle sets have at least this Jaccard similarity."""
-    a = sets.select(F.col("uid").alias("a"), F.col("shingles").alias("x"))
-    b = sets.select(F.col("uid").alias("b"), F.col("shingles").alias("y"))
+    """The pairs (a, b) whose sets have at least this Jaccard similarity."""
+    a = sets.select(F.col("uid").alias("a"), F.col("units").alias("x"))
+    b = sets.select(F.col("uid").alias("b"), F.col("units").alias("y"))
     both = pairs.join(a, "a").join(b.where(F.size("y") > 0), "b")
-    near = (F.least(F.size("x"), F.size("y")) >= similarity * F.greatest(F.size("x"), F.size("y")))
+    near = F.least(F.size("x"), F.size("y")) >= similarity * F.greatest(F.size("x"), F.size("y"))
     common = F.size(F.array_intersect("x", "y"))
     like = common >= similarity * (F.size("x") + F.size("y") - common)
     return both.where(F.when(near, like).otherwise(False)).select("a", "b")
@@ -252,33 +351,16 @@ def linked(nodes: DataFrame, docs: DataFrame, text_col: str, id_col: str, words:
     sizes = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     crowded = materialise(rows.join(sizes, "bucket"), "crowded")
     met = materialise(crowded.groupBy("uid").agg(F.sum("n").alias("met")), "met")
-    left = materialise(crowded.select("bucket", "uid", "n").join(met, "uid").withColumn("label", F.col("uid")).withColumn("last", F.lit(False)), "buckets")
-    sketches = materialise(nodes.select("uid", "sketch").join(met.select("uid"), "uid", "left_semi"), "sketches")
     members = nodes.join(met.select("uid"), "uid", "left_semi").select("uid", "doc_id", "text_hash")
-    sets = materialise(shingle_sets(docs, members, text_col, id_col, words), "sets")
-    labels = docs.sparkSession.createDataFrame([], "uid long, label long")
-    before = docs.sparkSession.createDataFrame([], "a long, b long")
-    leaders = FIRST_LEADERS
-    while not left.isEmpty():
-        order = Window.partitionBy("bucket").orderBy("last", F.desc("met"), F.desc("uid"))
-        top = materialise(left.withColumn("i", F.row_number().over(order)).where(F.col("i") <= leaders).select("bucket", "uid", "label", F.floor((F.col("i") - 1) / BLOCK).alias("block")), "leaders")
-        lead = top.join(sketches, "uid").groupBy("bucket", "block").agg(F.collect_list(F.struct("uid", "label", "sketch")).alias("leaders"))
-        # the buckets of a node mostly ask the same: each pair is looked at once
-        meets = left.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.least("n", F.lit(leaders)) - 1) / BLOCK))))
-        asks = likely(meets.join(sketches, "uid").join(lead, ["bucket", "block"]), similarity).groupBy("uid").agg(F.array_distinct(F.flatten(F.collect_list("asks"))).alias("asks"))
-        pairs = asks.select("uid", F.explode("asks").alias("leader")).select(F.least("uid", "leader").alias("a"), F.greatest("uid", "leader").alias("b"))
-        asked = materialise(pairs.distinct().join(before, ["a", "b"], "left_anti"), "asked")
-        before = before.unionByName(asked)
-        links = materialise(verified(asked, sets, similarity), "links")
-        if not links.isEmpty():
-            labels = components(links.unionByName(labels.where("uid <> label").select(F.col("uid").alias("a"), F.col("label").alias("b"))))
-        # a leader was asked by all of its bucket; an absorbed node was not, and stays while another class does
-        rest = left.join(top.select("bucket", "uid"), ["bucket", "uid"], "left_anti").drop("label", "last", "n").join(labels, "uid", "left").withColumn("label", F.coalesce("label", "uid"))
-        held = rest.groupBy("bucket", "label").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.count("*").alias("held"), F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("most"))
-        left = rest.join(held.where("held > 1"), "bucket").withColumn("last", F.expr("most.n > 1 AND label = most.label"))
-        left = materialise(left.select("bucket", "uid", "n", "met", "label", "last"), "buckets")
-        leaders *= 2
-    return labels
+    sets = materialise(weighted_sets(docs, members, text_col, id_col, words), "sets")
+    lead = crowded.join(met, "uid").groupBy("bucket").agg(F.max(F.struct("met", "uid")).alias("top")).select("bucket", F.col("top.uid").alias("leader"))
+    groups = materialise(crowded.join(lead, "bucket").where(F.col("uid") != F.col("leader")).select("leader", "uid").distinct(), "groups")
+    links = materialise(verified(groups.select(F.col("uid").alias("a"), F.col("leader").alias("b")), sets, similarity), "links")
+    labels = components(links)
+    known = groups.join(labels, "uid", "left").withColumn("label", F.coalesce("label", "uid"))
+    several = known.groupBy("leader").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("leader")
+    further = materialise(links_within(materialise(differences(known.join(several, "leader"), sets), "differences"), similarity), "links")
+    return labels if further.isEmpty() else components(links.unionByName(further))
 
 
 def components(pairs: DataFrame) -> DataFrame:

@@ -530,11 +530,13 @@ def test_byte_bpe_of_awkward_rows(docs, none, reference):
 
 
 def shingle_set(text):
+    """Each shingle with how often the text has it."""
     w = WORDS.findall(text or "")
-    return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+    return Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else Counter([tuple(w)] if w else [])
 
 
 def brute_classes(texts):
+    """Classes of all links by weighted Jaccard similarity, each pair with a common shingle compared by its definition."""
     parent = {i: i for i in texts}
 
     def find(x):
@@ -543,13 +545,17 @@ def brute_classes(texts):
         return x
 
     sets, holders = {i: shingle_set(t) for i, t in texts.items()}, defaultdict(list)
+    sizes = {i: sum(s.values()) for i, s in sets.items()}
     for i in sorted(texts):
-        for j, n in Counter(j for s in sets[i] for j in holders[s]).items():
-            if n >= 0.8 * (len(sets[i]) + len(sets[j]) - n):
+        common = Counter()
+        for s, n in sets[i].items():
+            for j, m in holders[s]:
+                common[j] += min(n, m)
+            holders[s].append((i, n))
+        for j, n in common.items():
+            if n >= 0.8 * (sizes[i] + sizes[j] - n):
                 a, b = find(i), find(j)
                 parent[max(a, b)] = min(a, b)
-        for s in sets[i]:
-            holders[s].append(i)
     return {i: find(i) for i in texts}
 
 
@@ -605,20 +611,51 @@ def test_members_that_a_leader_absorbed_are_asked_too(spark):
     assert got == brute_classes(dict(rows))
 
 
-def test_lists_of_leaders_are_bounded(spark, monkeypatch):
-    shared = " ".join(f"s{k}" for k in range(60))
-    rows = [(i, shared + " " + " ".join(f"u{i // 2}x{k}" for k in range(40)) + f" end{i}") for i in range(24)]
-    sizes, likely = [], minhash_dedup.likely
+def test_large_groups_are_dealt_out(spark, monkeypatch):
+    """Blocks and streams of a few nodes, counters of a few pairs; and a node gives no row for each pair."""
+    rows = hub_and_chains(2, copies=30, chains=12)
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_classes(dict(rows))
+    seen, within = [], minhash_dedup.links_within
+
+    def spy(group, similarity):
+        seen.append((group.count(), group.agg(F.max(F.size("delta"))).first()[0]))
+        return within(group, similarity)
 
-    def spy(df, similarity):
-        sizes.append(df.agg(F.max(F.size("leaders"))).first()[0])
-        return likely(df, similarity)
+    monkeypatch.setattr(minhash_dedup, "links_within", spy)
+    for name, value in (("BLOCK", 300), ("STREAM", 700), ("COUNTERS", 1 << 22)):
+        monkeypatch.setattr(minhash_dedup, name, value)
+    assert {r.doc_id: r.class_id for r in minhash_dedup.classes(frame).collect()} == want
+    assert seen and seen[0][0] > 20 and seen[0][1] < 2 * 140
 
-    monkeypatch.setattr(minhash_dedup, "likely", spy)
-    monkeypatch.setattr(minhash_dedup, "BLOCK", 3, raising=False)
+
+@settings(max_examples=60, deadline=None)
+@given(st.data())
+def test_differences_give_all_links_of_a_group(data):
+    """Sets around a leader's, by their differences from it, against the sets themselves."""
+    base = set(range(12))
+    sets = data.draw(st.lists(st.sets(st.integers(0, 20), min_size=1), min_size=2, max_size=9))
+    label = np.array([data.draw(st.integers(0, 3)) for _ in sets])
+    deltas = [sorted(base ^ s) for s in sets]
+    nodes = minhash_dedup.Nodes(np.arange(len(sets)), label, np.array([len(s) for s in sets]), np.array([len(base - s) for s in sets]), np.cumsum([len(d) for d in deltas]), np.array([x for d in deltas for x in d], np.int64))
+    index = minhash_dedup.Block(nodes, len(base))
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(minhash_dedup, "COUNTERS", data.draw(st.sampled_from([1, 20, 1 << 20])))
+        got = {(int(i), int(label[j])) for x, y in index.links(nodes, 0.5) for i, j in zip(x, y, strict=True)}
+    want = {(i, int(label[j])) for i, x in enumerate(sets) for j, y in enumerate(sets) if label[i] != label[j] and len(x & y) >= 0.5 * len(x | y)}
+    assert got == want
+
+
+def test_weights_count_repeats(spark):
+    """Half of the shingles differ, but by weight nine tenths agree; and the other way round."""
+    many = " ".join(f"m{k}" for k in range(8))
+    heavy = [(1, " ".join([many] * 40) + " " + " ".join(f"a{k}" for k in range(10))), (2, " ".join([many] * 40) + " " + " ".join(f"b{k}" for k in range(10)))]
+    light = [(3, " ".join(f"c{k}" for k in range(60)) + " x y z" * 30), (4, " ".join(f"c{k}" for k in range(60)) + " x y z")]
+    rows = heavy + light
+    plain = lambda a, b: len(set(shingle_set(a)) & set(shingle_set(b))) / len(set(shingle_set(a)) | set(shingle_set(b)))
+    assert plain(heavy[0][1], heavy[1][1]) < 0.5 and plain(light[0][1], light[1][1]) > 0.9
     got = {r.doc_id: r.class_id for r in minhash_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == brute_classes(dict(rows))
-    assert len(sizes) > 1 and max(sizes) == 3
+    assert got == brute_classes(dict(rows)) == {1: 1, 2: 1, 3: 3, 4: 4}
 
 
 def test_rows_of_one_id_are_one_document(spark, tmp_path):
