@@ -1,12 +1,18 @@
 """Secret scan by ownership frequency over the whole corpus.
 
 Every text gives base spans (assignments, access keys, long hex) and candidates: other long tokens that look random. The
-hash of each value is aggregated over the distinct repositories and owners that hold it. A value of ``EXAMPLE_OWNERS``
-owners or more is a widely copied example; one of a single owner looks live. Live candidates become spans of kind
-``owner`` beside the base spans; what owners share stays a candidate.
+hash of each value is aggregated over the distinct repositories and owners that hold it:
 
-Texts are read once; what is shuffled are hashes and positions. Nulls and ties: null text is empty; a null repository
-or owner counts as one of its own; rows that repeat are judged alike; empty tables stay empty.
+* ``example``: EXAMPLE_OWNERS owners or more, or COPIED_REPOSITORIES repositories or more of fewer owners (two at least):
+  widely copied.
+* ``live``: one owner in LIVE_REPOSITORIES repositories at most: a credential of theirs.
+* ``shared``: all else, as a value that one owner has everywhere (a template of their own) or that two owners share.
+
+Live candidates become spans of kind ``owner`` beside the base spans; others stay candidates.
+
+Texts are read once; what is shuffled are hashes and positions. A value that a third of all rows hold is combined before
+its shuffle to one row for each repository and owner. Nulls and ties: null text is empty; a null repository or owner
+counts as one of its own, apart from the empty name; rows that repeat are judged alike; empty tables stay empty.
 """
 
 from __future__ import annotations
@@ -36,7 +42,7 @@ KINDS = ("assign", "access", "hex", "owner")
 #: Candidates: tokens of this many characters, with letters and digits, and at least so many bits a character.
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
 BITS = 3.0
-EXAMPLE_OWNERS = 3
+EXAMPLE_OWNERS, COPIED_REPOSITORIES, LIVE_REPOSITORIES = 3, 6, 3
 NO_ID = -(2**63)
 
 
@@ -113,12 +119,16 @@ def scan(docs: DataFrame, text_col: str, id_col: str, repository: Column, owner:
 
 
 def ownership(values: DataFrame) -> DataFrame:
-    """(h1, h2, n_repositories, n_owners, class) from (h1, h2, repository, owner), a row for each occurrence."""
+    """(h1, h2, n_repositories, n_owners, n_seen, class) from (h1, h2, repository, owner), a row for each occurrence."""
     held = values.groupBy("h1", "h2", "repository", "owner").agg(F.count("*").alias("n"))  # combined before the shuffle
-    name = lambda c: F.coalesce(F.col(c), F.lit(""))
-    return held.groupBy("h1", "h2").agg(
+    name = lambda c: F.struct(F.col(c).isNull(), F.coalesce(F.col(c), F.lit("")))
+    owners, repositories = F.col("n_owners"), F.col("n_repositories")
+    copied = (owners >= EXAMPLE_OWNERS) | ((owners > 1) & (repositories >= COPIED_REPOSITORIES))
+    live = (owners == 1) & (repositories <= LIVE_REPOSITORIES)
+    counts = held.groupBy("h1", "h2").agg(
         F.count_distinct(name("repository")).alias("n_repositories"), F.count_distinct(name("owner")).alias("n_owners"), F.sum("n").alias("n_seen")
-    ).withColumn("class", F.when(F.col("n_owners") >= EXAMPLE_OWNERS, "example").when(F.col("n_owners") == 1, "live").otherwise("shared"))
+    )
+    return counts.withColumn("class", F.when(copied, "example").when(live, "live").otherwise("shared"))
 
 
 def find_secrets(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", repository: Column | None = None, owner: Column | None = None) -> DataFrame:
