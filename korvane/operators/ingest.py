@@ -7,10 +7,13 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from korvane.session import exists, unused
+
 
 def absent(incoming: DataFrame, existing: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
     """Rows to insert: the first of each key, unless the table has the key. Null keys are never inserted."""
-    first = incoming.where(F.col(key).isNotNull()).withColumn("_i", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("_i = 1").drop("_i")
+    i = unused(incoming, "_i")
+    first = incoming.where(F.col(key).isNotNull()).withColumn(i, F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col(i) == 1).drop(i)
     return first.join(existing.select(key), key, "left_anti").select(*incoming.columns)
 
 
@@ -31,9 +34,7 @@ def append_absent(incoming: DataFrame, path: str, key: str, order: Sequence[str]
 
 
 def read_or_empty(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    there = jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath)
-    return spark.read.schema(like.schema).parquet(path) if there else like.limit(0)
+    return spark.read.schema(like.schema).parquet(path) if exists(spark, path) else like.limit(0)
 
 
 META = ("embedding_model", "embedding_dimension", "provider_type", "total_chunks", "generated_at")

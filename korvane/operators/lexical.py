@@ -1,67 +1,142 @@
-"""BM25 (Okapi) over word counts, and the hybrid of keyword and vector ranks.
+"""BM25 (Okapi) over a stored index of words, and the hybrid of keyword and vector ranks.
 
-The index is a table (id, term, tf) with document lengths; its aggregates combine before the shuffle. A search joins
-only the query's terms, so a query moves the postings of its terms and no other.
+An index is four Parquet tables, each a generation for every batch of documents that was added:
+
+* ``postings`` (term, id, tf, dl), in folders by a hash of the term, so that a search reads those of its terms alone;
+* ``terms`` (term, df), in the same folders; ``lengths`` (id, dl);
+* ``stats``, a row for each generation with what holds for all documents up to it: their number, words, different terms,
+  and the mean of the terms' raw inverse frequencies. Those of a search's own terms are made when it runs.
+
+A generation counts once its ``stats`` are there, which are written last: an addition that broke off changes nothing.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from korvane.functions.models import tokens_of
+from korvane.session import exists, unused
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 DIGITS = 6
+#: Words in one folder of an index, at least FOLDERS of them; documents of one term in one file. Both only steer the cost.
+FOLDER_WORDS, FOLDERS, FILE_POSTINGS = 50_000_000, 16, 5_000_000
 
 
 def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, term, tf, dl)."""
-    words = docs.select(F.col(id_col).alias("id"), tokens_of(F.col(text_col)).alias("w"))
+    words = docs.select(F.col(f"`{id_col}`").alias("id"), tokens_of(F.col(f"`{text_col}`")).alias("w"))
     return words.select("id", F.size("w").alias("dl"), F.explode("w").alias("term")).groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
 
 
-def corpus_stats(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """One row: n documents and their mean length avgdl."""
-    return docs.agg(F.count("*").alias("n"), F.avg(F.size(tokens_of(F.col(text_col)))).alias("avgdl"))
+def raw_idf(n: Column, df: Column) -> Column:
+    return F.log(n - df + 0.5) - F.log(df + 0.5)
+
+
+@dataclass(frozen=True)
+class Index:
+    """The tables of an index (see the module), of all generations together, and its one row of stats."""
+
+    postings: DataFrame
+    terms: DataFrame
+    lengths: DataFrame
+    n: int
+    words: int
+    n_terms: int
+    mean_idf: float | None
+    folders: int
 
+    def frequencies(self) -> DataFrame:
+        """(term, df, idf) of all terms. A negative idf becomes EPSILON times the mean idf of all terms."""
+        raw = raw_idf(F.lit(self.n), F.col("df"))
+        return self.terms.groupBy("term").agg(F.sum("df").alias("df")).select("term", "df", F.when(raw < 0, F.lit(EPSILON) * F.lit(self.mean_idf)).otherwise(raw).alias("idf"))
 
-def inverse_frequencies(posted: DataFrame, n: int) -> DataFrame:
-    """(term, df, idf). A negative idf becomes EPSILON times the mean idf of all terms."""
-    df = posted.groupBy("term").agg(F.count("*").alias("df")).withColumn("raw", F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = df.agg(F.avg("raw").alias("mean"))
-    return df.join(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))  # one row
+    def scores(self, query: str) -> DataFrame:
+        """(id, bm25) for EVERY document, 0 without a match. A word that the query repeats counts again."""
+        weights = Counter(query.lower().split())
+        every = self.lengths.select("id")
+        if not weights or not self.words:
+            return every.withColumn("bm25", F.lit(0.0))
+        mine = F.col("term").isin(*weights) & F.col("folder").isin(*{r["f"] for r in folders_of(self.lengths.sparkSession, weights, self.folders)})
+        found = {r["term"]: r["df"] for r in self.terms.where(mine).groupBy("term").agg(F.sum("df").alias("df")).collect()}  # the query's terms
+        if not found:
+            return every.withColumn("bm25", F.lit(0.0))
+        number = lambda x: F.create_map(*[y for w in found for y in (F.lit(w), F.lit(float(x[w])))])[F.col("term")]
+        raw = raw_idf(F.lit(float(self.n)), number(found))
+        idf = F.when(raw < 0, F.lit(EPSILON * self.mean_idf)).otherwise(raw)
+        part = number(weights) * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(self.words / self.n)))
+        hits = self.postings.where(mine).groupBy("id").agg(F.sum(part).alias("s"))
+        return every.join(hits, "id", "left").select("id", F.round(F.coalesce("s", F.lit(0.0)), DIGITS).alias("bm25"))
 
 
-def bm25_scores(docs: DataFrame, query: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, bm25) for EVERY document, 0 without a match. A word that the query repeats counts again."""
-    weights = Counter(query.lower().split())
-    stats = corpus_stats(docs, text_col).first()
-    posted = postings(docs, id_col, text_col)
-    idf = inverse_frequencies(posted, stats["n"])
-    if not weights:
-        return docs.select(F.col(id_col).alias("id"), F.lit(0.0).alias("bm25"))
-    times = F.create_map(*[x for w, n in weights.items() for x in (F.lit(w), F.lit(float(n)))])
-    hits = posted.where(F.col("term").isin(*weights)).join(idf.where(F.col("term").isin(*weights)), "term")
-    part = F.element_at(times, F.col("term")) * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(stats["avgdl"])))
-    scores = hits.groupBy("id").agg(F.sum(part).alias("s"))
-    return docs.select(F.col(id_col).alias("id")).join(scores, "id", "left").select("id", F.round(F.coalesce("s", F.lit(0.0)), DIGITS).alias("bm25"))
+def folder_of(term: Column, folders: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(folders)).cast("int")
 
 
-def index_stats(docs: DataFrame, alpha: float, text_col: str = "text") -> DataFrame:
+def folders_of(spark: SparkSession, words, folders: int) -> list:
+    return spark.createDataFrame([(w,) for w in sorted(words)], "term string").select(folder_of(F.col("term"), folders).alias("f")).collect()
+
+
+def add_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
+    """Add documents to the index at ``path``, which is made if it isn't there. Ids must be new to it.
+
+    Only the batch is read and sorted into folders; of what is stored, the table of terms is read for the new mean.
+    """
+    spark = docs.sparkSession
+    generation = f"{path}/{{}}/generation={uuid.uuid4().hex}"
+    sizes = docs.select(F.col(f"`{id_col}`").alias("id"), F.size(tokens_of(F.col(f"`{text_col}`"))).alias("dl"))
+    sizes.write.parquet(generation.format("lengths"))
+    batch = spark.read.parquet(generation.format("lengths")).agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("words")).first()
+    before = [r.asDict() for r in spark.read.parquet(f"{path}/stats").orderBy("n").collect()] if exists(spark, f"{path}/stats") else []  # a row for each addition
+    folders = before[0]["folders"] if before else max(FOLDERS, batch["words"] // FOLDER_WORDS)
+    posted = postings(docs, id_col, text_col).withColumn("folder", folder_of(F.col("term"), folders))
+    part = F.pmod(F.xxhash64("id"), F.lit(1 + batch["n"] // FILE_POSTINGS))  # a term of all documents needn't be one task's
+    posted.repartition("folder", part).sortWithinPartitions("folder", "term").write.partitionBy("folder").parquet(generation.format("postings"))
+    mine = spark.read.schema("id long, dl int, term string, tf long, folder int").parquet(generation.format("postings"))
+    mine.groupBy("folder", "term").agg(F.count("*").alias("df")).repartition("folder").write.partitionBy("folder").parquet(generation.format("terms"))
+    n = batch["n"] + (before[-1]["n"] if before else 0)
+    known = _tables(spark, path, [*[r["generation"] for r in before], generation.rpartition("=")[2]])["terms"]
+    total = known.groupBy("term").agg(F.sum("df").alias("df")).agg(F.count("*").alias("terms"), F.avg(raw_idf(F.lit(n), F.col("df"))).alias("mean")).first()
+    row = (generation.rpartition("=")[2], n, batch["words"] + (before[-1]["words"] if before else 0), total["terms"], total["mean"], folders)
+    spark.createDataFrame([row], "generation string, n long, words long, n_terms long, mean_idf double, folders int").coalesce(1).write.mode("append").parquet(f"{path}/stats")
+
+
+def _tables(spark: SparkSession, path: str, generations: list[str]) -> dict[str, DataFrame]:
+    """The three tables of some generations; a generation of empty texts has no folder of terms."""
+    schemas = {"postings": "id long, dl int, term string, tf long, folder int", "terms": "term string, df long, folder int", "lengths": "id long, dl int"}
+    out = {}
+    for name, schema in schemas.items():
+        parts = [spark.read.schema(schema).parquet(f"{path}/{name}/generation={g}") for g in generations]
+        table = parts[0]
+        for part_ in parts[1:]:
+            table = table.unionByName(part_)
+        out[name] = table
+    return out
+
+
+def read_index(spark: SparkSession, path: str) -> Index:
+    rows = spark.read.parquet(f"{path}/stats").orderBy("n", "words").collect()  # a row for each addition
+    last = rows[-1]
+    return Index(**_tables(spark, path, [r["generation"] for r in rows]), n=last["n"], words=last["words"], n_terms=last["n_terms"], mean_idf=last["mean_idf"], folders=last["folders"])
+
+
+def hybrid_stats(index: Index, alpha: float) -> DataFrame:
     """One row: documents, their mean length, distinct words, and the weight in use."""
-    words = docs.select(F.explode(tokens_of(F.col(text_col))).alias("w")).agg(F.count_distinct("w").alias("n_terms"))
-    stats = corpus_stats(docs, text_col).select(F.col("n").alias("n_documents"), F.round("avgdl", DIGITS).alias("mean_words"))
-    return stats.join(F.broadcast(words)).withColumn("alpha", F.lit(float(alpha)))  # one row each
+    row = (index.n, round(index.words / index.n, DIGITS) if index.n else 0.0, index.n_terms, float(alpha))
+    return index.lengths.sparkSession.createDataFrame([row], "n_documents long, mean_words double, n_terms long, alpha double")
 
 
 def min_max(scores: DataFrame, column: str, out: str) -> DataFrame:
     """Scores scaled to 0 to 1 by the smallest and largest of all; 0.5 where all are equal."""
-    ends = scores.agg(F.min(column).alias("_lo"), F.max(column).alias("_hi"))  # one row
-    scaled = F.when(F.col("_hi") == F.col("_lo"), 0.5).otherwise(F.try_divide(F.col(column) - F.col("_lo"), F.col("_hi") - F.col("_lo")))
-    return scores.join(F.broadcast(ends)).withColumn(out, F.when(F.col(column).isNotNull(), scaled)).drop("_lo", "_hi")
+    lo, hi = unused(scores, "_lo"), unused(scores, "_hi")
+    ends = scores.agg(F.min(column).alias(lo), F.max(column).alias(hi))  # one row
+    scaled = F.when(F.col(hi) == F.col(lo), 0.5).otherwise(F.try_divide(F.col(column) - F.col(lo), F.col(hi) - F.col(lo)))
+    return scores.join(F.broadcast(ends)).withColumn(out, F.when(F.col(column).isNotNull(), scaled)).drop(lo, hi)
 
 
 def reciprocal_ranks(found: DataFrame, score_col: str, id_col: str = "id") -> DataFrame:
@@ -85,9 +160,9 @@ def lift_parents(scored: DataFrame, parents: DataFrame, k: int) -> DataFrame:
 
     Rows without a parent_id stay, even if a child has already brought them in.
     """
-    known = parents.select(F.col("id").alias("parent_id"), F.lit(True).alias("known"))
-    lifted = scored.join(known, "parent_id", "left").withColumn("out", F.when(F.col("known"), F.col("parent_id")).otherwise(F.col("id")))
-    key = F.when(F.col("known"), F.concat(F.lit("p:"), F.col("parent_id").cast("string"))).otherwise(F.concat(F.lit("c:"), F.col("id").cast("string")))
-    first = Window.partitionBy("key").orderBy(F.desc("score"), "id")
-    once = lifted.withColumn("key", key).withColumn("i", F.row_number().over(first)).where("i = 1")
+    known = parents.select(F.col("id").alias("parent_id"), F.lit(True).alias("known")).distinct()
+    lifted = scored.select("id", "parent_id", "score").join(known, "parent_id", "left").withColumn("out", F.when(F.col("known"), F.col("parent_id")).otherwise(F.col("id")))
+    key = F.struct(F.col("known").isNotNull(), F.when(F.col("known"), F.col("parent_id").cast("string")).otherwise(F.col("id").cast("string")))
+    # the best child of each parent; an aggregate combines before its shuffle, so a parent of many children is no burden
+    once = lifted.groupBy(key.alias("key")).agg(F.min_by(F.struct("out", "id", "score"), F.struct(-F.col("score"), "id")).alias("best")).select("best.*")
     return once.orderBy(F.desc("score"), "id").limit(k).select(F.col("out").alias("id"), F.col("id").alias("via"), "score")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from korvane.functions.models import LETTERS, tokens_of
 from korvane.operators import lexical, search, vector
 from korvane.plans.base import CHUNKS, WORDS, chunks, query, table
+from korvane.session import exists, shared_dir
 
 K = 10
 TEXT = "the le die blees worthless"
@@ -159,25 +162,35 @@ def tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words.select("doc_id", F.size("w").cast("long").alias("n_words"), F.size(F.array_distinct("w")).cast("long").alias("n_distinct"))
 
 
-_BM25 = f"""{WORDS}, dl AS (SELECT id, len(w) AS dl FROM words), stats AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl),
-tf AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(w) AS term FROM words) GROUP BY ALL),
-df AS (SELECT term, count(*) AS df, ln(any_value(n) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM tf, stats GROUP BY term),
-idf AS (SELECT term, df, CASE WHEN raw < 0 THEN {lexical.EPSILON} * (SELECT avg(raw) FROM df) ELSE raw END AS idf FROM df),
+_BM25 = f"""{WORDS.replace("words AS (", "words AS MATERIALIZED (")}, dl AS (SELECT id, len(w) AS dl FROM words), stats AS MATERIALIZED (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl),
+tf AS MATERIALIZED (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(w) AS term FROM words) GROUP BY id, term),
+counted AS MATERIALIZED (SELECT term, count(*) AS df FROM tf GROUP BY term),
+df AS MATERIALIZED (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM counted, stats), mean AS MATERIALIZED (SELECT avg(raw) AS mean FROM df),
+idf AS (SELECT term, df, CASE WHEN raw < 0 THEN {lexical.EPSILON} * mean ELSE raw END AS idf FROM df, mean),
 hit AS (SELECT id, sum(idf * tf * {lexical.K1 + 1} / (tf + {lexical.K1} * ({1 - lexical.B} + {lexical.B} * dl / avgdl))) AS s
         FROM tf JOIN idf USING (term) JOIN dl USING (id), stats WHERE term IN ({", ".join(f"'{w}'" for w in TEXT.split())}) GROUP BY id),
-bm25 AS (SELECT dl.id, round(coalesce(s, 0), 6) AS bm25 FROM dl LEFT JOIN hit USING (id))"""
+bm25 AS MATERIALIZED (SELECT dl.id, round(coalesce(s, 0), 6) AS bm25 FROM dl LEFT JOIN hit USING (id))"""
+
+
+def _index(spark: SparkSession, sf_dir: str) -> lexical.Index:
+    """The stored index of ``documents``. It is made by the first search of an application, and again if the files change."""
+    docs = table(spark, sf_dir, "documents")
+    files = docs.groupBy("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").count().collect()  # a row for each file
+    version = hashlib.sha256(repr(sorted(map(tuple, files))).encode()).hexdigest()[:16]
+    path = f"{shared_dir(spark)}/korvane/{spark.sparkContext.applicationId}/bm25-{version}"
+    if not exists(spark, f"{path}/stats"):
+        lexical.add_documents(docs, path)
+    return lexical.read_index(spark, path)
 
 
 @query(f"WITH {_BM25} SELECT term, df, round(idf, 6) AS idf FROM idf")
 def bm25_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    n = lexical.corpus_stats(docs).first()["n"]
-    return lexical.inverse_frequencies(lexical.postings(docs), n).select("term", "df", F.round("idf", lexical.DIGITS).alias("idf"))
+    return _index(spark, sf_dir).frequencies().select("term", "df", F.round("idf", lexical.DIGITS).alias("idf"))
 
 
 @query(f"WITH {_BM25} SELECT id, bm25 FROM bm25")
 def bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical.bm25_scores(table(spark, sf_dir, "documents"), TEXT)
+    return _index(spark, sf_dir).scores(TEXT)
 
 
 _SCALED = "CASE WHEN (SELECT max({c}) = min({c}) FROM {t}) THEN 0.5 ELSE ({c} - (SELECT min({c}) FROM {t})) / (SELECT max({c}) - min({c}) FROM {t}) END"
@@ -185,21 +198,20 @@ _SCALED = "CASE WHEN (SELECT max({c}) = min({c}) FROM {t}) THEN 0.5 ELSE ({c} -
 
 @query(f"WITH {_BM25} SELECT id, round({_SCALED.format(c='bm25', t='bm25')}, 6) AS scaled FROM bm25")
 def minmax_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scaled = lexical.min_max(lexical.bm25_scores(table(spark, sf_dir, "documents"), TEXT), "bm25", "scaled")
+    scaled = lexical.min_max(_index(spark, sf_dir).scores(TEXT), "bm25", "scaled")
     return scaled.select("id", F.round("scaled", lexical.DIGITS).alias("scaled"))
 
 
 @query(f"WITH {_BM25} SELECT min(bm25) AS lowest, max(bm25) AS highest, round(avg(bm25), 6) AS mean, count(*) AS n FROM bm25")
 def score_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical.bm25_scores(table(spark, sf_dir, "documents"), TEXT).agg(
+    return _index(spark, sf_dir).scores(TEXT).agg(
         F.min("bm25").alias("lowest"), F.max("bm25").alias("highest"), F.round(F.avg("bm25"), lexical.DIGITS).alias("mean"), F.count("*").alias("n")
     )
 
 
 @query(f"WITH {_BM25} SELECT n AS n_documents, round(avgdl, 6) AS mean_words, (SELECT count(*) FROM df) AS n_terms, {ALPHA}::DOUBLE AS alpha FROM stats")
 def hybrid_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return lexical.index_stats(docs, ALPHA)
+    return lexical.hybrid_stats(_index(spark, sf_dir), ALPHA)
 
 
 _FUSED = f"""{_BM25}, {_VECTORS}, near AS (
@@ -212,7 +224,7 @@ fused AS (SELECT id, round({ALPHA} * coalesce(a.v, 0) + {1 - ALPHA} * coalesce(b
 def _fused(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = search.search_simple(chunks(spark, sf_dir), TEXT, 3 * K)
     ranks = lexical.reciprocal_ranks(near, "similarity_score", "chunk_id")
-    return lexical.fuse(ranks, lexical.bm25_scores(table(spark, sf_dir, "documents"), TEXT), ALPHA)
+    return lexical.fuse(ranks, _index(spark, sf_dir).scores(TEXT), ALPHA)
 
 
 @query(f"WITH {_FUSED} SELECT id, score FROM fused ORDER BY score DESC, id LIMIT {K}")

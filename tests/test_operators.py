@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import itertools
 import json
+import math
 import re
+from collections import Counter
 from datetime import datetime, timedelta
 from difflib import SequenceMatcher
 
@@ -108,11 +110,52 @@ def test_parents_once_and_children_without_a_parent_stay(spark):
     assert [(r.id, r.via) for r in lexical.lift_parents(scored, parents, 5).collect()] == [("p", "c1"), ("c3", "c3"), ("d", "d")]
 
 
-def test_bm25_of_a_word_in_most_documents_is_small_but_positive(spark):
-    docs = spark.createDataFrame([(1, "x a"), (2, "x b"), (3, "x c"), (4, None)], "doc_id int, text string")
-    scores = {r.id: r.bm25 for r in lexical.bm25_scores(docs, "a x").collect()}
+BM25_DOCS = [(1, "x a"), (2, "x b"), (3, "x c"), (4, None), (5, "d d e x"), (6, ""), (7, "f A")]
+
+
+def okapi(docs, query):
+    """The formula, word by word."""
+    words = {i: (t or "").lower().split() for i, t in docs}
+    n, mean = len(words), sum(map(len, words.values())) / len(words)
+    df = Counter(w for ws in words.values() for w in set(ws))
+    raw = {w: math.log(n - k + 0.5) - math.log(k + 0.5) for w, k in df.items()}
+    idf = {w: x if x >= 0 else 0.25 * sum(raw.values()) / len(raw) for w, x in raw.items()}
+    score = lambda ws: sum(idf[q] * ws.count(q) * 2.5 / (ws.count(q) + 1.5 * (0.25 + 0.75 * len(ws) / mean)) for q in query.lower().split() if q in idf)
+    return {i: round(score(ws), 6) for i, ws in words.items()}
+
+
+def test_bm25_of_a_word_in_most_documents_is_small_but_positive(spark, tmp_path):
+    lexical.add_documents(spark.createDataFrame(BM25_DOCS[:4], "doc_id int, text string"), str(tmp_path / "i"))
+    index = lexical.read_index(spark, str(tmp_path / "i"))
+    scores = {r.id: r.bm25 for r in index.scores("a x").collect()}
     assert scores[1] > scores[2] == scores[3] and scores[4] == 0.0
-    assert {r.bm25 for r in lexical.bm25_scores(docs, " ").collect()} == {0.0}
+    for query in (" ", "nothing"):
+        assert {r.bm25 for r in index.scores(query).collect()} == {0.0}
+
+
+def test_bm25_of_an_index_that_grows(spark, tmp_path):
+    path = str(tmp_path / "i")
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id int, text string")
+    for end, rows in ((4, BM25_DOCS[:4]), (6, BM25_DOCS[4:6]), (7, BM25_DOCS[6:]), (7, [])):
+        lexical.add_documents(frame(rows), path)
+        index = lexical.read_index(spark, path)
+        assert index.n == end
+        for query in ("a x", "D d a", "x"):
+            assert {r.id: r.bm25 for r in index.scores(query).collect()} == pytest.approx(okapi(BM25_DOCS[:end], query), abs=2e-6)
+    assert {r.term: r.df for r in index.frequencies().collect()} == {"x": 4, "a": 2, "b": 1, "c": 1, "d": 1, "e": 1, "f": 1}
+    assert lexical.hybrid_stats(index, 0.5).first()[:3] == (7, 1.714286, 7)
+
+
+def test_a_search_reads_the_folders_of_its_terms(spark, tmp_path):
+    lexical.add_documents(spark.createDataFrame(BM25_DOCS, "doc_id int, text string"), str(tmp_path / "i"))
+    plan = lexical.read_index(spark, str(tmp_path / "i")).scores("a")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(folder" in plan and "EqualTo(term,a)" in plan
+
+
+def test_an_index_of_nothing(spark, tmp_path):
+    lexical.add_documents(spark.createDataFrame([], "doc_id int, text string"), str(tmp_path / "i"))
+    index = lexical.read_index(spark, str(tmp_path / "i"))
+    assert index.scores("a").count() == 0 and index.frequencies().count() == 0 and lexical.hybrid_stats(index, 0.5).first().n_documents == 0
 
 
 # --- history and texts ------------------------------------------------------------------------------------------------
