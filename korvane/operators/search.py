@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -67,16 +68,28 @@ def search(strategy: str, chunks: DataFrame, query: str, k: int, variations: Seq
     return search_advanced(chunks, query, variations or [query] * 4, k, score=score, **kwargs)
 
 
-def rerank_indexed(texts: DataFrame, query: str, score: Scorer = overlap_score) -> DataFrame:
-    """(index, score) of an array of texts in one row, best first."""
-    return texts.select(F.posexplode("texts").alias("index", "text")).select("index", F.round(score(query, F.col("text")), DIGITS).alias("score")).orderBy(F.desc("score"), "index")
+def rerank_indexed(requests: DataFrame, query: str, score: Scorer = overlap_score) -> DataFrame:
+    """(..., index, score): every text of each request, an array ``texts`` in a row, with its place, best first in its request."""
+    others = [c for c in requests.columns if c != "texts"]
+    scored = requests.select(*[F.col(f"`{c}`") for c in others], F.posexplode("texts").alias("index", "text"))
+    scored = scored.select(*[F.col(f"`{c}`") for c in others], "index", F.round(score(query, F.col("text")), DIGITS).alias("score"))
+    return scored.orderBy(*[F.col(f"`{c}`") for c in others], F.desc("score"), "index") if others else scored.orderBy(F.desc("score"), "index")
 
 
 def rerank_or_keep(candidates: DataFrame, query: str, k: int, score: Scorer | None) -> DataFrame:
-    """As ``rerank``; without a scorer, or for a single candidate, the order stays and the score is null."""
+    """As ``rerank``; without a scorer, with one that fails, or for a single candidate, the order stays and the score is null.
+
+    The candidates are few, and are scored at once, so that a failure shows here.
+    """
     if k <= 0:
         raise ValueError("k must be positive")
-    few = candidates.limit(2).count()
-    if score is None or few < 2:
-        return candidates.withColumn("rerank_score", F.lit(None).cast("double")).orderBy(F.desc_nulls_last("similarity_score"), "chunk_id").limit(k)
-    return rerank(candidates, query, k, score, [F.desc_nulls_last("similarity_score")])
+    kept = candidates.withColumn("rerank_score", F.lit(None).cast("double")).orderBy(F.desc_nulls_last("similarity_score"), "chunk_id").limit(k)
+    if score is None or candidates.limit(2).count() < 2:
+        return kept
+    ranked = rerank(candidates, query, k, score, [F.desc_nulls_last("similarity_score")])
+    try:
+        found = ranked.collect()  # k rows
+    except Exception as error:
+        warnings.warn(f"the scorer failed, the order stays: {error}", RuntimeWarning, stacklevel=2)
+        return kept
+    return candidates.sparkSession.createDataFrame(found, ranked.schema)

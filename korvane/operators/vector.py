@@ -13,6 +13,8 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from korvane.session import unused
+
 #: Columns that a metadata filter may name; others are dropped without a word, as is a filter of only those.
 FILTERABLE = ("source_document", "chapter_title")
 OVERFETCH = 4
@@ -71,7 +73,8 @@ def top_k_each(rows: DataFrame, queries: Sequence[Sequence[float]], k: int, id_c
 def dedup_first(found: DataFrame, id_col: str = "chunk_id", order: Sequence[str] = ("variation", "rank")) -> DataFrame:
     """The first occurrence of each id, in the given order; its score is the first one's."""
     window = Window.partitionBy(id_col).orderBy(*order)
-    return found.withColumn("_first", F.row_number().over(window)).where("_first = 1").drop("_first")
+    first = unused(found, "_first")
+    return found.withColumn(first, F.row_number().over(window)).where(F.col(first) == 1).drop(first)
 
 
 def sign_words(vector: Column, dimension: int) -> Column:

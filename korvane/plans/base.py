@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from korvane.functions.models import letter_embedding
 from korvane.functions.text import token_count
+from korvane.session import exists, shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -42,6 +44,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def stored(spark: SparkSession, sf_dir: str, name: str, tag: str, ready: str, make: Callable[[DataFrame, str], None]) -> str:
+    """The path of what ``make`` derives from a table, for the whole application; it is made again if the table's files change.
+
+    ``ready`` is what lies there once it is whole.
+    """
+    rows = table(spark, sf_dir, name)
+    files = rows.groupBy("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").count().collect()  # a row for each file
+    version = hashlib.sha256(repr(sorted(map(tuple, files))).encode()).hexdigest()[:16]
+    path = f"{shared_dir(spark)}/korvane/{spark.sparkContext.applicationId}/{tag}-{version}"
+    if not exists(spark, f"{path}/{ready}"):
+        make(rows, path)
+    return path
+
+
+def embedded_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``chunks``, stored with their embeddings, so that a search reads these."""
+    path = stored(spark, sf_dir, "documents", "chunks", "_SUCCESS", lambda _, to: chunks(spark, sf_dir).write.mode("overwrite").parquet(to))
+    return spark.read.parquet(path)
+
+
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` as a table of chunks; the embedding counts letters."""
     text = F.coalesce("text", F.lit(""))

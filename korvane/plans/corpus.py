@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from korvane.functions import text as texts
 from korvane.functions.models import overlap_score
 from korvane.operators import chunking, corrective, stats, validation
-from korvane.plans.base import CHUNKS, chunks, query, table
+from korvane.plans.base import CHUNKS, chunks, embedded_chunks, query, table
 from korvane.plans.retrieval import TEXT
 
 
@@ -183,5 +183,5 @@ def fuzzy_locate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def corrective_rag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = corrective.corrective_search(chunks(spark, sf_dir), TEXT, 10, overlap_score)
+    found = corrective.corrective_search(embedded_chunks(spark, sf_dir), TEXT, 10, overlap_score)
     return found.select("chunk_id", "similarity_score", "grade", "kept", "confidence", "query")

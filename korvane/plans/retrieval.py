@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import hashlib
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from korvane.functions.models import LETTERS, tokens_of
 from korvane.operators import lexical, search, vector
-from korvane.plans.base import CHUNKS, WORDS, chunks, query, table
-from korvane.session import exists, shared_dir
+from korvane.plans.base import CHUNKS, WORDS, embedded_chunks, query, stored, table
 
 K = 10
 TEXT = "the le die blees worthless"
@@ -98,7 +95,7 @@ _SHOWN_COLUMNS = _SHOWN.split(", ")
 FROM v WHERE source_document = 'src1' OR chapter_title = 'en' ORDER BY similarity_score DESC NULLS LAST, chunk_id LIMIT {K}""")
 def search_simple(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Filters are joined by OR."""
-    found = search.search("simple", chunks(spark, sf_dir), TEXT, K, filters={"source_document": "src1", "chapter_title": "en"})
+    found = search.search("simple", embedded_chunks(spark, sf_dir), TEXT, K, filters={"source_document": "src1", "chapter_title": "en"})
     return found.select(*_SHOWN_COLUMNS)
 
 
@@ -107,7 +104,7 @@ def search_simple(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 SELECT {_SHOWN}, {_OVERLAP} AS rerank_score FROM near ORDER BY rerank_score DESC, similarity_score DESC NULLS LAST, chunk_id LIMIT {K}""")
 def search_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.search("rerank", chunks(spark, sf_dir), TEXT, K).select(*_SHOWN_COLUMNS, "rerank_score")
+    return search.search("rerank", embedded_chunks(spark, sf_dir), TEXT, K).select(*_SHOWN_COLUMNS, "rerank_score")
 
 
 _EACH = " UNION ALL ".join(f"SELECT {i} AS variation, {_embedded(t)} AS q" for i, t in enumerate(VARIATIONS))
@@ -122,7 +119,7 @@ _EACH = " UNION ALL ".join(f"SELECT {i} AS variation, {_embedded(t)} AS q" for i
 )
 SELECT {_SHOWN}, {_OVERLAP} AS rerank_score FROM once ORDER BY rerank_score DESC, variation, rank, chunk_id LIMIT {K}""")
 def search_advanced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.search("advanced", chunks(spark, sf_dir), TEXT, K, VARIATIONS).select(*_SHOWN_COLUMNS, "rerank_score")
+    return search.search("advanced", embedded_chunks(spark, sf_dir), TEXT, K, VARIATIONS).select(*_SHOWN_COLUMNS, "rerank_score")
 
 
 @query(f"""WITH {_VECTORS}, qs AS ({_EACH}), scored AS (
@@ -133,18 +130,21 @@ def search_advanced(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT chunk_id, CAST(variation AS BIGINT) AS variation, rank, similarity_score
 FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY variation, rank) AS i FROM ranked WHERE rank < {K}) WHERE i = 1""")
 def dedup_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = chunks(spark, sf_dir)
+    rows = embedded_chunks(spark, sf_dir)
     found = vector.dedup_first(vector.top_k_each(rows, search.embed_queries(spark, VARIATIONS), K))
     return found.select("chunk_id", F.col("variation").cast("long").alias("variation"), F.col("rank").cast("long").alias("rank"), "similarity_score")
 
 
-@query(f"""WITH {CHUNKS}, few AS (SELECT chunk_text FROM chunks ORDER BY chunk_id LIMIT 50), t AS (SELECT list(chunk_text ORDER BY chunk_text) AS ts FROM few)
-SELECT i::BIGINT AS index, {_OVERLAP} AS score FROM (SELECT unnest(ts) AS chunk_text, unnest(range(len(ts))) AS i FROM t)""")
+REQUEST = 50
+
+
+@query(f"""WITH {CHUNKS}, r AS (SELECT *, chunk_id // {REQUEST} AS request, row_number() OVER (PARTITION BY chunk_id // {REQUEST} ORDER BY chunk_id) - 1 AS i FROM chunks)
+SELECT CAST(request AS BIGINT) AS request, CAST(i AS BIGINT) AS index, {_OVERLAP} AS score FROM r""")
 def rerank_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The texts of one request come in one row."""
-    few = chunks(spark, sf_dir).orderBy("chunk_id").limit(50)
-    texts = few.agg(F.array_sort(F.collect_list("chunk_text")).alias("texts"))
-    return search.rerank_indexed(texts, TEXT).select(F.col("index").cast("long").alias("index"), "score")
+    """All chunks, in requests of the texts of fifty neighbouring ids each."""
+    rows = embedded_chunks(spark, sf_dir).select(F.floor(F.col("chunk_id") / REQUEST).alias("request"), "chunk_id", "chunk_text")
+    requests = rows.groupBy("request").agg(F.transform(F.array_sort(F.collect_list(F.struct("chunk_id", "chunk_text"))), lambda x: x["chunk_text"]).alias("texts"))
+    return search.rerank_indexed(requests, TEXT).select(F.col("request").cast("long").alias("request"), F.col("index").cast("long").alias("index"), "score")
 
 
 @query(f"""WITH {_VECTORS}, near AS (
@@ -152,7 +152,7 @@ def rerank_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
 ) SELECT {_SHOWN}, NULL::DOUBLE AS rerank_score FROM near""")
 def rerank_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Without a scorer the order of the candidates stays."""
-    found = search.search_simple(chunks(spark, sf_dir), TEXT, 4 * K)
+    found = search.search_simple(embedded_chunks(spark, sf_dir), TEXT, 4 * K)
     return search.rerank_or_keep(found, TEXT, K, None).select(*_SHOWN_COLUMNS, "rerank_score")
 
 
@@ -173,14 +173,8 @@ bm25 AS MATERIALIZED (SELECT dl.id, round(coalesce(s, 0), 6) AS bm25 FROM dl LEF
 
 
 def _index(spark: SparkSession, sf_dir: str) -> lexical.Index:
-    """The stored index of ``documents``. It is made by the first search of an application, and again if the files change."""
-    docs = table(spark, sf_dir, "documents")
-    files = docs.groupBy("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").count().collect()  # a row for each file
-    version = hashlib.sha256(repr(sorted(map(tuple, files))).encode()).hexdigest()[:16]
-    path = f"{shared_dir(spark)}/korvane/{spark.sparkContext.applicationId}/bm25-{version}"
-    if not exists(spark, f"{path}/stats"):
-        lexical.add_documents(docs, path)
-    return lexical.read_index(spark, path)
+    """The stored index of ``documents``, made by the first search."""
+    return lexical.read_index(spark, stored(spark, sf_dir, "documents", "bm25", "stats", lexical.add_documents))
 
 
 @query(f"WITH {_BM25} SELECT term, df, round(idf, 6) AS idf FROM idf")
@@ -222,7 +216,7 @@ fused AS (SELECT id, round({ALPHA} * coalesce(a.v, 0) + {1 - ALPHA} * coalesce(b
 
 
 def _fused(spark: SparkSession, sf_dir: str) -> DataFrame:
-    near = search.search_simple(chunks(spark, sf_dir), TEXT, 3 * K)
+    near = search.search_simple(embedded_chunks(spark, sf_dir), TEXT, 3 * K)
     ranks = lexical.reciprocal_ranks(near, "similarity_score", "chunk_id")
     return lexical.fuse(ranks, _index(spark, sf_dir).scores(TEXT), ALPHA)
 

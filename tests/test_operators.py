@@ -85,6 +85,22 @@ def test_strategies(spark):
         search.search("simple", rows, "  ", 1)
 
 
+def test_a_scorer_that_fails_leaves_the_order(spark):
+    rows = spark.createDataFrame([(1, "aa bb", 0.9), (2, "bb", 0.8), (3, "cc", None)], "chunk_id int, chunk_text string, similarity_score double")
+    broken = lambda query, text: F.raise_error(F.concat(F.lit("no model for "), text)).cast("double")
+    with pytest.warns(RuntimeWarning, match="no model"):
+        assert [(r.chunk_id, r.rerank_score) for r in search.rerank_or_keep(rows, "bb", 2, broken).collect()] == [(1, None), (2, None)]
+    assert [(r.chunk_id, r.rerank_score) for r in search.rerank_or_keep(rows, "bb", 2, models.overlap_score).collect()] == [(1, 1.0), (2, 1.0)]
+    assert [r.rerank_score for r in search.rerank_or_keep(rows.limit(1), "bb", 2, models.overlap_score).collect()] == [None]
+    assert search.rerank_or_keep(rows.limit(0), "bb", 2, models.overlap_score).count() == 0
+
+
+def test_rerank_of_many_requests(spark):
+    rows = spark.createDataFrame([(1, ["a", "b a", "c"]), (2, []), (3, ["b", None])], "request int, texts array<string>")
+    assert [tuple(r) for r in search.rerank_indexed(rows, "a b").collect()] == [(1, 1, 1.0), (1, 0, 0.5), (1, 2, 0.0), (3, 0, 0.5), (3, 1, 0.0)]
+    assert [tuple(r) for r in search.rerank_indexed(rows.where("request = 1").drop("request"), "a").collect()] == [(0, 1.0), (1, 1.0), (2, 0.0)]
+
+
 # --- keywords and hybrid ----------------------------------------------------------------------------------------------
 
 
