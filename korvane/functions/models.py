@@ -6,14 +6,20 @@ they stand in for trained models and don't claim their quality. Any Arrow UDF of
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import base64
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column
+import pandas as pd
+import tiktoken
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Embedder = Callable[[Column], Column]
 Scorer = Callable[[str, Column], Column]
 
+#: ``complete(prompt)`` gives a language model's answer.
+Completer = Callable[[Column], Column]
+INSTRUCTION = "Given a web search query, retrieve relevant passages that answer the query"
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -56,5 +62,32 @@ def yes_probability(no: Column, yes: Column) -> Column:
     return 1.0 / (1.0 + F.exp(no - yes))
 
 
-def rerank_prompt(instruction: str, query: str, text: Column) -> Column:
+def rerank_prompt(query: str, text: Column, instruction: str = INSTRUCTION) -> Column:
     return F.format_string("<Instruct>: %s\n<Query>: %s\n<Document>: %s", F.lit(instruction), F.lit(query), text)
+
+
+def first_line(prompt: Column) -> Column:
+    """The default completion: the first line of the prompt, as a stand-in that any model may replace."""
+    return F.btrim(F.split(F.coalesce(prompt, F.lit("")), "\n", 2)[0])
+
+
+def answered(rows: DataFrame, prompt: Column, out: str = "response", complete: Completer = first_line) -> DataFrame:
+    """``rows`` with the model's answer to each prompt."""
+    return rows.withColumn(out, complete(prompt))
+
+
+def bpe_token_count(ranks_path: str, pattern: str) -> Callable[[Column], Column]:
+    """A token count by a byte-level vocabulary of ranks, in place of the four-characters rule; a null text has none."""
+
+    def count(text: Column) -> Column:
+        @F.pandas_udf("int")
+        def counted(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            with open(ranks_path, "rb") as file:
+                ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in file if line.strip())}
+            encoding = tiktoken.Encoding("counts", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+            for texts in parts:
+                yield texts.fillna("").map(lambda t: len(encoding.encode_ordinary(t))).astype("int32")
+
+        return counted(text)
+
+    return count

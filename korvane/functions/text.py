@@ -7,7 +7,14 @@ from pyspark.sql import functions as F
 
 VALID_INTENTS = ("retrieve", "respond")
 VALID_AGENTS = ("emotional_support", "rag_agent")
-NODES_SHOWN = ("emotional_support", "rag_agent", "generate", "respond")
+NODES_SHOWN = ("rag_agent", "emotional_support", "retrieve", "respond")
+INTERNAL = "internal-llm"
+
+
+def shown_to_user(node: Column, tags: Column, token: Column) -> Column:
+    """Whether a token goes to the user: of a node that talks to them, not of an internal call, and not empty."""
+    internal = F.coalesce(F.array_contains(tags, INTERNAL), F.lit(False))
+    return node.isin(*NODES_SHOWN) & ~internal & (F.coalesce(token, F.lit("")) != "")
 
 
 def normalize_output(text: Column) -> Column:
@@ -56,13 +63,25 @@ def sse_encode(event: Column) -> Column:
     return F.concat(F.lit("data: "), F.to_json(event), F.lit("\n\n"))
 
 
+def sse_events(stream: Column) -> Column:
+    """The JSON texts of all whole events of a stream; comments, other lines and what isn't whole at its end are left out."""
+    frames = F.split(F.coalesce(stream, F.lit("")), "\n\n")
+    whole = F.transform(F.slice(frames, 1, F.size(frames) - 1), lambda x: F.btrim(x, F.lit(" \t\r\n")))
+    return F.transform(F.filter(whole, lambda x: x.startswith("data: ") & F.try_parse_json(F.substring(x, 7, 1 << 30)).isNotNull()), lambda x: F.substring(x, 7, 1 << 30))
+
+
 def sse_decode(frame: Column, schema: str) -> Column:
     """The event of one frame; null for one that isn't whole."""
     return F.when(frame.startswith("data: ") & frame.endswith("\n\n"), F.from_json(F.substring(frame, 7, 1 << 30), schema))
 
 
 def similarity_class(similarity: Column, threshold: float = 0.9) -> Column:
-    return F.when(similarity >= 0.95, "excellent").when(similarity >= 0.90, "good").when(similarity >= threshold, "fair").otherwise("poor")
+    """The class of a covered segment; below the threshold it is a gap."""
+    return F.when(similarity >= 0.95, "high").when(similarity >= 0.90, "medium").when(similarity >= threshold, "low").otherwise("gap")
+
+
+def coverage_class(percent: Column) -> Column:
+    return F.when(percent >= 95, "high").when(percent >= 80, "medium").otherwise("low")
 
 
 def storage_kb(dimension: Column, bytes_each: int) -> Column:
@@ -86,7 +105,7 @@ def multi_queries(response: Column, original: Column) -> Column:
 def documents_markdown(items: Column) -> Column:
     """Retrieved chunks, an array of (source, text), as numbered sections."""
     parts = F.transform(
-        items, lambda d, i: F.concat(F.lit("## Source "), i + 1, F.lit(": "), d["source"], F.lit("\n\n### Content:\n"), d["text"], F.lit("\n\n---\n\n"))
+        items, lambda d, i: F.concat(F.lit("## Source "), i + 1, F.lit(": "), F.coalesce(F.nullif(d["source"], F.lit("")), F.lit("Unknown Source")), F.lit("\n\n### Content:\n"), F.coalesce(d["text"], F.lit("No content.")), F.lit("\n\n---\n\n"))
     )
     none = F.lit("No relevant information found in the knowledge base.")
     return F.when(F.size(items) > 0, F.concat(F.lit("# Retrieved Information\n\n"), F.array_join(parts, ""))).otherwise(none)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Sequence
 from difflib import SequenceMatcher
 
@@ -9,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from korvane.session import unused
+
 EMPTY, ROOT = "[EMPTY]", "ROOT"
 FIELDS = ("title", "level", "parent_section", "summary", "start_words", "end_words", "is_table")
 FIELDS_V1 = FIELDS[:4]
@@ -91,12 +94,42 @@ def parse_tags(rows: DataFrame, names: Sequence[str], text_col: str = "text") ->
     return rows.select("*", *[c.alias(n.lower()) for n, c in tags.items()], lacking.alias("missing_tags"))
 
 
-def tag_problems(text: Column, names: Sequence[str]) -> Column:
-    """Tags that open and close a different number of times, and tags that aren't expected, in order of name."""
-    count = lambda p: F.size(F.regexp_extract_all(text, F.lit(p), F.lit(0)))
-    uneven = F.filter(F.array(*[F.when(count(rf"\[{n}\]") != count(rf"\[/{n}\]"), n) for n in names]), lambda x: x.isNotNull())
+def tag_problems(text: Column, names: Sequence[str], strict: bool = True) -> Column:
+    """What is wrong with a text's tags, in order: ``missing``, ``uneven`` (opened and closed a different number of times),
+    ``unordered`` (the n-th one closes before it opens), and if strict ``unexpected``; each followed by the tag's name."""
+    text = F.coalesce(text, F.lit(""))
+    problems = []
+    for n in names:
+        marks = F.regexp_extract_all(text, F.lit(rf"\[/?{n}\]"), F.lit(0))
+        opens, closes = F.size(F.filter(marks, lambda m: ~m.startswith("[/"))), F.size(F.filter(marks, lambda m: m.startswith("[/")))
+        depths = F.aggregate(marks, F.struct(F.lit(0).alias("d"), F.lit(False).alias("bad")), lambda s, m: F.struct((s["d"] + F.when(m.startswith("[/"), -1).otherwise(1)).alias("d"), (s["bad"] | (m.startswith("[/") & (s["d"] < 1))).alias("bad")))
+        problems.append(F.when(opens + closes == 0, f"missing {n}").when(opens != closes, f"uneven {n}").when(depths["bad"], f"unordered {n}"))
+    found = F.filter(F.array(*problems), lambda x: x.isNotNull())
     extra = F.array_except(F.regexp_extract_all(text, F.lit(r"\[(\w+)\]"), F.lit(1)), F.array(*map(F.lit, names)))
-    return F.array_sort(F.concat(uneven, extra))
+    return F.array_sort(F.concat(found, F.transform(extra, lambda n: F.concat(F.lit("unexpected "), n))) if strict else found)
+
+
+def has_tag(text: Column, name: str) -> Column:
+    return F.coalesce(tag(text, name).isNotNull(), F.lit(False))
+
+
+METADATA = ("chapter_title", "section_title", "subsection_title", "summary")
+PREFIX = "This chunk is from"
+
+
+def chunk_metadata(text: Column) -> Column:
+    """Four tab-separated fields of a response as a struct; ``NONE`` is no subsection. Another number is an error."""
+    parts = F.split(F.btrim(text, F.lit(" \t\r\n")), "\t")
+    checked = F.when(F.size(parts) == len(METADATA), parts).otherwise(F.raise_error(F.concat(F.lit("not 4 fields: "), text)).cast("array<string>"))
+    cells = [F.btrim(F.get(checked, F.lit(i))) for i in range(len(METADATA))]
+    cells[2] = F.when(F.upper(cells[2]) != "NONE", cells[2])
+    return F.when(text.isNotNull(), F.struct(*[c.alias(n) for c, n in zip(cells, METADATA, strict=True)]))
+
+
+def prefix_problem(text: Column) -> Column:
+    """Why a contextual prefix can't be one: ``length`` (20 to 300 characters) or ``start``; null if it may be one."""
+    clean = F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\r\n"))
+    return F.when(~F.length(clean).between(20, 300), "length").when(~clean.startswith(PREFIX), "start")
 
 
 def cache_key(operation: str, content: Column, model: str = "") -> Column:
@@ -111,31 +144,39 @@ SEPARATORS = ("\n\n", "\n", ". ", " ", "")
 
 
 def pieces(text: str, size: int, overlap: int, separators: Sequence[str] = SEPARATORS) -> list[str]:
-    """Runs of at most ``size`` characters, cut at the first separator that the text has; neighbours share an overlap."""
-    if len(text) <= size:
-        return [text] if text.strip() else []
-    sep = next(s for s in separators if s == "" or s in text)
-    parts = [p + sep for p in text.split(sep)[:-1]] + [text.split(sep)[-1]] if sep else list(text)
-    rest = separators[list(separators).index(sep) + 1 :] or ("",)
+    """Runs of at most ``size`` characters without white space at their ends, cut at the first separator that the text has.
+
+    A separator stays at the start of what follows it. Parts of ``size`` or more are cut at the separators after it;
+    neighbours share up to ``overlap`` characters of whole parts. Only a part that no separator cuts is longer.
+    """
+    at = next((i for i, s in enumerate(separators) if s == "" or s in text), len(separators) - 1)
+    sep, finer = separators[at], separators[at + 1 :]
+    cut = text.split(sep) if sep else []
+    parts = [p for p in [*cut[:1], *(sep + p for p in cut[1:])] if p] if sep else list(text)
     out: list[str] = []
-    held: list[str] = []
+    held: deque[str] = deque()
     length = 0
+
+    def close() -> None:
+        whole = "".join(held).strip()
+        if whole:
+            out.append(whole)
+
     for part in parts:
-        if len(part) > size:
-            if held:
-                out.append("".join(held))
-            out += pieces(part, size, overlap, rest)
-            held, length = [], 0
+        if len(part) >= size:
+            close()
+            held.clear()
+            length = 0
+            out += pieces(part, size, overlap, finer) if finer else [part]
             continue
         if length + len(part) > size:
-            out.append("".join(held))
+            close()
             while held and (length > overlap or length + len(part) > size):
-                length -= len(held.pop(0))
+                length -= len(held.popleft())
         held.append(part)
         length += len(part)
-    if held:
-        out.append("".join(held))
-    return [p for p in out if p.strip()]
+    close()
+    return out
 
 
 def split_recursive(text: Column, size: int, overlap: int = 0) -> Column:
@@ -151,15 +192,24 @@ def split_recursive(text: Column, size: int, overlap: int = 0) -> Column:
 
 
 def parent_child_chunks(rows: DataFrame, key: str, text_col: str, parent_size: int = 3000, child_size: int = 600, overlap: int = 120) -> DataFrame:
-    """Children with their parent: (key, parent_no, child_no, start, end, text); places are of the first occurrence."""
+    """Children with their parent: (key, parent_no, parent_start, parent_end, child_no, start, end, text).
+
+    Parents share an overlap as children do. Places are of a text's first occurrence, ends excluded; children are numbered
+    through their document. A null text has none.
+    """
     if parent_size < child_size:
         raise ValueError("a parent is at least as large as a child")
-    parents = rows.select(key, F.col(text_col).alias("_whole"), F.posexplode(split_recursive(F.col(text_col), parent_size)).alias("parent_no", "_parent"))
-    parents = parents.withColumn("_at", F.expr("instr(_whole, _parent)") - 1).where("_at >= 0").drop("_whole")
-    children = parents.select("*", F.posexplode(split_recursive(F.col("_parent"), child_size, overlap)).alias("child_no", "text"))
-    children = children.withColumn("_in", F.expr("instr(_parent, text)") - 1).where("_in >= 0")
-    start = (F.col("_at") + F.col("_in")).cast("long")
-    return children.select(key, "parent_no", "child_no", start.alias("start"), (start + F.length("text")).alias("end"), "text")
+    whole, parent, at, inside = (unused(rows, c) for c in ("_whole", "_parent", "_at", "_in"))
+    parents = rows.select(key, F.col(text_col).alias(whole), F.posexplode(split_recursive(F.col(text_col), parent_size, overlap)).alias("parent_no", parent))
+    parents = parents.withColumn(at, F.expr(f"instr({whole}, {parent})") - 1).drop(whole)
+    children = parents.select("*", F.posexplode(split_recursive(F.col(parent), child_size, overlap)).alias("child_no", "text"))
+    number = F.row_number().over(Window.partitionBy(key).orderBy("parent_no", "child_no")) - 1
+    children = children.withColumn("child_no", number).withColumn(inside, F.expr(f"instr({parent}, text)") - 1).where((F.col(at) >= 0) & (F.col(inside) >= 0))
+    start = (F.col(at) + F.col(inside)).cast("long")
+    return children.select(
+        key, "parent_no", F.col(at).cast("long").alias("parent_start"), (F.col(at) + F.length(parent)).cast("long").alias("parent_end"),
+        "child_no", start.alias("start"), (start + F.length("text")).alias("end"), "text",
+    )
 
 
 def coverage_ratio(whole: Column, chunks: Column) -> Column:

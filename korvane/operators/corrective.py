@@ -24,8 +24,9 @@ def first_words(query: str, attempt: int) -> str:
 def corrective_search(
     chunks: DataFrame, query: str, k: int, grade: Scorer = overlap_score, embed: Embedder = letter_embedding, rewrite: Callable[[str, int], str] = first_words, keep: float = KEEP
 ) -> DataFrame:
-    """k graded chunks of the last try, with the query that found them, the quality, and the answer's confidence.
+    """k graded chunks of the last try, with the query that found them, the answer's confidence, and the outcome.
 
+    The outcome is ``answer`` from a confidence of ANSWER on, else ``insufficient``: there is too little to answer from.
     A try is good enough if the mean of all k grades is GOOD and something is kept.
     """
     for attempt in range(REWRITES + 1):
@@ -37,4 +38,5 @@ def corrective_search(
             break
         query = rewrite(query, attempt)
     sure = quality.select(answer_confidence(F.col("kept_mean"), F.col("n")).alias("confidence"))
+    sure = sure.withColumn("outcome", F.when(F.col("confidence") >= ANSWER, "answer").otherwise("insufficient"))
     return found.join(F.broadcast(sure)).withColumn("query", F.lit(query)).withColumn("kept", kept)  # one row

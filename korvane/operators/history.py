@@ -9,10 +9,10 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from korvane.functions.text import sse_events
+
 # Fixed values of the keyword classifier.
 EMOTIONAL = ("anxious", "feeling", "depressed", "sad", "stressed", "worried", "emotional", "upset", "down", "struggling", "need to talk", "need someone")
-MEDICAL = ("medication", "drug", "medicine", "treatment", "dose", "dosage", "side effect", "prescription", "antidepressant", "ssri", "what is")
-MEDICAL_QUESTIONS = (*MEDICAL, "how does", "tell me about", "aripiprazole", "sertraline", "lexapro")
 GREETINGS = ("thank", "thanks", "hello", "hi", "hey", "goodbye", "bye")
 
 LABELS = {"user": "User", "human": "User", "assistant": "Assistant", "ai": "Assistant", "system": "System"}
@@ -47,6 +47,22 @@ def context(messages: DataFrame, last: int = 5, drop: int = 0, include_system: b
     return messages.select("conv_id").distinct().join(joined, "conv_id", "left").select("conv_id", F.coalesce("context", F.lit("")).alias("context"))
 
 
+def full_history(messages: DataFrame) -> DataFrame:
+    """(conv_id, history): all messages but the system's, each after its role's label."""
+    labels = F.create_map(*[F.lit(x) for pair in LABELS.items() for x in pair])
+    text = F.concat(F.coalesce(F.try_element_at(labels, F.col("role")), F.lit("Unknown")), F.lit(": "), F.coalesce("text", F.lit("")))
+    joined = _joined(messages.where(F.coalesce("role", F.lit("")) != "system"), text, "\n", "history")
+    none = F.lit("No prior messages available.")
+    return messages.select("conv_id").distinct().join(joined, "conv_id", "left").select("conv_id", F.coalesce("history", none).alias("history"))
+
+
+def decode_chunks(chunks: DataFrame, key: str, order: str, chunk_col: str) -> DataFrame:
+    """(key, seq, event): the events of server-sent chunks, which may be cut anywhere; a stream's chunks are joined in order."""
+    parts = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.coalesce(chunk_col, F.lit("")).alias("c"))))
+    joined = chunks.groupBy(key).agg(F.array_join(F.transform(parts, lambda x: x["c"]), "").alias("stream"))
+    return joined.select(key, F.posexplode(sse_events(F.col("stream"))).alias("seq", "event"))
+
+
 def _any(text: Column, words: Sequence[str]) -> Column:
     return reduce(or_, [text.contains(w) for w in words])
 

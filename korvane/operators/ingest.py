@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from korvane.session import exists, unused
 
+from .validation import table_name
+
 
 def absent(incoming: DataFrame, existing: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
     """Rows to insert: the first of each key, unless the table has the key. Null keys are never inserted."""
@@ -55,6 +57,65 @@ def write_embeddings(rows: DataFrame, path: str, meta: Mapping[str, str]) -> Non
 def read_embeddings(spark: SparkSession, path: str, dimension: int | None = None) -> tuple[DataFrame, dict[str, str]]:
     """The table and its metadata; another dimension than expected is an error."""
     meta = spark.read.parquet(f"{path}/_meta").first().asDict()
+    lacking = [k for k in META[:4] if meta.get(k) is None]
+    if lacking:
+        raise ValueError(f"metadata lacks {', '.join(lacking)}")
     if dimension is not None and int(meta["embedding_dimension"]) != dimension:
         raise ValueError(f"vectors have {meta['embedding_dimension']} numbers, not {dimension}")
     return spark.read.parquet(f"{path}/data"), meta
+
+
+def resumed(work: DataFrame, path: str, key: str, compute: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The results of all work: those that are stored, and those that ``compute`` makes of the rest and are stored now.
+
+    A content-addressed store is the same with a hash of the content as the key. ``work`` has each key once.
+    """
+    spark = work.sparkSession
+    made = compute(work if not exists(spark, path) else remaining(work, spark.read.parquet(path), key))
+    made.write.mode("append").parquet(path)
+    return spark.read.schema(made.schema).parquet(path).join(work.select(key), key, "left_semi")
+
+
+def append_messages(messages: DataFrame, path: str) -> None:
+    """Append to a table of messages (conv_id, turn, ...) those turns that it lacks."""
+    new = messages.join(read_or_empty(messages.sparkSession, path, messages).select("conv_id", "turn"), ["conv_id", "turn"], "left_anti")
+    new.dropDuplicates(["conv_id", "turn"]).write.mode("append").parquet(path)
+
+
+def touched(rows: DataFrame, at: str | None = None) -> DataFrame:
+    """``rows`` with ``updated_at`` of now (or a given time), as every write of a row sets it."""
+    return rows.withColumn("updated_at", F.lit(at).cast("timestamp") if at else F.current_timestamp())
+
+
+def create_table(spark: SparkSession, name: str, schema: str) -> bool:
+    """An empty Parquet table, unless there is one of that name; whether it was made."""
+    if spark.catalog.tableExists(name):
+        return False
+    spark.createDataFrame([], schema).write.format("parquet").saveAsTable(name)
+    return True
+
+
+def drop_table(spark: SparkSession, name: str) -> None:
+    spark.sql(f"DROP TABLE IF EXISTS {table_name(name)}")
+
+
+def clear_table(spark: SparkSession, name: str) -> int:
+    """Delete all rows; how many there were."""
+    n = spark.table(name).count()
+    spark.sql(f"TRUNCATE TABLE {table_name(name)}")
+    return n
+
+
+def write_counted(rows: DataFrame, path: str, least: int = 1) -> int:
+    """Write a table and count what is there; fewer rows than ``least``, or than were given, are an error."""
+    seen = Observation()
+    rows.observe(seen, F.count("*").alias("n")).write.mode("overwrite").parquet(path)
+    n = rows.sparkSession.read.parquet(path).count()
+    if n < least or n != seen.get["n"]:
+        raise ValueError(f"{path} has {n} rows of {seen.get['n']}, at least {least} are needed")
+    return n
+
+
+def write_report(report: DataFrame, path: str) -> None:
+    """A coverage report as JSON, a document a line."""
+    report.write.mode("overwrite").option("ignoreNullFields", False).json(path)

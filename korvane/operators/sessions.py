@@ -7,6 +7,8 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from korvane.session import unused
+
 TERMINAL = ("error", "done", "cancelled", "idle_timeout")
 
 
@@ -27,6 +29,16 @@ def expired(sessions: DataFrame, now: datetime | Column, ttl_seconds: int) -> Da
     return sessions.join(live(sessions, now, ttl_seconds).select("session_id"), "session_id", "left_anti")
 
 
+def deleted(sessions: DataFrame, session_ids: DataFrame) -> DataFrame:
+    """Sessions without those of ``session_ids`` (session_id)."""
+    return sessions.join(session_ids.select("session_id"), "session_id", "left_anti")
+
+
+def clear_expired(sessions: DataFrame, now: datetime | Column, ttl_seconds: int) -> tuple[DataFrame, int]:
+    """The sessions that stay, and how many had expired."""
+    return live(sessions, now, ttl_seconds), expired(sessions, now, ttl_seconds).count()
+
+
 def of_user(sessions: DataFrame, user_id, now: datetime | Column, ttl_seconds: int) -> DataFrame:
     """A user's live sessions, the most recent first."""
     return live(sessions, now, ttl_seconds).where(F.col("user_id") == user_id).orderBy(F.desc("updated_at"), "session_id")
@@ -42,8 +54,9 @@ def create_or_load(requests: DataFrame, sessions: DataFrame, now: datetime | Col
 
 def until_terminal(events: DataFrame, key: str, order: str, type_col: str = "type", terminal: tuple[str, ...] = TERMINAL) -> DataFrame:
     """Events up to the first terminal one of each stream, that one included; a stream without one stays whole."""
-    ends = events.where(F.col(type_col).isin(*terminal)).groupBy(key).agg(F.min(order).alias("_end"))
-    return events.join(ends, key, "left").where(F.col("_end").isNull() | (F.col(order) <= F.col("_end"))).drop("_end")
+    end = unused(events, "_end")
+    ends = events.where(F.col(type_col).isin(*terminal)).groupBy(key).agg(F.min(order).alias(end))
+    return events.join(ends, key, "left").where(F.col(end).isNull() | (F.col(order) <= F.col(end))).drop(end)
 
 
 def accumulate(events: DataFrame, key: str, order: str, token: Column, stage: Column, type_col: str = "type", terminal: tuple[str, ...] = TERMINAL) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .vector import bad_vectors
@@ -52,6 +52,11 @@ def cache_savings(hits: Column, misses: Column, tokens_each: int) -> tuple[Colum
     return F.coalesce(F.try_divide(hits, hits + misses), F.lit(0.0)), hits * tokens_each
 
 
+def token_savings(hits: Column, consumed: Column, tokens_each: int = 5000) -> Column:
+    """The share of all tokens that hits of a cache saved; 0 without a hit."""
+    return F.coalesce(F.try_divide(hits * tokens_each, consumed + hits * tokens_each), F.lit(0.0))
+
+
 def index_validation(files: DataFrame, rows: DataFrame, dimension: int, id_col: str, vector_col: str = "embedding") -> DataFrame:
     """One row: files, rows, files without a row, rows with a bad vector, and whether all is well."""
     missing = files.join(rows.select(id_col), id_col, "left_anti").agg(F.count("*").alias("n_missing"))
@@ -61,6 +66,35 @@ def index_validation(files: DataFrame, rows: DataFrame, dimension: int, id_col:
     return one.withColumn("valid", (F.col("n_files") == F.col("n_rows")) & (F.col("n_missing") == 0) & (F.col("n_bad") == 0))
 
 
+def table_size_mb(rows: DataFrame) -> float:
+    """Megabytes of the files of a table that is read from files, to two digits."""
+    files = rows.select("_metadata.file_path", "_metadata.file_size").distinct()
+    return round((files.agg(F.sum("file_size")).first()[0] or 0) / 2**20, 2)
+
+
+def store_stats(spark: SparkSession, path: str) -> DataFrame:
+    """One row: files of a store and their bytes."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("length")
+    return files.agg(F.count("*").alias("n_files"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"))
+
+
+def match_counts(located: DataFrame, matched_col: str = "matched") -> DataFrame:
+    """One row: chunks that were found in their document, and those that weren't."""
+    found = F.coalesce(F.col(matched_col), F.lit(False))
+    return located.agg(F.count_if(found).alias("n_matched"), F.count_if(~found).alias("n_unmatched"))
+
+
+def total_duration(videos: DataFrame, seconds_col: str = "duration") -> DataFrame:
+    """One row: videos, their seconds, and these as whole hours and minutes."""
+    total = videos.agg(F.count("*").alias("n_videos"), F.coalesce(F.sum(seconds_col), F.lit(0)).alias("seconds"))
+    return total.withColumn("hours", F.floor(F.col("seconds") / 3600)).withColumn("minutes", F.floor(F.col("seconds") % 3600 / 60))
+
+
+def duration_seconds(starts: Column, ends: Column) -> Column:
+    """Seconds between two times, to two digits; null while one is open."""
+    return F.round(ends.cast("timestamp").cast("double") - starts.cast("timestamp").cast("double"), 2)
+
+
 def index_stats(results: DataFrame, status_col: str = "status") -> DataFrame:
     """One row: successes, failures and skips, and the share of successes of what was tried."""
     n = lambda s: F.count_if(F.col(status_col) == s)
@@ -75,7 +109,7 @@ def retrieval_quality(grades: DataFrame, key: str, grade_col: str = "grade", thr
     kept; 0 if none is.
     """
     grade = F.coalesce(F.col(grade_col).try_cast("double"), F.lit(0.5))
-    sums = grades.withColumn("_g", grade).groupBy(key).agg(
+    sums = grades.select(key, grade.alias("_g")).groupBy(key).agg(
         F.round(F.avg("_g"), DIGITS).alias("quality"), F.count_if(F.col("_g") >= threshold).alias("n_kept"), F.avg(F.when(F.col("_g") >= threshold, F.col("_g"))).alias("_mean")
     )
     return sums.select(key, "quality", "n_kept", answer_confidence(F.col("_mean"), F.col("n_kept")).alias("confidence"))

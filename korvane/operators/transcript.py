@@ -82,10 +82,25 @@ def overlapping(ranges: DataFrame, captions: DataFrame, key: str, width: int = 1
 
 
 def times_and_speakers(ranges: DataFrame, captions: DataFrame, key: str, order: str) -> DataFrame:
-    """(key, start, end) of each range with its first and last caption and the speakers in order of name."""
-    return overlapping(ranges, captions, key).groupBy(key, "start", "end").agg(
+    """(key, start, end) of each range with its first and last caption and the speakers in order of name.
+
+    A range that no caption overlaps has the first and last of all captions and no speaker; without captions, nulls.
+    """
+    found = overlapping(ranges, captions, key).groupBy(key, "start", "end").agg(
         F.min(order).alias("first"), F.max(order).alias("last"), F.array_join(F.array_sort(F.collect_set("speaker")), ",").alias("speakers")
     )
+    ends = captions.groupBy(key).agg(F.min(order).alias("all_first"), F.max(order).alias("all_last"))
+    every = ranges.select(key, "start", "end").distinct().join(found, [key, "start", "end"], "left").join(ends, key, "left")
+    return every.select(key, "start", "end", F.coalesce("first", "all_first").alias("first"), F.coalesce("last", "all_last").alias("last"), F.coalesce("speakers", F.lit("")).alias("speakers"))
+
+
+def time_strings(found: DataFrame, captions: DataFrame, key: str, order: str, start: str = "time_start", end: str = "time_end") -> DataFrame:
+    """The result of ``times_and_speakers`` with the times of its first and last caption; 00:00:00.000 without captions."""
+    times = captions.select(key, F.col(order).alias("at"), F.col(start).alias("begins"), F.col(end).alias("stops"))
+    firsts, lasts = times.select(key, F.col("at").alias("first"), "begins"), times.select(key, F.col("at").alias("last"), "stops")
+    none = F.lit("00:00:00.000")
+    timed = found.join(firsts, [key, "first"], "left").join(lasts, [key, "last"], "left")
+    return timed.select(*found.columns, F.coalesce("begins", none).alias("time_start"), F.coalesce("stops", none).alias("time_end"))
 
 
 def renumber(rows: DataFrame, order: list[str], parts: int = 256) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from korvane.operators import coverage, history, stats, transcript
+from korvane.functions import text as texts
+from korvane.operators import chunking, coverage, history, stats, transcript
 from korvane.plans.base import query, table
 
 _ROWS = "m AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id, {g} ORDER BY turn DESC) AS back FROM conversations)"
@@ -54,6 +55,43 @@ def sticky_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.sticky_agent(routed)
 
 
+@query(f"""WITH {_ALL}, h AS (SELECT conv_id, string_agg((CASE WHEN role IN ('user', 'human') THEN 'User' WHEN role IN ('assistant', 'ai') THEN 'Assistant' ELSE 'Unknown' END) || ': ' || coalesce(text, ''), chr(10) ORDER BY turn) AS history
+FROM conversations WHERE coalesce(role, '') <> 'system' GROUP BY conv_id) SELECT conv_id, coalesce(history, 'No prior messages available.') AS history FROM a LEFT JOIN h USING (conv_id)""")
+def full_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return history.full_history(table(spark, sf_dir, "conversations"))
+
+
+@query("SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS BIGINT) AS seq, turn, coalesce(role, '') AS role FROM conversations WHERE turn % 4 <> 3")
+def sse_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as server-sent events, every fourth a comment, cut into chunks in the middle of each."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"))
+    frame = F.when(F.col("turn") % 4 == 3, F.lit(": keep-alive\n\n")).otherwise(texts.sse_encode(F.struct("turn", "role")))
+    halves = F.array(F.substring(frame, 1, 9), F.substring(frame, 10, 1 << 20))
+    chunks = rows.select("conv_id", F.posexplode(halves).alias("half", "chunk"), "turn").withColumn("at", 2 * F.col("turn") + F.col("half"))
+    found = history.decode_chunks(chunks, "conv_id", "at", "chunk")
+    return found.select("conv_id", F.col("seq").cast("long").alias("seq"), F.from_json("event", "turn long, role string").alias("e")).select("conv_id", "seq", "e.*")
+
+
+@query("SELECT event_id FROM events WHERE event_type IN ('view', 'click') AND event_id % 5 <> 0 AND event_id % 7 <> 0")
+def token_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Views and clicks as tokens of nodes that talk to the user; every fifth is internal, every seventh empty."""
+    node = F.when(F.col("event_type") == "view", "respond").when(F.col("event_type") == "click", "rag_agent").otherwise("supervisor")
+    tags = F.when(F.col("event_id") % 5 == 0, F.array(F.lit("x"), F.lit(texts.INTERNAL))).otherwise(F.array(F.lit("x")))
+    token = F.when(F.col("event_id") % 7 != 0, "t").otherwise("")
+    return table(spark, sf_dir, "events").where(texts.shown_to_user(node, tags, token)).select("event_id")
+
+
+_PREFIXED = "CASE turn % 4 WHEN 0 THEN coalesce(text, '') WHEN 1 THEN '```' || coalesce(text, '') WHEN 2 THEN 'Here is ' || coalesce(text, '') ELSE '   ' END"
+
+
+@query(f"""SELECT conv_id, turn, CASE WHEN trim(x, ' ') = '' THEN 'empty' WHEN starts_with(trim(x, ' '), '```') THEN 'fenced' WHEN regexp_matches(lower(trim(x, ' ')), '^here (is|are)') THEN 'chatty' END AS problem
+FROM (SELECT conv_id, turn, {_PREFIXED} AS x FROM conversations)""")
+def validate_response(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind, text = F.col("turn") % 4, F.coalesce("text", F.lit(""))
+    said = F.when(kind == 0, text).when(kind == 1, F.concat(F.lit("```"), text)).when(kind == 2, F.concat(F.lit("Here is "), text)).otherwise("   ")
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", chunking.response_problem(said).alias("problem"))
+
+
 # --- transcripts ------------------------------------------------------------------------------------------------------
 
 _CAPTIONS = "cap AS (SELECT conv_id, turn, nullif(role, 'system') AS speaker, coalesce(text, '') AS text FROM conversations)"
@@ -87,14 +125,36 @@ _STRIDE = 300
 _RANGES = f"{_OFFSETS}, len AS (SELECT conv_id, max(char_end) AS length FROM off GROUP BY conv_id), rg AS (SELECT conv_id, s AS start, s + {_STRIDE} AS \"end\" FROM (SELECT conv_id, unnest(range(0, length + 1, {_STRIDE})) AS s FROM len))"
 
 
-@query(f"""WITH {_RANGES} SELECT conv_id, start, "end", min(turn) AS first, max(turn) AS last, coalesce(string_agg(DISTINCT speaker, ',' ORDER BY speaker), '') AS speakers
-FROM rg JOIN off USING (conv_id) WHERE char_end > start AND char_start < "end" GROUP BY conv_id, start, "end\"""")
-def chunk_time_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks of fixed length with their first and last caption and their speakers."""
+_SPOKEN = """sp AS (SELECT conv_id, start, "end", min(turn) AS first, max(turn) AS last, coalesce(string_agg(DISTINCT speaker, ',' ORDER BY speaker), '') AS speakers
+FROM rg JOIN off USING (conv_id) WHERE char_end > start AND char_start < "end" GROUP BY conv_id, start, "end"),
+ends AS (SELECT conv_id, min(turn) AS all_first, max(turn) AS all_last FROM off GROUP BY conv_id)"""
+
+
+def _ranges(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     rows = transcript.with_offsets(_captions(spark, sf_dir), "conv_id", "turn")
     lengths = rows.groupBy("conv_id").agg(F.max("char_end").alias("length"))
-    ranges = lengths.select("conv_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length"), F.lit(_STRIDE).cast("long"))).alias("start")).withColumn("end", F.col("start") + _STRIDE)
-    return transcript.times_and_speakers(ranges, rows, "conv_id", "turn")
+    starts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("length"), F.lit(_STRIDE).cast("long")))
+    return lengths.select("conv_id", starts.alias("start")).withColumn("end", F.col("start") + _STRIDE), rows
+
+
+@query(f"""WITH {_RANGES}, {_SPOKEN} SELECT conv_id, start, "end", coalesce(speakers, '') AS speakers FROM rg LEFT JOIN sp USING (conv_id, start, "end")""")
+def chunk_speakers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transcript.times_and_speakers(*_ranges(spark, sf_dir), "conv_id", "turn").select("conv_id", "start", "end", "speakers")
+
+
+@query(f"""WITH {_RANGES}, {_SPOKEN} SELECT conv_id, start, "end", coalesce(first, all_first) AS first, coalesce(last, all_last) AS last, coalesce(speakers, '') AS speakers
+FROM rg LEFT JOIN sp USING (conv_id, start, "end") LEFT JOIN ends USING (conv_id)""")
+def chunk_time_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of fixed length with their first and last caption and their speakers."""
+    return transcript.times_and_speakers(*_ranges(spark, sf_dir), "conv_id", "turn")
+
+
+@query(r"""SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN role WHEN 1 THEN role ELSE nullif(trim(regexp_extract(coalesce(text, ''), '^([A-Za-z\s]+):\s*', 1)), '') END AS speaker FROM conversations""")
+def speaker_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both forms of a speaker's name, and texts as they are."""
+    text = F.coalesce("text", F.lit(""))
+    line = F.when(F.col("turn") % 3 == 0, F.concat("role", F.lit(": "), text)).when(F.col("turn") % 3 == 1, F.concat(F.lit("<v "), "role", F.lit(">"), text)).otherwise(text)
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", transcript.speaker_of(line).alias("speaker"))
 
 
 @query("""SELECT conv_id, turn, nullif(regexp_extract(line, '^([A-Za-z\\s]+):\\s*', 1), '') AS speaker, regexp_replace(regexp_replace(line, '^[A-Za-z\\s]+:\\s*', ''), '\\s+', ' ', 'g') AS clean

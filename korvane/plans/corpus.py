@@ -146,10 +146,12 @@ def parse_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.parse_tags(rows, ["TITLE", "LANG"], "tagged").select("doc_id", "title", "lang", F.array_join("missing_tags", ",").alias("missing"))
 
 
-@query(f"""WITH {CHUNKS} SELECT chunk_id, CASE WHEN x >= 0.95 THEN 'excellent' WHEN x >= 0.9 THEN 'good' WHEN x >= 0.9 THEN 'fair' ELSE 'poor' END AS class
+@query(f"""WITH {CHUNKS} SELECT chunk_id, CASE WHEN x >= 0.95 THEN 'high' WHEN x >= 0.9 THEN 'medium' WHEN x >= 0.85 THEN 'low' ELSE 'gap' END AS class,
+CASE WHEN 100 * x >= 95 THEN 'high' WHEN 100 * x >= 80 THEN 'medium' ELSE 'low' END AS coverage
 FROM (SELECT chunk_id, token_count % 101 / 100.0::DOUBLE AS x FROM chunks)""")
 def similarity_class(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _plain(spark, sf_dir).select("chunk_id", texts.similarity_class(F.col("token_count") % 101 / 100.0).alias("class"))
+    share = F.col("token_count") % 101 / 100.0
+    return _plain(spark, sf_dir).select("chunk_id", texts.similarity_class(share, 0.85).alias("class"), texts.coverage_class(100 * share).alias("coverage"))
 
 
 @query(r"SELECT conv_id, turn, CASE WHEN lower(x) IN ('retrieve', 'respond') THEN lower(x) ELSE 'retrieve' END AS intent FROM (SELECT conv_id, turn, CASE role WHEN 'user' THEN 'respond' ELSE role END AS x FROM conversations)")
@@ -158,6 +160,117 @@ def normalize_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", texts.intent_or_default(said).alias("intent"))
 
 
+@query(f"WITH {CHUNKS} SELECT chunk_id, token_count FROM chunks")
+def token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), texts.token_count(F.col("text")).cast("long").alias("token_count"))
+
+
+@query("""WITH c AS (SELECT user_id, count(*) FILTER (WHERE event_type = 'view') AS hits, count(*) FILTER (WHERE event_type = 'click') AS misses FROM events GROUP BY user_id)
+SELECT user_id, CASE WHEN hits + misses > 0 THEN round(hits::DOUBLE / (hits + misses), 6) ELSE 0.0 END AS hit_rate, hits * 1500 AS tokens_saved,
+CASE WHEN hits > 0 THEN round(hits * 5000.0::DOUBLE / (misses * 1500 + hits * 5000), 6) ELSE 0.0 END AS saved_share FROM c""")
+def cache_savings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Views as hits and clicks as misses of a cache."""
+    n = lambda t: F.count_if(F.col("event_type") == t)
+    counts = table(spark, sf_dir, "events").groupBy("user_id").agg(n("view").alias("hits"), n("click").alias("misses"))
+    rate, saved = stats.cache_savings(F.col("hits"), F.col("misses"), 1500)
+    share = stats.token_savings(F.col("hits"), F.col("misses") * 1500)
+    return counts.select("user_id", F.round(rate, 6).alias("hit_rate"), saved.alias("tokens_saved"), F.round(share, 6).alias("saved_share"))
+
+
+@query("""WITH a AS (SELECT source, avg(quality::DOUBLE) AS m, count(*) AS n FROM documents JOIN labels USING (doc_id) WHERE toxic = 0 GROUP BY source)
+SELECT source, round(0.7 * m + 0.3 * least(n / 5.0::DOUBLE, 1.0), 6) AS confidence FROM a""")
+def answer_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").where("toxic = 0"), "doc_id")
+    means = rows.groupBy("source").agg(F.avg(F.col("quality").cast("double")).alias("m"), F.count("*").alias("n"))
+    return means.select("source", stats.answer_confidence(F.col("m"), F.col("n")).alias("confidence"))
+
+
+_TSV = """tsv AS (SELECT document_id, idx, title, level, parent_section, 'about ' || title AS summary, CASE WHEN start_words = '' THEN '' ELSE left(sha256(line), 8) END AS start_words FROM named JOIN sec USING (document_id, idx))"""
+
+
+def _responses(spark: SparkSession, sf_dir: str, fields: tuple[str, ...]) -> DataFrame:
+    """The sections of each document as a response: tab-separated lines after a header, in a fence."""
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("idx", "line"))
+    top = F.col("idx") % 7 == 0
+    cells = {
+        "title": F.concat(F.lit("T"), F.col("idx") % 7), "level": F.when(top, "1").otherwise("2"), "parent_section": F.when(top, "ROOT").otherwise("T0"),
+        "summary": F.concat(F.lit("about T"), F.col("idx") % 7), "start_words": F.when(F.btrim("line") == "", "[EMPTY]").otherwise(F.substring(F.sha2("line", 256), 1, 8)),
+        "end_words": F.lit("[EMPTY]"), "is_table": F.lit("False"),
+    }
+    lines = rows.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("idx", F.concat_ws("\t", *[cells[f] for f in fields]).alias("t")))).alias("ts"))
+    header = F.lit("```\n" + "\t".join(fields).replace("parent_section", "parent") + "\n")
+    return lines.select("document_id", F.concat(header, F.array_join(F.transform("ts", lambda x: x["t"]), "\n"), F.lit("\n```")).alias("text"))
+
+
+@query(f"WITH {_SECTIONS}, {_TSV} SELECT document_id, idx, title, level, parent_section, summary, start_words, '' AS end_words, false AS is_table FROM tsv")
+def parse_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.parse_structure(_responses(spark, sf_dir, chunking.FIELDS)).withColumn("idx", F.col("idx").cast("long"))
+
+
+@query(f"WITH {_SECTIONS}, {_TSV} SELECT document_id, idx, title, level, parent_section, summary FROM tsv")
+def parse_structure_v1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parsed = chunking.parse_structure(_responses(spark, sf_dir, chunking.FIELDS_V1), fields=chunking.FIELDS_V1)
+    return parsed.withColumn("idx", F.col("idx").cast("long"))
+
+
+@query(f"""WITH {_SECTIONS}, picked AS (SELECT * FROM named WHERE idx % 3 <> 0 OR document_id % 5 = 0)
+SELECT document_id, coalesce(arg_min(title, idx) FILTER (WHERE level = 1), arg_min(title, idx)) AS chapter_title FROM picked GROUP BY document_id""")
+def chapter_title(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of most documents only some sections count, so that not all have a chapter."""
+    return chunking.chapter_titles(_sections(spark, sf_dir).where("idx % 3 <> 0 OR document_id % 5 = 0"))
+
+
+@query("""SELECT doc_id, source AS chapter_title, lang AS section_title, CASE WHEN doc_id % 3 > 0 THEN 'part ' || doc_id % 3 END AS subsection_title, 'about ' || doc_id AS summary,
+CASE WHEN doc_id % 4 = 0 THEN 'length' WHEN doc_id % 4 = 1 THEN 'start' END AS prefix_problem FROM documents WHERE lang IS NOT NULL""")
+def parse_chunk_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = F.when(F.col("doc_id") % 3 > 0, F.concat(F.lit("part "), F.col("doc_id") % 3)).otherwise("none")
+    line = F.concat_ws("\t", "source", F.concat(F.lit(" "), "lang"), part, F.concat(F.lit("about "), F.col("doc_id"), F.lit("\n")))
+    prefix = F.when(F.col("doc_id") % 4 == 0, "This chunk").when(F.col("doc_id") % 4 == 1, "A chunk that is from the start").otherwise("This chunk is from the middle")
+    rows = table(spark, sf_dir, "documents").where("lang IS NOT NULL").select("doc_id", chunking.chunk_metadata(line).alias("m"), chunking.prefix_problem(prefix).alias("prefix_problem"))
+    return rows.select("doc_id", "m.*", "prefix_problem")
+
+
+@query("""SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN '' WHEN 1 THEN 'uneven LANG' WHEN 2 THEN 'missing LANG' WHEN 3 THEN 'unordered LANG' ELSE 'unexpected NOTE' END AS problems FROM documents""")
+def validate_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = ["[TITLE]x[/TITLE][LANG]y[/LANG]", "[TITLE]x[/TITLE][LANG]y", "[TITLE]x[/TITLE]", "[TITLE]x[/TITLE][/LANG]y[LANG]", "[TITLE]x[/TITLE][LANG]y[/LANG][NOTE]z[/NOTE]"]
+    text = F.get(F.array(*map(F.lit, kinds)), (F.col("doc_id") % 5).cast("int"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(chunking.tag_problems(text, ["TITLE", "LANG"]), ", ").alias("problems"))
+
+
+@query(f"""WITH {_NUMBERED}, r AS (SELECT name, chapter_title, CASE WHEN chunk_id % 4 > 0 THEN 'part' END AS section_title, CASE WHEN chunk_id % 3 > 0 THEN 'about' END AS about, token_count FROM n), v AS (
+  SELECT name AS id, 'chapter_title' AS rule, 'error' AS severity FROM r WHERE coalesce(chapter_title, '') = ''
+  UNION ALL SELECT name, 'section_title', 'error' FROM r WHERE section_title IS NULL
+  UNION ALL SELECT name, 'summary', 'warning' FROM r WHERE about IS NULL
+  UNION ALL SELECT name, 'too_long', 'error' FROM r WHERE token_count > 1000
+) SELECT count(*) FILTER (WHERE severity = 'error') AS n_errors, count(*) FILTER (WHERE severity = 'warning') AS n_warnings, count(*) = 0 AS passed FROM v""")
+def validate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A finished table as a whole, where a warning fails too."""
+    rows = _plain(spark, sf_dir).select(
+        F.format_string("%s_chunk_%03d", "source_document", "chunk_id").alias("chunk_id"), "chapter_title", F.when(F.col("chunk_id") % 4 > 0, "part").alias("section_title"),
+        F.when(F.col("chunk_id") % 3 > 0, "about").alias("summary"), "token_count",
+    )
+    return validation.outcome(validation.violations(rows, validation.document_rules()), strict=True)
+
+
+@query(f"""WITH {_SECTIONS}, v AS (SELECT document_id || '/' || idx AS id, title, level, line FROM named JOIN sec USING (document_id, idx))
+SELECT id, 'start_words' AS rule, 'error' AS severity FROM v WHERE length(line) > 1000 UNION ALL SELECT id, 'summary_length', 'error' FROM v WHERE length(line) > 3000 OR line = ''
+UNION ALL SELECT id, 'summary_short', 'warning' FROM v WHERE length(line) < 10""")
+def validate_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as sections that are their own summary and hint."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("idx", "line"))
+    sections = rows.select(
+        F.concat_ws("/", "doc_id", "idx").alias("chunk_id"), F.lit("T").alias("title"), F.lit(2).alias("level"), F.col("line").alias("summary"), F.col("line").alias("start_words"),
+        F.lit("").alias("end_words"),
+    )
+    return validation.violations(sections, validation.section_rules())
+
+
+@query("SELECT count(*) AS n_videos, CAST(sum(n) AS BIGINT) AS seconds, CAST(sum(n) // 3600 AS BIGINT) AS hours, CAST(sum(n) % 3600 // 60 AS BIGINT) AS minutes FROM (SELECT conv_id, 60 * count(*) AS n FROM conversations GROUP BY conv_id)")
+def total_duration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A minute for each turn."""
+    return stats.total_duration(table(spark, sf_dir, "conversations").groupBy("conv_id").agg((60 * F.count("*")).alias("duration")))
+
+
 # --- by Python in tasks: held against brute force in the tests ------------------------------------------------------------
 
 
@@ -166,6 +279,11 @@ def parent_child_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.parent_child_chunks(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+@query()
+def split_recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(chunking.split_recursive(F.col("text"), 600, 120)).alias("piece_no", "text"))
+
+
 @query()
 def coverage_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much of each item its pieces give back."""
@@ -184,4 +302,4 @@ def fuzzy_locate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def corrective_rag(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = corrective.corrective_search(embedded_chunks(spark, sf_dir), TEXT, 10, overlap_score)
-    return found.select("chunk_id", "similarity_score", "grade", "kept", "confidence", "query")
+    return found.select("chunk_id", "similarity_score", "grade", "kept", "confidence", "outcome", "query")

@@ -234,7 +234,13 @@ def test_tags(spark):
     rows = spark.createDataFrame([("[A]x[/A][A] y\nz [/A][C]",), ("nothing",), (None,)], "text string")
     got = [(r.a, r.b, r.missing_tags) for r in chunking.parse_tags(rows, ["A", "B"]).collect()]
     assert got[0] == ("y\nz", None, ["B"]) and got[1] == (None, None, ["A", "B"]) and got[2][0] is None
-    assert one(spark, lambda t: chunking.tag_problems(t, ["A"]), "[A]x[/A][A][C]") == ["A", "C"]
+    problems = {
+        "[A]x[/A]": [], "[A]x[/A][A][C]": ["uneven A", "unexpected C"], "[/A]x[A]": ["unordered A"], "": ["missing A"], None: ["missing A"], "[A][A]x[/A][/A]": [], "[A]x[/A][/A][A]": ["unordered A"],
+    }
+    for tagged, want in problems.items():
+        assert one(spark, lambda t: chunking.tag_problems(t, ["A"]), tagged) == want
+    assert one(spark, lambda t: chunking.tag_problems(t, ["A"], strict=False), "[A]x[/A][C]") == []
+    assert one(spark, lambda t: chunking.has_tag(t, "A"), "[A]x[/A]") and not one(spark, lambda t: chunking.has_tag(t, "A"), None)
 
 
 def test_responses(spark):
@@ -244,12 +250,50 @@ def test_responses(spark):
     assert one(spark, chunking.response_problem, "a\tb") is None
 
 
-@settings(max_examples=100, deadline=None)
+def split_by_definition(text, size, overlap, separators):
+    """The public recursive splitter, written down from its description with plain lists."""
+    at = next((i for i, s in enumerate(separators) if s == "" or s in text), len(separators) - 1)
+    sep, finer = separators[at], separators[at + 1 :]
+    pieces = [p for p in re.split(f"(?={re.escape(sep)})", text) if p] if len(sep) == 1 else None
+    if pieces is None:
+        pieces, rest = [], text
+        while sep and sep in rest[1:]:
+            cut = rest.index(sep, 1) if rest.startswith(sep) is False else rest.index(sep, len(sep)) if sep in rest[len(sep) :] else -1
+            if cut < 0:
+                break
+            pieces.append(rest[:cut])
+            rest = rest[cut:]
+        pieces = [*pieces, rest] if sep else list(text)
+        pieces = [p for p in pieces if p]
+    out, run = [], []
+
+    def merged(run):
+        made, current = [], []
+        for piece in run:
+            if sum(map(len, current)) + len(piece) > size:
+                made.append("".join(current))
+                while current and (sum(map(len, current)) > overlap or sum(map(len, current)) + len(piece) > size):
+                    current = current[1:]
+            current = [*current, piece]
+        return [m.strip() for m in [*made, "".join(current)] if m.strip()]
+
+    for piece in pieces:
+        if len(piece) < size:
+            run.append(piece)
+            continue
+        out += merged(run)
+        run = []
+        out += split_by_definition(piece, size, overlap, finer) if finer else [piece]
+    return out + merged(run)
+
+
+@settings(max_examples=300, deadline=None)
 @given(st.text(alphabet="ab .\n", max_size=200), st.integers(1, 30), st.integers(0, 29))
-def test_pieces_fit_and_lose_nothing(whole, size, overlap):
+def test_pieces_by_definition(whole, size, overlap):
     overlap = min(overlap, size - 1)
     parts = chunking.pieces(whole, size, overlap)
-    assert all(0 < len(p) <= size and p in whole for p in parts)
+    assert parts == split_by_definition(whole, size, overlap, list(chunking.SEPARATORS))
+    assert all(0 < len(p) <= size and p in whole and (p == p.strip() or size == 1) for p in parts)  # a part that nothing cuts stays as it is
     covered = set()
     for p in parts:
         for m in re.finditer(f"(?={re.escape(p)})", whole):
@@ -257,12 +301,35 @@ def test_pieces_fit_and_lose_nothing(whole, size, overlap):
     assert all(i in covered for i, c in enumerate(whole) if not c.isspace())
 
 
-def test_children_lie_where_they_say(spark, sf):
+def test_pieces_of_known_texts():
+    assert chunking.pieces("one two three four", 9, 4) == ["one two", "three", "four"]
+    assert chunking.pieces("a. b. c", 4, 0) == ["a. b", ". c"]
+    assert chunking.pieces("abcdef", 3, 1) == ["abc", "cde", "ef"] and chunking.pieces(" \n ", 5, 0) == [] and chunking.pieces("", 5, 0) == []
+
+
+def test_parents_and_children_by_brute_force(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    whole = {r.doc_id: r.text for r in docs.collect()}
-    rows = chunking.parent_child_chunks(docs, "doc_id", "text", 500, 100, 20).collect()
-    assert {r.doc_id for r in rows} == {k for k, t in whole.items() if (t or "").strip()}
-    assert all(whole[r.doc_id][r.start : r.end] == r.text and len(r.text) <= 100 for r in rows)
+    want = set()
+    for r in docs.collect():
+        n = 0
+        for i, parent in enumerate(chunking.pieces(r.text or "", 500, 20)):
+            at = r.text.find(parent)
+            for child in chunking.pieces(parent, 100, 20):
+                inside = parent.find(child)
+                if at >= 0 and inside >= 0:
+                    want.add((r.doc_id, i, at, at + len(parent), n, at + inside, at + inside + len(child), child))
+                n += 1
+    got = [tuple(r) for r in chunking.parent_child_chunks(docs, "doc_id", "text", 500, 100, 20).collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
+def test_chunk_metadata(spark):
+    got = one(spark, chunking.chunk_metadata, " C\tS \tnone\tabout\n")
+    assert tuple(got) == ("C", "S", None, "about") and one(spark, chunking.chunk_metadata, None) is None
+    with pytest.raises(Exception, match="not 4 fields"):
+        one(spark, chunking.chunk_metadata, "C\tS")
+    assert one(spark, chunking.prefix_problem, "This chunk is from x") is None and one(spark, chunking.prefix_problem, "This chunk") == "length"
+    assert one(spark, chunking.prefix_problem, None) == "length" and one(spark, chunking.prefix_problem, "That chunk is from the end") == "start"
 
 
 def test_coverage_ratio_and_location(spark):
@@ -428,6 +495,119 @@ def test_validation(spark):
     assert [r.title for r in validation.missing_parents(sections).collect()] == ["C"]
 
 
+def test_rules_of_sections_metadata_and_messages(spark):
+    sections = spark.createDataFrame([("a", "T", 1, "long enough summary", "w", ""), ("b", "", 6, "", "x" * 1001, None), ("c", "T", None, "short", "w", "y" * 1001)], "chunk_id string, title string, level int, summary string, start_words string, end_words string")
+    got = {(r.id, r.rule) for r in validation.violations(sections, validation.section_rules()).collect()}
+    assert got == {("b", x) for x in ("title", "level", "summary_length", "summary_short", "start_words")} | {("c", x) for x in ("level", "summary_short", "end_words")}
+    rows = spark.createDataFrame([("a", "C", "S", "a summary of it", 5), ("b", " TBA ", "...", "todo", 1001), ("c", None, "", None, None)], "chunk_id string, chapter_title string, section_title string, summary string, token_count int")
+    found = {(r.id, r.rule) for r in validation.violations(rows, validation.metadata_rules()).collect()}
+    assert found == {("b", x) for x in ("chapter_title_placeholder", "section_title_placeholder", "summary_placeholder", "summary_too_short")} | {("c", "summary_too_short")}
+    whole = validation.violations(rows, validation.document_rules())
+    assert {(r.id, r.rule, r.severity) for r in whole.collect()} == {("b", "too_long", "error"), ("c", "chapter_title", "error"), ("c", "section_title", "error"), ("c", "summary", "warning")}
+    assert tuple(validation.outcome(whole).first()) == (3, 1, False)
+    warned = whole.where("severity = 'warning'")
+    assert validation.outcome(warned).first().passed and not validation.outcome(warned, strict=True).first().passed and validation.outcome(whole.limit(0), True).first().passed
+    messages = spark.createDataFrame([("a", "hi", None), ("b", "", "x"), ("c", "y" * 5001, "0123abcd-0000-4000-8000-0123456789AB")], "chunk_id string, text string, session_id string")
+    assert {(r.id, r.rule) for r in validation.violations(messages, validation.message_rules()).collect()} == {("b", "text"), ("b", "session_id"), ("c", "text")}
+    ratios = spark.createDataFrame([("a", 0.995), ("b", 0.5), ("c", 1.5), ("d", None)], "doc string, ratio double")
+    assert {(r.id, r.rule) for r in validation.coverage_violations(ratios, "doc").collect()} == {("b", "coverage"), ("c", "ratio"), ("d", "ratio")}
+    good, bad = validation.accepted(rows, validation.document_rules())
+    assert [r.chunk_id for r in good.collect()] == ["a"] and {r.chunk_id: r.reasons for r in bad.collect()} == {"b": ["too_long"], "c": ["chapter_title", "section_title"]}
+    reports = spark.createDataFrame([("x", 2), ("y", 1), ("z", None)], "doc string, total int")
+    held = spark.createDataFrame([("x",), ("x",)], "doc string")
+    assert {tuple(r) for r in validation.count_mismatches(reports, held, "doc", "total").collect()} == {("y", 1, 0), ("z", None, 0)}
+    with pytest.raises(ValueError):
+        validation.require_rows(held.limit(0))
+    with pytest.raises(ValueError):
+        validation.table_name("chunks\n")
+
+
+def test_work_is_resumed(spark, tmp_path):
+    path, asked = str(tmp_path / "store"), []
+
+    def compute(rows):
+        asked.append(sorted(r.k for r in rows.collect()))
+        return rows.withColumn("v", F.upper("k"))
+
+    work = lambda *keys: spark.createDataFrame([(k,) for k in keys], "k string")
+    assert {tuple(r) for r in ingest.resumed(work("a", "b"), path, "k", compute).collect()} == {("a", "A"), ("b", "B")}
+    assert {tuple(r) for r in ingest.resumed(work("b", "c"), path, "k", compute).collect()} == {("b", "B"), ("c", "C")}
+    assert asked == [["a", "b"], ["c"]]
+    assert tuple(stats.store_stats(spark, path).first())[0] >= 2
+
+
+def test_tables_are_made_counted_and_dropped(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 0, "a"), (1, 1, "b"), (1, 1, "b")], "conv_id int, turn int, text string")
+    assert ingest.write_counted(rows, str(tmp_path / "n")) == 3 and stats.table_size_mb(spark.read.parquet(str(tmp_path / "n"))) >= 0
+    with pytest.raises(ValueError):
+        ingest.write_counted(rows.limit(0), str(tmp_path / "m"))
+    for _ in range(2):
+        ingest.append_messages(rows, str(tmp_path / "t"))
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "t")).collect())) == [(1, 0, "a"), (1, 1, "b")]
+    ingest.drop_table(spark, "made_here")
+    assert ingest.create_table(spark, "made_here", "a int") and not ingest.create_table(spark, "made_here", "a int")
+    spark.range(3).select(F.col("id").cast("int").alias("a")).write.mode("append").insertInto("made_here")
+    assert ingest.clear_table(spark, "made_here") == 3 and spark.table("made_here").count() == 0
+    ingest.drop_table(spark, "made_here")
+    assert not spark.catalog.tableExists("made_here")
+    assert ingest.touched(rows, "2024-01-01").first().updated_at == datetime(2024, 1, 1)
+    ingest.write_report(rows, str(tmp_path / "r"))
+    assert spark.read.json(str(tmp_path / "r")).count() == 3
+
+
+def test_sessions_deleted_and_cleared(stored):
+    assert {r.session_id for r in sessions.deleted(stored, stored.where("session_id = 's1'")).collect()} == {"s2", "s3"}
+    left, n = sessions.clear_expired(stored, NOW, 60)
+    assert n == 1 and {r.session_id for r in left.collect()} == {"s1", "s2"}
+
+
+def test_texts_for_users_and_models(spark):
+    shown = spark.createDataFrame([("respond", ["a"], "x"), ("respond", ["internal-llm"], "x"), ("retrieve", None, ""), ("supervisor", [], "x"), ("rag_agent", None, "x")], "n string, t array<string>, x string")
+    assert [r.s for r in shown.select(text.shown_to_user(F.col("n"), F.col("t"), F.col("x")).alias("s")).collect()] == [True, False, False, False, True]
+    assert one(spark, text.sse_events, ': hi\n\ndata: {"a":1}\n\nevent: x\n\ndata: {bad\n\ndata: {"a":2}\n\ndata: {"a"') == ['{"a":1}', '{"a":2}']
+    assert one(spark, text.sse_events, None) == []
+    items = [("a > b", "t"), ("", None)]
+    got = one(spark, text.documents_markdown, items, "array<struct<source:string,text:string>>")
+    assert got == "# Retrieved Information\n\n## Source 1: a > b\n\n### Content:\nt\n\n---\n\n## Source 2: Unknown Source\n\n### Content:\nNo content.\n\n---\n\n"
+    assert one(spark, text.agent_or_error, " 'Rag_Agent' ") == "rag_agent"
+    with pytest.raises(Exception, match="not an agent"):
+        one(spark, text.agent_or_error, "x")
+    assert one(spark, lambda c: text.event_type(c, F.lit("started")), "retrieval") == "retrieval_start" and one(spark, lambda c: text.event_type(c, F.lit("done")), "retrieval") == "retrieval_complete"
+    assert one(spark, lambda c: text.storage_kb(c, 4), 1024, "int") == 4.0
+    assert one(spark, lambda c: models.rerank_prompt("q", c), "d").startswith("<Instruct>: Given a web search query")
+    rows = models.answered(spark.createDataFrame([("first\nsecond",), (None,)], "p string"), F.col("p"))
+    assert [r.response for r in rows.collect()] == ["first", ""]
+
+
+def test_token_count_by_a_vocabulary(spark):
+    import public_tokenizers
+
+    count = models.bpe_token_count(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    rows = spark.createDataFrame([("hello world",), ("",), (None,)], "t string")
+    assert [r.n for r in rows.select(count(F.col("t")).alias("n")).collect()] == [2, 0, 0]
+
+
+def test_full_history(messages):
+    got = {r.conv_id: r.history for r in history.full_history(messages).collect()}
+    assert got == {1: "User: one\nAssistant: two\nUser: \nUser: three", 2: "Assistant: only", 3: "User: "}
+    assert {r.history for r in history.full_history(messages.where("role = 'system'")).collect()} == {"No prior messages available."}
+
+
+def test_ranges_without_a_caption(spark):
+    captions = spark.createDataFrame([("v", 1, 0, 4, "A", "00:00:01.000", "00:00:02.000"), ("v", 2, 5, 9, None, "00:00:02.000", "00:00:03.000")], "k string, i int, char_start long, char_end long, speaker string, time_start string, time_end string")
+    ranges = spark.createDataFrame([("v", 0, 4), ("v", 50, 60), ("w", 0, 4)], "k string, start long, end long")
+    found = transcript.times_and_speakers(ranges, captions, "k", "i")
+    timed = {(r.k, r.start): (r.first, r.last, r.speakers, r.time_start, r.time_end) for r in transcript.time_strings(found, captions, "k", "i").collect()}
+    assert timed == {("v", 0): (1, 1, "A", "00:00:01.000", "00:00:02.000"), ("v", 50): (1, 2, "", "00:00:01.000", "00:00:03.000"), ("w", 0): (None, None, "", "00:00:00.000", "00:00:00.000")}
+
+
+def test_statistics_of_matches_and_durations(spark):
+    assert tuple(stats.match_counts(spark.createDataFrame([(True,), (False,), (None,)], "matched boolean")).first()) == (1, 2)
+    assert tuple(stats.total_duration(spark.createDataFrame([(3600,), (3725,), (None,)], "duration int")).first()) == (3, 7325, 2, 2)
+    times = spark.createDataFrame([(datetime(2024, 1, 1), datetime(2024, 1, 1, 0, 0, 1, 250000))], "a timestamp, b timestamp")
+    assert times.select(stats.duration_seconds(F.col("a"), F.col("b")).alias("s")).first().s == 1.25
+
+
 def test_statistics_of_nothing(spark):
     none = spark.createDataFrame([], "source_document string, token_count int")
     assert tuple(stats.table_stats(none).first()) == (0, 0, 0.0)
@@ -441,3 +621,6 @@ def test_corrective_search_rewrites_until_it_is_good(spark):
     rows = spark.createDataFrame([(1, "alpha beta"), (2, "alpha")], "chunk_id int, chunk_text string").withColumn("embedding", models.letter_embedding(F.col("chunk_text")))
     got = corrective.corrective_search(rows, "alpha zzz yyy xxx", 2).collect()
     assert {r["query"] for r in got} == {"alpha"} and all(r.kept for r in got)
+    assert {(r.confidence, r.outcome) for r in got} == {(0.82, "answer")}
+    none = corrective.corrective_search(rows, "zzz yyy", 2).collect()
+    assert {(r.confidence, r.outcome) for r in none} == {(0.0, "insufficient")} and not any(r.kept for r in none)
