@@ -44,9 +44,9 @@ SIMILARITY = 0.8
 BANDS, ROWS = 32, 5  # at a similarity of 0.8, about 3 in a million pairs share no band
 #: Elements in a block's index, elements that stream past it in one task, and counters of one numpy step: they only
 #: steer the cost.
-BLOCK, STREAM, COUNTERS = 1 << 20, 1 << 22, 1 << 22
+BLOCK, STREAM, COUNTERS = 1 << 20, 1 << 18, 1 << 22
 #: Copies of a group's few numbers, so that its nodes needn't come to one task for them.
-SPREAD = 64
+SPREAD = 16
 #: Bytes of text for one numpy step; a longer text is a step of its own.
 STEP = 1 << 20
 NO_ID = -(2**63)
@@ -309,7 +309,7 @@ def links_within(group: DataFrame, similarity: float) -> DataFrame:
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     some = lambda n, salt: F.pmod(F.xxhash64("uid", F.lit(salt)), F.col(n))
     copies = parts.withColumn("spread", F.lit(SPREAD).cast("long")).withColumn("copy", every("spread")).drop("spread")
-    rows = group.withColumn("spread", F.lit(SPREAD).cast("long")).withColumn("copy", some("spread", 3)).drop("spread").join(copies, ["leader", "copy"])
+    rows = group.withColumn("spread", F.lit(SPREAD).cast("long")).withColumn("copy", some("spread", 3)).drop("spread").join(copies.hint("merge"), ["leader", "copy"])  # their size isn't bounded
     columns = ("leader", "block", "salt", "past", "uid", "label", "size", "lacks", "base", "delta")
     block = rows.where(F.col("label") != F.col("most.label")).select("*", some("blocks", 1).alias("block"), every("salts").alias("salt"), F.lit(0).alias("past"))
     past = rows.select("*", every("blocks").alias("block"), some("salts", 2).alias("salt"), F.lit(1).alias("past"))
