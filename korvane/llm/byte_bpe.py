@@ -26,7 +26,7 @@ from .common import held, small_batches
 from .tokens import PieceStore
 
 ROOT = 0
-#: Determinised states kept in a worker; beyond it they are made anew.
+#: Determinised states (and pairs of tokens) kept in a worker; beyond it they are made anew, in the middle of a text too.
 MAX_STATES = 350_000
 
 
@@ -76,14 +76,22 @@ class Transducer:
                 place = self.child.setdefault(place << 8 | b, len(self.child) + 1)
             self.token_at[place] = rank
         self.inner = {key >> 8 for key in self.child}
-        self.own: dict[int, bool] = {}
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: dict[int, bool] = {}
+        self.states: list[tuple] = [((ROOT, -1, ()),)]
         self._forget()
 
-    def _forget(self) -> None:
-        start = ((ROOT, -1, ()),)
+    def _forget(self, but: int = 0) -> int:
+        """Start anew with no state but the first and one more, whose number is given back."""
+        kept, start = self.states[but], ((ROOT, -1, ()),)
         self.states, self.numbers = [start], {start: 0}
         self.next: dict[int, tuple[int, tuple[int, ...]]] = {}
+        if len(self.fits) > MAX_STATES:
+            self.fits.clear()
+        if kept == start:
+            return 0
+        self.states.append(kept)
+        self.numbers[kept] = 1
+        return 1
 
     def _follows(self, last: int, token: int) -> bool:
         """Whether BPE can give ``token`` right after ``last`` (-1: at the start)."""
@@ -132,11 +140,15 @@ class Transducer:
 
     def feed(self, data: Iterable[int]) -> Iterator[int]:
         """Tokens of a stream of bytes, as soon as nothing can change them."""
-        if len(self.states) > MAX_STATES:
-            self._forget()
         state, known = 0, self.next.get
         for byte in data:
-            state, ready = known(state << 8 | byte) or self._step(state, byte)
+            found = known(state << 8 | byte)
+            if found is None:
+                found = self._step(state, byte)
+                if len(self.states) > MAX_STATES:
+                    found = self._forget(found[0]), found[1]
+                    known = self.next.get
+            state, ready = found
             if ready:
                 yield from ready
         if state:

@@ -579,6 +579,15 @@ def test_texts_that_end_in_two_white_space_characters(reference):
     assert [np.frombuffer(x, "<u4").tolist() for x in tokens.encoder(BYTE, True).encode(texts)] == list(map(library(BYTE), texts))
 
 
+def test_states_stay_bounded_within_a_long_word(reference, monkeypatch):
+    monkeypatch.setattr(byte_bpe, "MAX_STATES", 200)
+    fst = byte_bpe.Transducer(byte_bpe.load_ranks(RANKS))
+    word = "".join(random.Random(1).choices("abcdefghijklmnopqrstuvwxyz", k=4000))
+    assert list(fst.feed(word.encode())) == reference.encode_ordinary(word)
+    assert len(fst.states) <= 201 and len(fst.next) <= 201 * 26 and len(fst.fits) < 4000
+    assert fst.encode(b"hello") == reference.encode_ordinary("hello")
+
+
 def test_byte_bpe_of_awkward_rows(docs, none, reference):
     rows = byte_bpe.round_trip(docs, RANKS, public_tokenizers.PATTERN).collect()
     assert Counter(r.doc_id for r in rows) == Counter(i for i, _ in TEXTS)
