@@ -21,8 +21,8 @@ from .common import materialise, small_batches
 from .tokens import encoder
 
 MAX_LENGTH, END_ID = 4096, 2
-#: Numbering runs in this many independent parts of the corpus for each bucket.
-PARTS = 1024
+#: Numbering runs in independent parts of the corpus for each bucket: at least so many, and about so many pieces in one.
+PARTS, PART_PIECES = 1024, 1 << 20
 
 
 def piece_lengths(n: int, longest: int = MAX_LENGTH) -> list[int]:
@@ -63,9 +63,10 @@ def pack(docs: DataFrame, tokenizer: str, text_col: str = "text", id_col: str =
     The pieces are written once; what numbering then shuffles is their few numbers, not the ids.
     """
     pieces = materialise(piece_rows(docs, tokenizer, text_col, id_col, longest, end_id, with_ids), "pieces")
-    pieces = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).cast("int"))
+    parts = max(PARTS, pieces.count() // PART_PIECES)  # the count is in the footers of the files
+    pieces = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int"))
     sizes = pieces.groupBy("length", "part").agg(F.count("*").alias("n"))
-    # at most PARTS rows for each power of two
+    # at most a row for each part and power of two: a millionth of the pieces
     before = sizes.select(
         "length", "part", (F.sum("n").over(Window.orderBy(F.desc("length"), "part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("before")
     )

@@ -796,3 +796,15 @@ def test_a_plan_on_a_sample_puts_what_never_rejects_last(spark):
     docs = spark.createDataFrame([(i, "#$% " * 30) for i in range(300)], "doc_id long, text string")
     order = [r.name for r in quality_rules.plan_cascade(docs)]
     assert set(order) == {r.name for r in quality_rules.RULES} and order[0] in ("repeated_words", "symbols")
+
+
+def test_parts_grow_with_the_pieces(spark, sf, monkeypatch):
+    """More and smaller parts number the same pieces without gaps."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    want = Counter((r.doc_id, r.start, r.length) for r in packing.pack(docs, WORD, with_ids=False).collect())
+    monkeypatch.setattr(packing, "PARTS", 1)
+    monkeypatch.setattr(packing, "PART_PIECES", 50)
+    rows = packing.pack(docs, WORD, with_ids=False).collect()
+    assert Counter((r.doc_id, r.start, r.length) for r in rows) == want
+    assert sorted(r.sequence_id for r in rows) == list(range(len(rows)))
+    assert [r.length for r in sorted(rows, key=lambda r: r.sequence_id)] == sorted((r.length for r in rows), reverse=True)
