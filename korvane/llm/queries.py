@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, gif_columns, html_wrappers, language_gru, line_dedup, minhash_dedup, packing, quality_rules, rans_files, secret_scan
+from . import byte_bpe, gif_columns, hard_negatives, html_wrappers, language_gru, line_dedup, minhash_dedup, packing, quality_rules, rans_files, secret_scan, source_audit, source_mix
 from .common import materialise, shared_dir
 
 
@@ -78,6 +78,19 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), label=label)
+
+
+def op12_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.audit(_documents(spark, sf_dir))
+
+
+def op13_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mix.mix(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack_powers_of_two": op1_pack_powers_of_two,
     "op2_secret_ownership": op2_secret_ownership,
@@ -89,4 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_rans_files": op8_rans_files,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_quality_rules": op10_quality_rules,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_source_audit": op12_source_audit,
+    "op13_source_mix": op13_source_mix,
 }
