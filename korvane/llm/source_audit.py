@@ -24,6 +24,8 @@ from .common import materialise
 MIN_DOCS, TOP_TERMS = 10, 10
 #: SCALE in two factors: a product of one of them and a count fits a long.
 SCALE_A, SCALE_B = 32_000, 31_250
+#: Parts that the terms of a language are dealt over where they meet its totals, which come in as many copies.
+PARTS = 64
 NOT_TERM = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 
 
@@ -69,7 +71,9 @@ def with_shares(wide: DataFrame) -> DataFrame:
     """``wide`` with p, the share in each source, and q, that in the language."""
     cells = wide.select("lang", F.posexplode("counts").alias("place", "n")).groupBy("lang", "place").agg(F.sum("n").alias("n"), F.count("*").alias("v"))
     totals = cells.groupBy("lang").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "n"))), lambda x: x["n"]).alias("totals"), F.max("v").alias("v"), F.sum("n").alias("total"))
-    joined = wide.join(totals, "lang")  # a row for each language, with a number for each of its sources
+    part = F.pmod(F.xxhash64("term"), F.lit(PARTS)).cast("int")
+    copies = totals.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))  # a row has a number for each source
+    joined = wide.withColumn("part", part).join(copies, ["lang", "part"])
     return joined.select(
         "lang", "term", "counts",
         F.expr(f"transform(counts, (n, i) -> {share('n', 'totals[i]')})").alias("p"),
