@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
-
+import json
+import re
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from functools import reduce
+from operator import or_
+
+import pandas as pd
+import pyarrow.fs as pa_fs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -42,27 +49,75 @@ def read_or_empty(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
 META = ("embedding_model", "embedding_dimension", "provider_type", "total_chunks", "generated_at")
 
 
+#: Where Spark keeps its schema in a footer, and where the key-values stand in it: with a column, which every file has.
+_ROW_METADATA, _KEY = b"org.apache.spark.sql.parquet.row.metadata", "embeddings"
+
+
 def write_embeddings(rows: DataFrame, path: str, meta: Mapping[str, str]) -> None:
-    """Vectors under ``path``/data and their metadata as one row under ``path``/_meta; all keys are needed."""
+    """Vectors under ``path``/data with their metadata in the footer of every file, and as one row under ``path``/_meta; all keys are needed.
+
+    Spark writes a column's metadata into the footers, so tasks need nothing but the usual writer.
+    """
     lacking = [k for k in META if k not in meta]
     if lacking:
         raise ValueError(f"metadata lacks {', '.join(lacking)}")
     if rows.isEmpty():
         raise AssertionError("there is nothing to write")
-    rows.write.mode("overwrite").option("compression", "snappy").parquet(f"{path}/data")
-    one = rows.sparkSession.createDataFrame([tuple(str(meta[k]) for k in META)], ", ".join(f"{k} string" for k in META))
+    values = {k: str(meta[k]) for k in META}
+    first = rows.columns[0]
+    marked = rows.withMetadata(first, {**rows.schema[first].metadata, _KEY: values})
+    marked.write.mode("overwrite").option("compression", "snappy").parquet(f"{path}/data")
+    one = rows.sparkSession.createDataFrame([tuple(values[k] for k in META)], ", ".join(f"{k} string" for k in META))
     one.coalesce(1).write.mode("overwrite").parquet(f"{path}/_meta")
 
 
+def footers(spark: SparkSession, path: str) -> DataFrame:
+    """(file, embedding_model, ...): the key-values in the footer of each Parquet file below ``path``, null where one lacks.
+
+    Spark lists the files; tasks read their tails alone. The store must be one that pyarrow opens.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(path).select(F.col("path").alias("file"))
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            yield pd.DataFrame([(f, *footer_values(f)) for f in part["file"]], columns=["file", *META])
+
+    return files.repartition(spark.sparkContext.defaultParallelism).mapInPandas(run, "file string, " + ", ".join(f"{k} string" for k in META))
+
+
+def footer_values(file: str) -> tuple[str | None, ...]:
+    """The values of META in one file's footer."""
+    store, name = pa_fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", file))
+    with store.open_input_file(name) as tail:
+        found = (pq.read_metadata(tail).metadata or {}).get(_ROW_METADATA)
+    fields = json.loads(found)["fields"] if found else []
+    values = next((f["metadata"][_KEY] for f in fields if _KEY in f["metadata"]), {})
+    return tuple(values.get(k) for k in META)
+
+
+def disagreeing(found: DataFrame) -> DataFrame:
+    """The files of ``footers`` whose values aren't those that most files have, or that lack one; ties go to the smaller values."""
+    values = F.struct(*META)
+    counts = found.groupBy(values.alias("v")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "v").limit(1)
+    most = counts.select(F.col("v").alias("most"))
+    lacks = reduce(or_, [F.col(k).isNull() for k in META[:4]])
+    return found.join(F.broadcast(most)).where(~values.eqNullSafe(F.col("most")) | lacks).drop("most")  # one row
+
+
 def read_embeddings(spark: SparkSession, path: str, dimension: int | None = None) -> tuple[DataFrame, dict[str, str]]:
-    """The table and its metadata; another dimension than expected is an error."""
-    meta = spark.read.parquet(f"{path}/_meta").first().asDict()
+    """The table and its metadata, from the footers; a missing key and another dimension than expected are errors.
+
+    The schema that Spark reads from a footer has the values, in whatever store the files are. That all files agree is what
+    ``disagreeing`` tells.
+    """
+    rows = spark.read.parquet(f"{path}/data")
+    meta = next((f.metadata[_KEY] for f in rows.schema if _KEY in f.metadata), {})
     lacking = [k for k in META[:4] if meta.get(k) is None]
     if lacking:
         raise ValueError(f"metadata lacks {', '.join(lacking)}")
     if dimension is not None and int(meta["embedding_dimension"]) != dimension:
         raise ValueError(f"vectors have {meta['embedding_dimension']} numbers, not {dimension}")
-    return spark.read.parquet(f"{path}/data"), meta
+    return rows, dict(meta)
 
 
 def resumed(work: DataFrame, path: str, key: str, compute: Callable[[DataFrame], DataFrame]) -> DataFrame:

@@ -1,13 +1,15 @@
 """BM25 (Okapi) over a stored index of words, and the hybrid of keyword and vector ranks.
 
-An index is four Parquet tables, each a generation for every batch of documents that was added:
+An index is a few Parquet tables, each with a generation for every change:
 
 * ``postings`` (term, id, tf, dl), in folders by a hash of the term, so that a search reads those of its terms alone;
-* ``terms`` (term, df), in the same folders; ``lengths`` (id, dl);
-* ``stats``, a row for each generation with what holds for all documents up to it: their number, words, different terms,
-  and the mean of the terms' raw inverse frequencies. Those of a search's own terms are made when it runs.
+* ``terms`` (term, df), in the same folders, where a deletion adds negative numbers; ``lengths`` (id, dl);
+* ``tombstones`` (id): the documents that a deletion took from the generations before it;
+* ``stats``, a row for each change with what holds after it: the number of documents, words, different terms, and the mean
+  of the terms' raw inverse frequencies. Those of a search's own terms are made when it runs.
 
-A generation counts once its ``stats`` are there, which are written last: an addition that broke off changes nothing.
+A change counts once its row of ``stats`` is there, which is written last, at once for all that belongs together: one that
+broke off changes nothing, and what it left lies in generations that no row names. One writer at a time.
 """
 
 from __future__ import annotations
@@ -54,7 +56,7 @@ class Index:
     def frequencies(self) -> DataFrame:
         """(term, df, idf) of all terms. A negative idf becomes EPSILON times the mean idf of all terms."""
         raw = raw_idf(F.lit(self.n), F.col("df"))
-        return self.terms.groupBy("term").agg(F.sum("df").alias("df")).select("term", "df", F.when(raw < 0, F.lit(EPSILON) * F.lit(self.mean_idf)).otherwise(raw).alias("idf"))
+        return self.terms.groupBy("term").agg(F.sum("df").alias("df")).where("df > 0").select("term", "df", F.when(raw < 0, F.lit(EPSILON) * F.lit(self.mean_idf)).otherwise(raw).alias("idf"))
 
     def scores(self, query: str) -> DataFrame:
         """(id, bm25) for EVERY document, 0 without a match. A word that the query repeats counts again."""
@@ -63,7 +65,7 @@ class Index:
         if not weights or not self.words:
             return every.withColumn("bm25", F.lit(0.0))
         mine = F.col("term").isin(*weights) & F.col("folder").isin(*{r["f"] for r in folders_of(self.lengths.sparkSession, weights, self.folders)})
-        found = {r["term"]: r["df"] for r in self.terms.where(mine).groupBy("term").agg(F.sum("df").alias("df")).collect()}  # the query's terms
+        found = {r["term"]: r["df"] for r in self.terms.where(mine).groupBy("term").agg(F.sum("df").alias("df")).where("df > 0").collect()}  # the query's terms
         if not found:
             return every.withColumn("bm25", F.lit(0.0))
         number = lambda x: F.create_map(*[y for w in found for y in (F.lit(w), F.lit(float(x[w])))])[F.col("term")]
@@ -82,47 +84,159 @@ def folders_of(spark: SparkSession, words, folders: int) -> list:
     return spark.createDataFrame([(w,) for w in sorted(words)], "term string").select(folder_of(F.col("term"), folders).alias("f")).collect()
 
 
-def add_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Add documents to the index at ``path``, which is made if it isn't there. Ids must be new to it.
+_STATS = "seq int, kind string, generation string, n long, words long, n_terms long, mean_idf double, folders int"
+_SCHEMAS = {"postings": "id long, dl int, term string, tf long, folder int", "terms": "term string, df long, folder int", "lengths": "id long, dl int", "tombstones": "id long"}
+#: What each kind of change has.
+_PARTS = {"add": ("postings", "terms", "lengths"), "base": ("postings", "terms", "lengths"), "delete": ("terms", "tombstones")}
 
-    Only the batch is read and sorted into folders; of what is stored, the table of terms is read for the new mean.
-    """
-    spark = docs.sparkSession
-    generation = f"{path}/{{}}/generation={uuid.uuid4().hex}"
-    sizes = docs.select(F.col(f"`{id_col}`").alias("id"), F.size(tokens_of(F.col(f"`{text_col}`"))).alias("dl"))
-    sizes.write.parquet(generation.format("lengths"))
-    batch = spark.read.parquet(generation.format("lengths")).agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("words")).first()
-    before = [r.asDict() for r in spark.read.parquet(f"{path}/stats").orderBy("n").collect()] if exists(spark, f"{path}/stats") else []  # a row for each addition
-    folders = before[0]["folders"] if before else max(FOLDERS, batch["words"] // FOLDER_WORDS)
-    posted = postings(docs, id_col, text_col).withColumn("folder", folder_of(F.col("term"), folders))
-    part = F.pmod(F.xxhash64("id"), F.lit(1 + batch["n"] // FILE_POSTINGS))  # a term of all documents needn't be one task's
-    posted.repartition("folder", part).sortWithinPartitions("folder", "term").write.partitionBy("folder").parquet(generation.format("postings"))
-    mine = spark.read.schema("id long, dl int, term string, tf long, folder int").parquet(generation.format("postings"))
-    mine.groupBy("folder", "term").agg(F.count("*").alias("df")).repartition("folder").write.partitionBy("folder").parquet(generation.format("terms"))
-    n = batch["n"] + (before[-1]["n"] if before else 0)
-    known = _tables(spark, path, [*[r["generation"] for r in before], generation.rpartition("=")[2]])["terms"]
-    total = known.groupBy("term").agg(F.sum("df").alias("df")).agg(F.count("*").alias("terms"), F.avg(raw_idf(F.lit(n), F.col("df"))).alias("mean")).first()
-    row = (generation.rpartition("=")[2], n, batch["words"] + (before[-1]["words"] if before else 0), total["terms"], total["mean"], folders)
-    spark.createDataFrame([row], "generation string, n long, words long, n_terms long, mean_idf double, folders int").coalesce(1).write.mode("append").parquet(f"{path}/stats")
-
-
-def _tables(spark: SparkSession, path: str, generations: list[str]) -> dict[str, DataFrame]:
-    """The three tables of some generations; a generation of empty texts has no folder of terms."""
-    schemas = {"postings": "id long, dl int, term string, tf long, folder int", "terms": "term string, df long, folder int", "lengths": "id long, dl int"}
+
+def _changes(spark: SparkSession, path: str) -> list[dict]:
+    """The changes that count, in their order, from the last merge on: a row for each."""
+    if not exists(spark, f"{path}/stats"):
+        return []
+    rows = [r.asDict() for r in spark.read.schema(_STATS).parquet(f"{path}/stats").orderBy("seq").collect()]
+    last = max((i for i, r in enumerate(rows) if r["kind"] == "base"), default=0)
+    return rows[last:]
+
+
+def _tables(spark: SparkSession, path: str, changes: list[dict]) -> dict[str, DataFrame]:
+    """``postings``, ``terms`` and ``lengths`` of the documents that are left, and ``tombstones``; a generation of empty texts has no folder of terms."""
     out = {}
-    for name, schema in schemas.items():
-        parts = [spark.read.schema(schema).parquet(f"{path}/{name}/generation={g}") for g in generations]
-        table = parts[0]
-        for part_ in parts[1:]:
-            table = table.unionByName(part_)
+    for name, schema in _SCHEMAS.items():
+        parts = [
+            spark.read.schema(schema).parquet(f"{path}/{name}/generation={r['generation']}").withColumn("seq", F.lit(r["seq"])) for r in changes if name in _PARTS[r["kind"]]
+        ]
+        table = parts[0] if parts else spark.createDataFrame([], schema + ", seq int")
+        for part in parts[1:]:
+            table = table.unionByName(part)
         out[name] = table
+    if any(r["kind"] == "delete" for r in changes):
+        gone = out["tombstones"].select(F.col("id").alias("gone"), F.col("seq").alias("until"))
+        for name in ("postings", "lengths"):
+            out[name] = out[name].join(gone, (F.col("id") == F.col("gone")) & (F.col("seq") < F.col("until")), "left_anti")
     return out
 
 
+def _commit(spark: SparkSession, path: str, before: list[dict], made: list[dict]) -> None:
+    """The rows of ``stats`` of changes whose generations are written, as one file."""
+    rows, changes = [], list(before) if made[0]["kind"] != "base" else []
+    seq = before[-1]["seq"] if before else -1
+    for change in made:
+        seq += 1
+        change |= {"seq": seq, "folders": change.get("folders") or before[-1]["folders"]}
+        changes.append(change)
+        last = rows[-1] if rows else before[-1] if before and change["kind"] != "base" else {"n": 0, "words": 0}
+        change |= {"n": last["n"] + change["n"], "words": last["words"] + change["words"]}
+        df = _tables(spark, path, changes)["terms"].groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
+        total = df.agg(F.count("*").alias("terms"), F.avg(raw_idf(F.lit(change["n"]), F.col("df"))).alias("mean")).first()
+        change |= {"n_terms": total["terms"], "mean_idf": total["mean"]}
+        rows.append(change)
+    names = [f.split()[0] for f in _STATS.split(", ")]
+    spark.createDataFrame([tuple(r[c] for c in names) for r in rows], _STATS).coalesce(1).write.mode("append").parquet(f"{path}/stats")
+
+
+def _write_postings(posted: DataFrame, path: str, generation: str, folders: int, documents: int) -> None:
+    """Postings (id, dl, term, tf) and their terms as a generation."""
+    spark = posted.sparkSession
+    part = F.pmod(F.xxhash64("id"), F.lit(1 + documents // FILE_POSTINGS))  # a term of all documents needn't be one task's
+    posted = posted.withColumn("folder", folder_of(F.col("term"), folders))
+    posted.repartition("folder", part).sortWithinPartitions("folder", "term").write.partitionBy("folder").parquet(f"{path}/postings/generation={generation}")
+    mine = spark.read.schema(_SCHEMAS["postings"]).parquet(f"{path}/postings/generation={generation}")
+    mine.groupBy("folder", "term").agg(F.count("*").alias("df")).repartition("folder").write.partitionBy("folder").parquet(f"{path}/terms/generation={generation}")
+
+
+def _added(docs: DataFrame, path: str, before: list[dict], id_col: str, text_col: str) -> dict:
+    """A generation of new documents."""
+    spark, generation = docs.sparkSession, uuid.uuid4().hex
+    lengths = f"{path}/lengths/generation={generation}"
+    docs.select(F.col(f"`{id_col}`").alias("id"), F.size(tokens_of(F.col(f"`{text_col}`"))).alias("dl")).write.parquet(lengths)
+    batch = spark.read.schema(_SCHEMAS["lengths"]).parquet(lengths).agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("words")).first()
+    folders = before[-1]["folders"] if before else max(FOLDERS, batch["words"] // FOLDER_WORDS)
+    _write_postings(postings(docs, id_col, text_col), path, generation, folders, batch["n"])
+    return {"kind": "add", "generation": generation, "n": batch["n"], "words": batch["words"], "folders": folders}
+
+
+def _deleted(ids: DataFrame, path: str, before: list[dict]) -> dict:
+    """A generation that takes documents (id) from what is there: postings are read once, for the terms that they had."""
+    spark, generation = ids.sparkSession, uuid.uuid4().hex
+    tables = _tables(spark, path, before)
+    tombstones = f"{path}/tombstones/generation={generation}"
+    tables["lengths"].join(ids.select("id").distinct(), "id", "left_semi").select("id", "dl").write.parquet(f"{path}/dead/generation={generation}")
+    dead = spark.read.schema(_SCHEMAS["lengths"]).parquet(f"{path}/dead/generation={generation}")
+    dead.select("id").distinct().write.parquet(tombstones)
+    gone = spark.read.schema("id long").parquet(tombstones)
+    less = tables["postings"].join(gone, "id", "left_semi").groupBy("folder", "term").agg((-F.count("*")).alias("df"))
+    less.repartition("folder").write.partitionBy("folder").parquet(f"{path}/terms/generation={generation}")
+    lost = dead.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("words")).first()
+    return {"kind": "delete", "generation": generation, "n": -lost["n"], "words": -lost["words"]}
+
+
+def add_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", replace: bool = False) -> None:
+    """Add documents to the index at ``path``, which is made if it isn't there.
+
+    Ids that come twice are an error, as are those that the index has, unless the new documents replace those. Of what is
+    stored, lengths are read for the ids, the terms for the new mean, and postings only if documents are replaced.
+    """
+    spark = docs.sparkSession
+    before = _changes(spark, path)
+    ids = docs.select(F.col(f"`{id_col}`").alias("id"))
+    twice = ids.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").limit(3).collect()
+    if twice:
+        raise ValueError(f"ids come twice: {', '.join(str(r['id']) for r in twice)}")
+    known = _tables(spark, path, before)["lengths"].join(ids, "id", "left_semi").select("id") if before else None
+    found = known.limit(3).collect() if known is not None else []
+    if found and not replace:
+        raise ValueError(f"the index has these ids: {', '.join(str(r['id']) for r in found)}")
+    made = [_deleted(known, path, before)] if found else []
+    _commit(spark, path, before, [*made, _added(docs, path, before, id_col, text_col)])
+
+
+def delete_documents(ids: DataFrame, path: str) -> None:
+    """Take documents (id) from the index; ids that it doesn't have are passed over."""
+    before = _changes(ids.sparkSession, path)
+    if not before:
+        raise FileNotFoundError(f"{path} is no index")
+    _commit(ids.sparkSession, path, before, [_deleted(ids, path, before)])
+
+
+def merge_generations(spark: SparkSession, path: str) -> None:
+    """Write all that is left as one generation, which then stands for all before it. Their folders stay until ``drop_unused``."""
+    before = _changes(spark, path)
+    if not before:
+        raise FileNotFoundError(f"{path} is no index")
+    tables, generation = _tables(spark, path, before), uuid.uuid4().hex
+    last = before[-1]
+    folders = max(FOLDERS, last["words"] // FOLDER_WORDS)
+    tables["lengths"].select("id", "dl").write.parquet(f"{path}/lengths/generation={generation}")
+    _write_postings(tables["postings"].select("id", "dl", "term", "tf"), path, generation, folders, last["n"])
+    _commit(spark, path, before, [{"kind": "base", "generation": generation, "n": last["n"], "words": last["words"], "folders": folders}])
+
+
+def drop_unused(spark: SparkSession, path: str) -> list[str]:
+    """Delete the folders of generations that no change names any more: merged ones, and those of changes that broke off.
+
+    No search may be reading what was there before, and no change be under way.
+    """
+    named = {r["generation"] for r in _changes(spark, path)}
+    jvm = spark._jvm
+    dropped = []
+    for name in (*_SCHEMAS, "dead"):
+        folder = jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
+        store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        for status in store.listStatus(folder) if store.exists(folder) else []:
+            if status.getPath().getName().removeprefix("generation=") not in named:
+                store.delete(status.getPath(), True)
+                dropped.append(f"{name}/{status.getPath().getName()}")
+    return dropped
+
+
 def read_index(spark: SparkSession, path: str) -> Index:
-    rows = spark.read.parquet(f"{path}/stats").orderBy("n", "words").collect()  # a row for each addition
-    last = rows[-1]
-    return Index(**_tables(spark, path, [r["generation"] for r in rows]), n=last["n"], words=last["words"], n_terms=last["n_terms"], mean_idf=last["mean_idf"], folders=last["folders"])
+    changes = _changes(spark, path)
+    if not changes:
+        raise FileNotFoundError(f"{path} is no index")
+    last, tables = changes[-1], _tables(spark, path, changes)
+    del tables["tombstones"]
+    return Index(**tables, n=last["n"], words=last["words"], n_terms=last["n_terms"], mean_idf=last["mean_idf"], folders=last["folders"])
 
 
 def hybrid_stats(index: Index, alpha: float) -> DataFrame:

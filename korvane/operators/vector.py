@@ -86,14 +86,18 @@ def sign_words(vector: Column, dimension: int) -> Column:
     return F.array(*words)
 
 
+def signs_of(query: Sequence[float]) -> Column:
+    """``sign_words`` of a query."""
+    return F.array(*[F.lit(sum(1 << (i - b) for i in range(b, min(len(query), b + 32)) if query[i] > 0)).cast("long") for b in range(0, len(query), 32)])
+
+
 def hamming(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("long")), F.lit(0).cast("long"), lambda s, x: s + x)
 
 
 def hamming_top_k(rows: DataFrame, query: Sequence[float], k: int, candidates: int = 100, id_col: str = "chunk_id", vector_col: str = "embedding") -> DataFrame:
     """The candidates of the smallest Hamming distance of signs, ordered again by exact cosine."""
-    signs = F.array(*[F.lit(sum(1 << (i - b) for i in range(b, min(len(query), b + 32)) if query[i] > 0)).cast("long") for b in range(0, len(query), 32)])
-    near = rows.withColumn("hamming", hamming(sign_words(F.col(vector_col), len(query)), signs)).orderBy("hamming", id_col).limit(candidates)
+    near = rows.withColumn("hamming", hamming(sign_words(F.col(vector_col), len(query)), signs_of(query))).orderBy("hamming", id_col).limit(candidates)
     return top_k(near, query, k, id_col, vector_col)
 
 

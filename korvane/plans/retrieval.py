@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from korvane.functions.models import LETTERS, tokens_of
-from korvane.operators import lexical, search, vector
+from korvane.operators import lexical, search, vector, vector_index
 from korvane.plans.base import CHUNKS, WORDS, embedded_chunks, query, stored, table
 
 K = 10
@@ -69,8 +69,47 @@ def vector_topk_ip(spark: SparkSession, sf_dir: str) -> DataFrame:
 ), near AS (SELECT * FROM h ORDER BY hamming, vec_id LIMIT 100)
 SELECT vec_id, label, hamming, similarity_score FROM near ORDER BY similarity_score DESC NULLS LAST, vec_id LIMIT {K}""")
 def hamming_topk_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "embeddings")
-    return vector.hamming_top_k(rows, _first_vector(rows), K, 100, "vec_id")
+    """Candidates by the stored signs of all rows; their vectors are read only then."""
+    first = _first_vector(table(spark, sf_dir, "embeddings"))
+    near = _vector_index(spark, sf_dir).candidates(first, 100, None)
+    near = near.withColumn("hamming", vector.hamming(vector.sign_words(F.col("vector"), len(first)), vector.signs_of(first)))
+    return vector.top_k(near, first, K, "id", "vector").select(F.col("id").alias("vec_id"), "label", "hamming", "similarity_score")
+
+
+@query(f"""WITH {_Q} SELECT vec_id, label, {_COSINE.format(a="embedding::DOUBLE[]", b="q")} AS similarity_score FROM embeddings, q
+ORDER BY similarity_score DESC NULLS LAST, vec_id LIMIT {K}""")
+def half_topk_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates by the stored 16-bit floats, ordered again by exact cosine."""
+    found = _vector_index(spark, sf_dir).top_k(_first_vector(table(spark, sf_dir, "embeddings")), K, None, code="half")
+    return found.select(F.col("id").alias("vec_id"), "label", "similarity_score")
+
+
+def _vector_index(spark: SparkSession, sf_dir: str) -> vector_index.VectorIndex:
+    """The stored index of ``embeddings``, made by the first search."""
+    return vector_index.read(spark, stored(spark, sf_dir, "embeddings", "vectors", "about/_SUCCESS", vector_index.build))
+
+
+def _each(spark: SparkSession, sf_dir: str, probes: int | None) -> DataFrame:
+    """The neighbours of every row whose id is divisible by 50."""
+    queries = table(spark, sf_dir, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    found = _vector_index(spark, sf_dir).top_k_each(queries, K, probes)
+    return found.select("query_id", F.col("id").alias("vec_id"), F.col("rank").cast("long").alias("rank"), "similarity_score")
+
+
+@query()
+def vector_topk_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """In the lists that each query probes: at least 0.9 of the exact neighbours, which a test measures."""
+    return _each(spark, sf_dir, 0)
+
+
+@query(f"""WITH s AS (
+  SELECT a.vec_id AS query_id, b.vec_id, {_COSINE.format(a="b.embedding::DOUBLE[]", b="a.embedding::DOUBLE[]")} AS similarity_score
+  FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0
+) SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity_score DESC NULLS LAST, vec_id) AS rank FROM s
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity_score DESC NULLS LAST, vec_id) <= {K}""")
+def vector_topk_all_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over all lists, which is exact."""
+    return _each(spark, sf_dir, None)
 
 
 @query(f"WITH {_Q} SELECT vec_id, {_COSINE.format(a='embedding::DOUBLE[]', b='q')} AS similarity FROM embeddings, q")
@@ -174,10 +213,12 @@ bm25 AS MATERIALIZED (SELECT dl.id, round(coalesce(s, 0), 6) AS bm25 FROM dl LEF
 
 def _index(spark: SparkSession, sf_dir: str) -> lexical.Index:
     """The stored index of ``documents``, made by the first search."""
-    return lexical.read_index(spark, stored(spark, sf_dir, "documents", "bm25", "stats", lexical.add_documents))
+    return lexical.read_index(spark, stored(spark, sf_dir, "documents", "bm25", "stats/_SUCCESS", lexical.add_documents))
 
 
-@query(f"WITH {_BM25} SELECT term, df, round(idf, 6) AS idf FROM idf")
+@query(f"""WITH {WORDS}, counted AS MATERIALIZED (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(w)) AS term FROM words) GROUP BY term),
+raw AS MATERIALIZED (SELECT term, df, ln((SELECT count(*) FROM documents) - df + 0.5) - ln(df + 0.5) AS raw FROM counted)
+SELECT term, df, round(CASE WHEN raw < 0 THEN {lexical.EPSILON} * (SELECT avg(raw) FROM raw) ELSE raw END, 6) AS idf FROM raw""")
 def bm25_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _index(spark, sf_dir).frequencies().select("term", "df", F.round("idf", lexical.DIGITS).alias("idf"))
 

@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from korvane.operators import ingest, sessions
+from korvane.operators import ingest, sessions, versions
 from korvane.plans.base import query, table
 
 NOW, TTL = datetime(2024, 1, 30), 86_400
@@ -91,3 +91,53 @@ def upsert_key_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     old = rows.groupBy("key").agg(F.min("value").alias("value"))
     new = rows.where("event_type = 'purchase'").groupBy("key").agg(F.max("value").alias("value"))
     return ingest.upsert(old, new, "key")
+
+
+_REPLAY_TTL = 6 * 3600
+
+
+@query(f"""WITH r AS (SELECT *, CASE WHEN event_type IN ('signup', 'purchase') THEN 'save' WHEN event_type = 'error' THEN 'delete' ELSE 'get' END AS op FROM events),
+l AS (SELECT *, last_value(CASE WHEN op <> 'get' THEN {{'op': op, 'at': ts, 'id': event_id}} END IGNORE NULLS)
+  OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM r),
+a AS (SELECT *, coalesce(last.op = 'save' AND last.at >= ts - INTERVAL {_REPLAY_TTL} SECONDS, false) AS live FROM l)
+SELECT event_id, user_id AS session_id, op, CASE WHEN op = 'save' THEN 'saved' WHEN NOT live THEN 'missing' WHEN op = 'delete' THEN 'deleted' ELSE 'loaded' END AS outcome,
+CASE WHEN op = 'save' THEN CAST(event_id AS VARCHAR) WHEN live AND op = 'get' THEN CAST(last.id AS VARCHAR) END AS data FROM a""")
+def session_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sign-ups and purchases save a user's session, errors delete it, all else asks for it."""
+    kind = F.col("event_type")
+    op = F.when(kind.isin("signup", "purchase"), "save").when(kind == "error", "delete").otherwise("get")
+    requests = table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("session_id"), F.col("event_id").alias("seq"), "ts", op.alias("op"), F.col("user_id").cast("string").alias("user_id"), F.col("event_id").cast("string").alias("data")
+    )
+    found = sessions.replayed(requests, _REPLAY_TTL)
+    return found.select(F.col("seq").alias("event_id"), "session_id", "op", "outcome", "data")
+
+
+@query("""WITH c AS (
+  SELECT conv_id AS thread, turn, 0 AS k, turn AS message, 'put' AS op, role, text FROM conversations
+  UNION ALL SELECT conv_id, turn, 1, turn - 1, 'put', role, 'edited: ' || text FROM conversations WHERE turn % 3 = 2
+  UNION ALL SELECT conv_id, turn, 2, turn - 2, 'remove', NULL, NULL FROM conversations WHERE turn % 5 = 4
+), v AS (SELECT *, row_number() OVER (PARTITION BY thread ORDER BY turn, k) AS version FROM c),
+w AS (SELECT thread, max(version) AS "at" FROM v GROUP BY thread UNION SELECT thread, max(version) // 2 FROM v GROUP BY thread),
+l AS (SELECT thread, "at", message, arg_max({'op': op, 'role': role, 'text': text}, version) AS last FROM v JOIN w USING (thread) WHERE version <= "at" GROUP BY thread, "at", message)
+SELECT thread, "at", message, last.role AS role, last.text AS text FROM l WHERE last.op = 'put'""")
+def conversation_at_version(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each conversation as it was half-way and as it is; some turns edit the one before them or take one back."""
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("thread"), "turn", "role", "text")
+    change = lambda k, back, op, text, role="role": F.struct(F.lit(k).alias("k"), (F.col("turn") - back).alias("message"), F.lit(op).alias("op"), F.expr(role).alias("role"), text.alias("text"))
+    none = F.lit(None).cast("string")
+    changes = F.array(
+        change(0, 0, "put", F.col("text")),
+        F.when(F.col("turn") % 3 == 2, change(1, 1, "put", F.concat(F.lit("edited: "), "text"))),
+        F.when(F.col("turn") % 5 == 4, change(2, 2, "remove", none, "CAST(NULL AS STRING)")),
+    )
+    flat = rows.select("thread", "turn", F.explode(changes).alias("c")).where("c IS NOT NULL").select("thread", "turn", "c.*")
+    no_one = flat.select("thread", F.lit(0).cast("long").alias("last")).limit(0)
+    numbered = versions.numbered(flat, no_one, ["turn", "k"])
+    last = numbered.groupBy("thread").agg(F.max("version").alias("n"))
+    wanted = last.select("thread", F.explode(F.array("n", F.floor(F.col("n") / 2))).alias("at"))
+    # snapshots at each eighth version stand in for most changes
+    nothing = spark.createDataFrame([], "thread long, version long")
+    marks = last.select("thread", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(8).cast("long"))).alias("version")).where("version > 0")
+    snapshots = versions.state_at(numbered, spark.createDataFrame([], versions.SNAPSHOTS), nothing, marks.withColumnRenamed("version", "at"))
+    return versions.state_at(numbered, snapshots, marks, wanted)
