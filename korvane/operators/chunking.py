@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Sequence
-from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -210,45 +209,3 @@ def parent_child_chunks(rows: DataFrame, key: str, text_col: str, parent_size: i
         key, "parent_no", F.col(at).cast("long").alias("parent_start"), (F.col(at) + F.length(parent)).cast("long").alias("parent_end"),
         "child_no", start.alias("start"), (start + F.length("text")).alias("end"), "text",
     )
-
-
-def coverage_ratio(whole: Column, chunks: Column) -> Column:
-    """Similarity of a text and its chunks (an array) joined by spaces, by longest matching blocks."""
-
-    @F.pandas_udf("double")
-    def ratio(texts: pd.Series, parts: pd.Series) -> pd.Series:
-        return pd.Series([SequenceMatcher(None, t or "", " ".join(p if p is not None else [])).ratio() for t, p in zip(texts, parts, strict=True)])
-
-    return ratio(whole, chunks)
-
-
-def best_window(tokens: list[str], wanted: list[str]) -> tuple[int, float]:
-    """Where the run of as many tokens that is most like ``wanted`` begins, and how like it is. Coarse, then fine steps."""
-    n = len(wanted)
-    if not n or not tokens:
-        return -1, 0.0
-    step = 1 if n < 10 else 5 if n < 50 else 10
-    like = lambda i: SequenceMatcher(None, tokens[i : i + n], wanted).ratio()
-    last = max(0, len(tokens) - n)
-    coarse = max(range(0, last + 1, step), key=lambda i: (like(i), -i))
-    best = max(range(max(0, coarse - step), min(last, coarse + step) + 1), key=lambda i: (like(i), -i))
-    return best, like(best)
-
-
-def fuzzy_locate(whole: Column, part: Column, threshold: float = 0.9) -> Column:
-    """Where ``part`` lies in ``whole``: (start, end, similarity, matched) in characters; -1 if nothing is like it."""
-
-    @F.pandas_udf("start long, end long, similarity double, matched boolean")
-    def locate(texts: pd.Series, parts: pd.Series) -> pd.DataFrame:
-        import re
-
-        rows = []
-        for text, wanted in zip(texts, parts, strict=True):
-            spans = [(m.start(), m.end(), m[0].lower()) for m in re.finditer(r"\w+|[^\w\s]", text or "")]
-            words = [w.lower() for w in re.findall(r"\w+|[^\w\s]", wanted or "")]
-            i, like = best_window([w for _, _, w in spans], words)
-            start, end = (spans[i][0], spans[min(i + len(words), len(spans)) - 1][1]) if i >= 0 else (-1, -1)
-            rows.append((start, end, round(like, 6), i >= 0 and like >= threshold))
-        return pd.DataFrame(rows, columns=["start", "end", "similarity", "matched"])
-
-    return locate(whole, part)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from korvane.functions import text as texts
 from korvane.functions.models import overlap_score
-from korvane.operators import chunking, corrective, stats, validation
+from korvane.operators import alignment, chunking, corrective, stats, validation
 from korvane.plans.base import CHUNKS, chunks, embedded_chunks, query, table
 from korvane.plans.retrieval import TEXT
 
@@ -284,19 +284,32 @@ def split_recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(chunking.split_recursive(F.col("text"), 600, 120)).alias("piece_no", "text"))
 
 
-@query()
+def _runs(spark: SparkSession, sf_dir: str, starts: str = "sequence(0, greatest(size(w) - 1, 0), 60)") -> DataFrame:
+    """(doc_id, chunk_no, text): each document without every tenth word, cut after every 60 words; all runs, or those of some starts."""
+    kept = F.filter(F.split(F.coalesce("text", F.lit("")), " "), lambda _, i: i % 10 != 9)
+    rows = table(spark, sf_dir, "documents").select("doc_id", kept.alias("w"))
+    return rows.select("doc_id", "w", F.explode(F.expr(f"transform({starts}, a -> int(a))")).alias("a")).select("doc_id", F.floor(F.col("a") / 60).alias("chunk_no"), F.array_join(F.slice("w", F.col("a") + 1, 60), " ").alias("text"))
+
+
+@query(r"""WITH t AS (
+  SELECT doc_id, lower(coalesce(text, '')) AS whole, lower(list_aggregate(list_filter(string_split(coalesce(text, ''), ' '), lambda x, i: i % 10 <> 0), 'string_agg', ' ')) AS given FROM documents
+), c AS (
+  SELECT doc_id, w, 1 AS own, 0 AS given FROM (SELECT doc_id, unnest(regexp_extract_all(whole, '[\p{L}\p{N}_]+')) AS w FROM t)
+  UNION ALL SELECT doc_id, w, 0, 1 FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(given, ''), '[\p{L}\p{N}_]+')) AS w FROM t)
+), s AS (SELECT doc_id, w, sum(own) AS own, sum(given) AS given FROM c GROUP BY doc_id, w),
+d AS (SELECT doc_id, sum(least(own, given)) AS shared, sum(own) AS own, sum(given) AS given FROM s GROUP BY doc_id)
+SELECT doc_id, round(coalesce(2.0::DOUBLE * shared / (own + given), 1.0), 6) AS ratio, CAST(coalesce(own - shared, 0) AS BIGINT) AS n_missing, CAST(coalesce(given - shared, 0) AS BIGINT) AS n_added
+FROM documents LEFT JOIN d USING (doc_id)""")
 def coverage_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How much of each item its pieces give back."""
-    parts = chunking.split_recursive(F.col("text"), 200)
-    return table(spark, sf_dir, "benchmark").select("item_id", F.round(chunking.coverage_ratio(F.col("text"), parts), 6).alias("ratio"))
+    """How much of each document is given back by runs of its words that lack some."""
+    return alignment.coverage_ratio(table(spark, sf_dir, "documents"), _runs(spark, sf_dir))
 
 
 @query()
 def fuzzy_locate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where the last words of each item lie in it."""
-    part = F.array_join(F.slice(F.reverse(F.split("text", " ")), 1, 8), " ")
-    rows = table(spark, sf_dir, "benchmark").withColumn("part", F.array_join(F.reverse(F.split(part, " ")), " "))
-    return rows.select("item_id", chunking.fuzzy_locate(F.col("text"), F.col("part")).alias("at")).select("item_id", "at.*")
+    """Where the middle run of each document lies in it."""
+    middle = _runs(spark, sf_dir, "array((greatest(size(w) - 1, 0) div 60) div 2 * 60)")
+    return alignment.locate(table(spark, sf_dir, "documents"), middle)
 
 
 @query()

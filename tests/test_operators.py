@@ -8,7 +8,6 @@ import math
 import re
 from collections import Counter
 from datetime import datetime, timedelta
-from difflib import SequenceMatcher
 
 import pytest
 from hypothesis import given, settings
@@ -332,14 +331,6 @@ def test_chunk_metadata(spark):
     assert one(spark, chunking.prefix_problem, None) == "length" and one(spark, chunking.prefix_problem, "That chunk is from the end") == "start"
 
 
-def test_coverage_ratio_and_location(spark):
-    rows = spark.createDataFrame([("the quick brown fox jumps", ["the quick", "fox jumps"], "Quick brown"), (None, None, None), ("", [], "x")], "t string, p array<string>, q string")
-    got = rows.select(chunking.coverage_ratio(F.col("t"), F.col("p")).alias("r"), chunking.fuzzy_locate(F.col("t"), F.col("q")).alias("at")).collect()
-    assert got[0].r == SequenceMatcher(None, "the quick brown fox jumps", "the quick fox jumps").ratio()
-    assert tuple(got[0]["at"]) == (4, 15, 1.0, True)
-    assert got[1].r == 1.0 and got[1]["at"].start == -1 and not got[2]["at"].matched
-
-
 # --- transcripts and coverage -----------------------------------------------------------------------------------------
 
 
