@@ -304,17 +304,35 @@ def store_texts(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pairs = [(n, store_bytes(payload)) for n, payload in map(padded, batch.column(1).to_pylist())]
+            texts, known = batch.column(1).to_pylist(), {}
+            for text in texts:  # equal texts of a batch are encoded once
+                if text not in known:
+                    n, payload = padded(text)
+                    known[text] = n, store_bytes(payload)
+            pairs = [known[text] for text in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for n, _ in pairs], pa.int64()), pa.array([m for _, m in pairs], pa.binary())], schema=schema)
 
     rows = small_batches(docs).select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
+def _read_back(data: bytes) -> tuple:
+    """Length, SHA-256 and tail of the payload of a GIF, and its feature; all None if it is damaged."""
+    try:
+        width, height, found = read_gif(data)
+        payload = samples(found)
+        levels = sum((histogram(c) for c in drawn(width, height, found)), np.zeros(BINS, np.int64))
+    except Damaged:
+        return (None,) * 4
+    feature = f"{len(found)};{sum(f.delay for f in found) * 10};{','.join(map(str, levels.tolist()))}"
+    return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), feature
+
+
 def media_digests(media: DataFrame) -> DataFrame:
     """From the stored GIFs of ``store_texts`` alone: digests of what is read back, and the frames' features.
 
-    ``feature`` lists frames, duration in ms, and the summed grey histogram of all frames as they are shown.
+    ``feature`` lists frames, duration in ms, and the summed grey histogram of all frames as they are shown. Null media
+    have no values; of damaged media there are the digests of what is stored, and nothing of what can't be read back.
     """
     fields = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()),
               ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())]
@@ -322,13 +340,12 @@ def media_digests(media: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for data in batch.column(2).to_pylist():
-                width, height, found = read_gif(data)
-                payload = samples(found)
-                levels = sum((histogram(c) for c in drawn(width, height, found)), np.zeros(BINS, np.int64))
-                feature = f"{len(found)};{sum(f.delay for f in found) * 10};{','.join(map(str, levels.tolist()))}"
-                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(data), hashlib.sha256(data).hexdigest(), feature))
+            stored, known = batch.column(2).to_pylist(), {None: (None,) * 6}
+            for data in stored:
+                if data not in known:
+                    *payload, feature = _read_back(data)
+                    known[data] = (*payload, len(data), hashlib.sha256(data).hexdigest(), feature)
+            rows = [known[data] for data in stored]
             made = list(zip(*rows, strict=True)) or [()] * 6
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c, f.type) for c, f in zip(made, list(schema)[2:], strict=True)]], schema=schema)
 

@@ -2,10 +2,11 @@
 
 A document of n ids becomes as many whole sequences as fit, and one piece for each set bit of the rest, so that no
 sequence holds two documents and none is padded. Pieces of one length form a bucket; sequences are numbered through
-the buckets, from the longest, in the order of doc_id.
+the buckets, from the longest, and within a bucket through parts of the corpus by a hash of doc_id, in each of them in the
+order of doc_id.
 
-Nulls and ties: a null text is the empty one and gives the end id alone. A null doc_id comes first. Rows that repeat
-are packed each. An empty table gives none; other columns aren't read.
+Nulls and ties: a null text is the empty one and gives the end id alone. A null doc_id is a value like others, the first of
+its part. Rows that repeat are packed each. An empty table gives none; other columns aren't read.
 """
 
 from __future__ import annotations

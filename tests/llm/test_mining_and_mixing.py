@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from korvane.llm import hard_negatives, queries, source_audit, source_mix
+from korvane.llm import gif_columns, hard_negatives, queries, source_audit, source_mix
 
 # --- 11: hard negatives -----------------------------------------------------------------------------------------------
 
@@ -255,3 +255,69 @@ def test_word_count(spark):
 def test_mix_query(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
     check_mix([(r.doc_id, r.text, r.source) for r in docs], queries.op13_source_mix(spark, sf).collect())
+
+
+# --- 3: null and damaged media ----------------------------------------------------------------------------------------
+
+
+def lzw_reader(data: bytes) -> tuple[list[bytes], int]:
+    """Pixels of the frames of a GIF by another reader: whole strings in the table, codes from one large number."""
+    at = 13 + (3 << (data[10] & 7) + 1 if data[10] & 128 else 0)
+    out, total, size = [], 0, None
+    while data[at] != 0x3B:
+        if data[at] == 0x21:
+            if data[at + 1] == 0xF9:
+                total += int.from_bytes(data[at + 4 : at + 6], "little")
+            at += 2
+        else:
+            w, h, flags = (*(int.from_bytes(data[at + k : at + k + 2], "little") for k in (5, 7)), data[at + 9])
+            at += 10 + (3 << (flags & 7) + 1 if flags & 128 else 0)
+            size, at = data[at], at + 1
+        blocks = b""
+        while data[at]:
+            blocks += data[at + 1 : at + 1 + data[at]]
+            at += 1 + data[at]
+        at += 1
+        if size is not None:
+            stream, bits = int.from_bytes(blocks, "little"), 0
+            clear, width, table, last, pixels = 1 << size, size + 1, [], None, b""
+            while True:
+                code = stream >> bits & (1 << width) - 1
+                bits += width
+                if code == clear:
+                    table, width, last = [bytes([i]) for i in range(clear)] + [b"", b""], size + 1, None
+                    continue
+                if code == clear + 1:
+                    break
+                entry = table[code] if code < len(table) else last + last[:1]
+                if last is not None and len(table) < 4096:
+                    table.append(last + entry[:1])
+                if len(table) == 1 << width and width < 12:
+                    width += 1
+                pixels, last = pixels + entry, entry
+            assert len(pixels) == w * h
+            out.append(pixels)
+            size = None
+    return out, total
+
+
+@pytest.mark.parametrize("n", [0, 1, 575, 576, 577, 5000, 9216, 9217, 40_000])
+def test_another_reader_reads_what_is_stored(n):
+    rng = random.Random(n)
+    text = "".join(rng.choice("abc é\n") for _ in range(n)).encode()[:n].decode(errors="ignore")
+    size, payload = gif_columns.padded(text)
+    pixels, _ = lzw_reader(gif_columns.store_bytes(payload))
+    assert size == len(text.encode()) and b"".join(pixels)[: len(payload)] == payload
+
+
+def test_null_and_damaged_media(spark, docs, none):
+    good = gif_columns.store_bytes(gif_columns.padded("text")[1])
+    rows = [(1, 4, good), (2, 0, None), (3, 0, b""), (4, 0, b"GIF89a"), (5, 4, good[: len(good) // 2]), (1, 4, good)]
+    got = sorted(gif_columns.media_digests(spark.createDataFrame(rows, "doc_id long, n_bytes long, media binary")).collect(), key=lambda r: r.doc_id)
+    assert got[0] == got[1] and got[0].payload_bytes == 576 and got[0].media_bytes == len(good)
+    assert [x for r in got[2:3] for x in r[2:]] == [None] * 6
+    for r in got[3:]:
+        assert r.payload_bytes is r.payload_sha256 is r.tail_crc32 is r.feature is None and r.media_sha256
+    stored = gif_columns.store_texts(docs)
+    assert {r.doc_id: r.n_bytes for r in stored.collect()}[14] == 50_000 and stored.count() == docs.count()
+    assert gif_columns.media_digests(gif_columns.store_texts(none)).count() == 0
