@@ -68,7 +68,7 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir).select("doc_id", "text")
-    judged = quality_rules.cascade(docs, with_metrics=True)
+    judged = quality_rules.cascade(docs, keep_metrics=True)
     named = {c: F.col(c) for c in quality_rules.METRICS}
     base = [quality_rules.rejects(r, named) for r in quality_rules.RULES if r.name in quality_rules.BASE]
     failed = F.coalesce(base[0] | base[1], F.lit(False))

@@ -41,14 +41,16 @@ WITH d AS (
   SELECT d.doc_id, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars,
          length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS n_symbols,
          len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
-         coalesce(c.n, 0) AS n_repeat_words
+         coalesce(c.n, 0) AS n_repeat_words, len(list_filter(words, lambda x: regexp_matches(x, '\p{{L}}'))) AS n_letter_words,
+         len(list_distinct(words)) AS n_different, len(list_filter(lines, lambda x: regexp_matches(rtrim(x, {_WS}), '(\.\.\.|…)$'))) AS n_cut_lines
   FROM d LEFT JOIN c USING (doc_id)
 )
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
        n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words,
        n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
        NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR 10 * n_symbols > 3 * n_words
-            OR word_chars < 2 * n_words OR word_chars > 16 * n_words OR 100 * n_dup_lines > 30 * n_lines) AS kept
+            OR word_chars < 2 * n_words OR word_chars > 16 * n_words OR 100 * n_dup_lines > 30 * n_lines
+            OR 100 * n_letter_words < 60 * n_words OR (n_words >= 30 AND n_different < 10) OR 100 * n_cut_lines > 30 * n_lines) AS kept
 FROM m
 """
 

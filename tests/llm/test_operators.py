@@ -781,7 +781,42 @@ def test_no_python_in_quality_rules(spark, sf):
     assert plan.count("Generate inline") == 1  # the arrays are made once
 
 
-def test_rules_are_ordered_by_rejections_per_second_of_what_is_left():
+def test_own_rules():
+    def fails(name, *values):
+        rule = next(r for r in quality_rules.RULES if r.name == name)
+        return [rule.fails(*v) for v in values]
+
+    assert fails("few_letters", (10, 6), (10, 5)) == [False, True]
+    assert fails("few_different", (30, 10), (30, 9), (29, 1)) == [False, True, False]
+    assert fails("cut_lines", (10, 3), (10, 4)) == [False, True]
+
+
+def test_metrics_of_own_rules(spark):
+    texts = ["a 1 -- é\nb ... \nline …\nend.\n...", None, "", "x x x"]
+    df, named = quality_rules.with_arrays(spark.createDataFrame([(t,) for t in texts], "text string"))
+    rows = df.select(*[named[n].alias(n) for n in ("n_letter_words", "n_different", "n_cut_lines")]).collect()
+    assert [tuple(r) for r in rows] == [(5, 9, 3), (0, 0, 0), (0, 0, 0), (3, 1, 0)]
+
+
+def test_the_order_is_the_same_however_the_table_lies(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    orders = [[r.name for r in quality_rules.plan_cascade(d, sample_rows=100)] for d in (docs, docs.repartition(7), docs.orderBy("text"))]
+    assert orders[0] == orders[1] == orders[2]
+    free = [r.name for r in quality_rules.plan_cascade(docs, sample_rows=100, free=quality_rules.METRICS)]
+    assert free.index("repeated_words") <= orders[0].index("repeated_words")
+
+
+def test_later_rules_are_not_evaluated(spark, monkeypatch):
+    """A rule that would raise an error does no harm behind one that rejects everything."""
+    broken = quality_rules.Rule("broken", ("n_different",), lambda d: F.raise_error(F.lit("evaluated")).cast("boolean"))
+    first = next(r for r in quality_rules.RULES if r.name == "few_words")
+    docs = spark.createDataFrame([(i, "few") for i in range(5)], "doc_id long, text string")
+    monkeypatch.setattr(quality_rules, "plan_cascade", lambda *_, **__: [first, broken])
+    for keep in (True, False):
+        assert {r.rejected_by for r in quality_rules.cascade(docs, keep_metrics=keep).collect()} == {"few_words"}
+
+
+def test_rules_are_ordered_by_rejections_for_their_cost_of_what_is_left():
     rules = [quality_rules.Rule(x, (), None) for x in "abcd"]
     names = lambda *args: "".join(r.name for r in quality_rules.cascade_order(rules, *args))
     none = (False,) * 4
@@ -795,7 +830,7 @@ def test_rules_are_ordered_by_rejections_per_second_of_what_is_left():
 def test_a_plan_on_a_sample_puts_what_never_rejects_last(spark):
     docs = spark.createDataFrame([(i, "#$% " * 30) for i in range(300)], "doc_id long, text string")
     order = [r.name for r in quality_rules.plan_cascade(docs)]
-    assert set(order) == {r.name for r in quality_rules.RULES} and order[0] in ("repeated_words", "symbols")
+    assert set(order) == {r.name for r in quality_rules.RULES} and order[0] in ("symbols", "few_letters")
 
 
 def test_parts_grow_with_the_pieces(spark, sf, monkeypatch):

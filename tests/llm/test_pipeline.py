@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import corpus_pipeline
@@ -42,6 +43,15 @@ def test_quality(stages):
     m = {r.doc_id: r for r in quality_rules.metrics(before).collect()}
     ok = {i for i, r in m.items() if not (r.n_words < 10 or r.n_repeat_words * 100 > r.n_words * 20 or r.n_symbols * 10 > r.n_words * 3
           or r.word_chars < r.n_words * 2 or r.word_chars > r.n_words * 16 or r.n_dup_lines * 100 > r.n_lines * 30)}
+    space = " \t\n\x0b\x0c\r"
+
+    def own(text):
+        words = [w for w in re.split(f"[{space}]+", text or "") if w]
+        lines = [x.rstrip(space) for x in (text or "").split("\n") if x.strip(space)]
+        few = 100 * sum(any(c.isalpha() for c in w) for w in words) < 60 * len(words)
+        return few or (len(words) >= 30 and len(set(words)) < 10) or 100 * sum(x.endswith(("...", "…")) for x in lines) > 30 * len(lines)
+
+    ok -= {i for i, t in texts(before).items() if own(t)}
     assert set(texts(after)) == ok
 
 
