@@ -102,10 +102,16 @@ def multi_queries(response: Column, original: Column) -> Column:
     return F.concat(F.array(original), F.slice(lines, 1, 3))
 
 
-def documents_markdown(items: Column) -> Column:
-    """Retrieved chunks, an array of (source, text), as numbered sections."""
+#: The heading of retrieved chunks, the source of one without, and what stands before and for its text.
+MARKDOWN = ("# Retrieved Information", "Unknown Source", "### Content:\n", "No content.")
+PLAIN_MARKDOWN = ("# Retrieved Parenting Knowledge", "Unknown", "", "")
+
+
+def documents_markdown(items: Column, words: tuple[str, str, str, str] = MARKDOWN) -> Column:
+    """Retrieved chunks, an array of (source, text), as numbered sections; with PLAIN_MARKDOWN without a heading for the text."""
+    title, unknown, heading, empty = words
     parts = F.transform(
-        items, lambda d, i: F.concat(F.lit("## Source "), i + 1, F.lit(": "), F.coalesce(F.nullif(d["source"], F.lit("")), F.lit("Unknown Source")), F.lit("\n\n### Content:\n"), F.coalesce(d["text"], F.lit("No content.")), F.lit("\n\n---\n\n"))
+        items, lambda d, i: F.concat(F.lit("## Source "), i + 1, F.lit(": "), F.coalesce(F.nullif(d["source"], F.lit("")), F.lit(unknown)), F.lit(f"\n\n{heading}"), F.coalesce(d["text"], F.lit(empty)), F.lit("\n\n---\n\n"))
     )
     none = F.lit("No relevant information found in the knowledge base.")
-    return F.when(F.size(items) > 0, F.concat(F.lit("# Retrieved Information\n\n"), F.array_join(parts, ""))).otherwise(none)
+    return F.when(F.size(items) > 0, F.concat(F.lit(f"{title}\n\n"), F.array_join(parts, ""))).otherwise(none)

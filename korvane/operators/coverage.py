@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from korvane.session import unused
+
 SIGNIFICANT = 5
 
 
@@ -15,9 +17,10 @@ def gaps(intervals: DataFrame, lengths: DataFrame, key: str) -> DataFrame:
     """
     order = Window.partitionBy(key).orderBy("start", "end")
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    known = intervals.withColumn("_reach", F.coalesce(reach, F.lit(0))).where(F.col("start") > F.col("_reach")).select(key, F.col("_reach").alias("start"), F.col("start").alias("end"))
-    ends = intervals.groupBy(key).agg(F.max("end").alias("_last"))
-    tails = lengths.join(ends, key, "left").select(key, F.coalesce("_last", F.lit(0)).cast("long").alias("start"), F.col("length").cast("long").alias("end")).where("start < end")
+    so_far, last = unused(intervals, "_reach"), unused(lengths, "_last")
+    known = intervals.withColumn(so_far, F.coalesce(reach, F.lit(0))).where(F.col("start") > F.col(so_far)).select(key, F.col(so_far).alias("start"), F.col("start").alias("end"))
+    ends = intervals.groupBy(key).agg(F.max("end").alias(last))
+    tails = lengths.join(ends, key, "left").select(key, F.coalesce(last, F.lit(0)).cast("long").alias("start"), F.col("length").cast("long").alias("end")).where("start < end")
     return known.select(key, F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end")).unionByName(tails)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from korvane.session import fixed
+from korvane.session import fixed, unused
 
 CUE = r"(?m)^([0-9:.]+)\s+-->\s+([0-9:.]+)"
 
@@ -45,17 +45,23 @@ def video_title(name: Column) -> Column:
     return F.coalesce(F.nullif(F.btrim(title), F.lit("")), name)
 
 
+def video_number(name: Column) -> Column:
+    """The number in ``video_<number>_<title>``, null without one."""
+    return F.nullif(F.regexp_extract(name, r"video_(\d+)_(.+)", 1), F.lit("")).cast("long")
+
+
 def merge_speakers(captions: DataFrame, key: str, order: str) -> DataFrame:
     """Neighbours of one speaker become one turn: (key, turn, first, last, speaker, text).
 
     An unknown speaker goes on with the turn before; if the first one is unknown, all is one turn.
     """
     window = Window.partitionBy(key).orderBy(order)
-    rows = captions.withColumn("_first", F.first("speaker").over(window)).withColumn("_filled", F.last("speaker", ignorenulls=True).over(window))
-    change = F.col("_first").isNotNull() & (F.col("_filled") != F.lag("_filled").over(window))
-    rows = rows.withColumn("turn", F.sum(F.when(change, 1).otherwise(0)).over(window))
+    first, filled, turn = unused(captions, "_first"), unused(captions, "_filled"), unused(captions, "_turn")
+    rows = captions.withColumn(first, F.first("speaker").over(window)).withColumn(filled, F.last("speaker", ignorenulls=True).over(window))
+    change = F.col(first).isNotNull() & (F.col(filled) != F.lag(filled).over(window))
+    rows = rows.withColumn(turn, F.sum(F.when(change, 1).otherwise(0)).over(window))
     texts = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.coalesce("text", F.lit("")).alias("t"))))
-    return rows.groupBy(key, "turn").agg(
+    return rows.groupBy(key, F.col(turn).alias("turn")).agg(
         F.min(order).alias("first"), F.max(order).alias("last"), F.min_by("speaker", order).alias("speaker"), F.array_join(F.transform(texts, lambda x: x["t"]), " ").alias("text")
     )
 
@@ -105,8 +111,9 @@ def time_strings(found: DataFrame, captions: DataFrame, key: str, order: str, st
 
 def renumber(rows: DataFrame, order: list[str], parts: int = 256) -> DataFrame:
     """``global_id`` from 0 in the order of all rows, without one task for all: ranges are counted, then numbered apart."""
-    ranged = rows.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id())
-    ranged = fixed(ranged.sortWithinPartitions(*order).withColumn("_i", F.monotonically_increasing_id() - F.col("_part").cast("long") * (1 << 33)))
-    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))  # at most ``parts`` rows
-    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
-    return ranged.join(F.broadcast(before), "_part").withColumn("global_id", F.col("_before") + F.col("_i")).drop("_part", "_i", "_before")
+    part, i, n, sum_before = (unused(rows, c) for c in ("_part", "_i", "_n", "_before"))
+    ranged = rows.repartitionByRange(parts, *order).withColumn(part, F.spark_partition_id())
+    ranged = fixed(ranged.sortWithinPartitions(*order).withColumn(i, F.monotonically_increasing_id() - F.col(part).cast("long") * (1 << 33)))
+    sizes = ranged.groupBy(part).agg(F.count("*").alias(n))  # at most ``parts`` rows
+    before = sizes.select(part, (F.sum(n).over(Window.orderBy(part)) - F.col(n)).alias(sum_before))
+    return ranged.join(F.broadcast(before), part).withColumn("global_id", F.col(sum_before) + F.col(i)).drop(part, i, sum_before)

@@ -66,7 +66,7 @@ def sse_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns as server-sent events, every fourth a comment, cut into chunks in the middle of each."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"))
     frame = F.when(F.col("turn") % 4 == 3, F.lit(": keep-alive\n\n")).otherwise(texts.sse_encode(F.struct("turn", "role")))
-    halves = F.array(F.substring(frame, 1, 9), F.substring(frame, 10, 1 << 20))
+    halves = F.array(F.substring(frame, 1, 9), F.substring(frame, F.lit(10), F.length(frame)))
     chunks = rows.select("conv_id", F.posexplode(halves).alias("half", "chunk"), "turn").withColumn("at", 2 * F.col("turn") + F.col("half"))
     found = history.decode_chunks(chunks, "conv_id", "at", "chunk")
     return found.select("conv_id", F.col("seq").cast("long").alias("seq"), F.from_json("event", "turn long, role string").alias("e")).select("conv_id", "seq", "e.*")

@@ -9,7 +9,7 @@ from korvane.functions import text as texts
 from korvane.functions.models import overlap_score
 from korvane.operators import alignment, chunking, corrective, stats, validation
 from korvane.plans.base import CHUNKS, chunks, embedded_chunks, query, table
-from korvane.plans.retrieval import TEXT
+from korvane.plans.retrieval import COSINE, TEXT, VECTORS, embedded
 
 
 def _plain(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,9 +127,10 @@ def derive_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.derive_metadata(_sections(spark, sf_dir)).select("document_id", "idx", "chapter_title", F.array_join("subsection_title", ",").alias("children"))
 
 
-@query(f"WITH {CHUNKS} SELECT chunk_id, sha256(coalesce(source_document, '') || ' > ' || chapter_title || chr(10) || chr(10) || chunk_text) AS text_sha256, CAST(length(source_document || ' > ' || chapter_title || chr(10) || chr(10) || chunk_text) // 4 AS BIGINT) AS tokens FROM chunks WHERE chapter_title IS NOT NULL")
+@query(f"""WITH {CHUNKS}, w AS (SELECT chunk_id, coalesce(nullif(concat_ws(' > ', nullif(source_document, ''), nullif(chapter_title, '')), ''), 'Unknown Source') || chr(10) || chr(10) || chunk_text AS t FROM chunks)
+SELECT chunk_id, sha256(t) AS text_sha256, CAST(length(t) // 4 AS BIGINT) AS tokens FROM w""")
 def build_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _plain(spark, sf_dir).where(F.col("chapter_title").isNotNull())
+    rows = _plain(spark, sf_dir)
     whole = chunking.chunk_text(texts.breadcrumb(F.col("source_document"), F.col("chapter_title")), F.col("chunk_text"))
     return rows.select("chunk_id", F.sha2(whole, 256).alias("text_sha256"), texts.token_count(whole).cast("long").alias("tokens"))
 
@@ -220,21 +221,32 @@ def chapter_title(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.chapter_titles(_sections(spark, sf_dir).where("idx % 3 <> 0 OR document_id % 5 = 0"))
 
 
-@query("""SELECT doc_id, source AS chapter_title, lang AS section_title, CASE WHEN doc_id % 3 > 0 THEN 'part ' || doc_id % 3 END AS subsection_title, 'about ' || doc_id AS summary,
-CASE WHEN doc_id % 4 = 0 THEN 'length' WHEN doc_id % 4 = 1 THEN 'start' END AS prefix_problem FROM documents WHERE lang IS NOT NULL""")
+@query("""SELECT doc_id, coalesce(source, '') AS chapter_title, coalesce(lang, '') AS section_title, CASE WHEN doc_id % 3 > 0 THEN 'part ' || doc_id % 3 END AS subsection_title, 'about ' || doc_id AS summary,
+CASE WHEN doc_id % 4 = 0 THEN 'length' WHEN doc_id % 4 = 1 THEN 'start' END AS prefix_problem FROM documents""")
 def parse_chunk_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = F.when(F.col("doc_id") % 3 > 0, F.concat(F.lit("part "), F.col("doc_id") % 3)).otherwise("none")
-    line = F.concat_ws("\t", "source", F.concat(F.lit(" "), "lang"), part, F.concat(F.lit("about "), F.col("doc_id"), F.lit("\n")))
+    blank = F.lit("")
+    line = F.concat_ws("\t", F.coalesce("source", blank), F.concat(F.lit(" "), F.coalesce("lang", blank)), part, F.concat(F.lit("about "), F.col("doc_id"), F.lit("\n")))
     prefix = F.when(F.col("doc_id") % 4 == 0, "This chunk").when(F.col("doc_id") % 4 == 1, "A chunk that is from the start").otherwise("This chunk is from the middle")
-    rows = table(spark, sf_dir, "documents").where("lang IS NOT NULL").select("doc_id", chunking.chunk_metadata(line).alias("m"), chunking.prefix_problem(prefix).alias("prefix_problem"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", chunking.chunk_metadata(line).alias("m"), chunking.prefix_problem(prefix).alias("prefix_problem"))
     return rows.select("doc_id", "m.*", "prefix_problem")
 
 
-@query("""SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN '' WHEN 1 THEN 'uneven LANG' WHEN 2 THEN 'missing LANG' WHEN 3 THEN 'unordered LANG' ELSE 'unexpected NOTE' END AS problems FROM documents""")
+@query(r"""WITH t AS (
+  SELECT doc_id, '[TITLE]' || replace(replace(replace(coalesce(text, ''), '.', '[/TITLE]'), ',', '[LANG]'), chr(10), '[/LANG]') || CASE WHEN contains(text, '@') THEN '[NOTE]' ELSE '' END AS t FROM documents
+), m AS (SELECT doc_id, t, n, regexp_extract_all(t, '\[/?' || n || '\]') AS marks FROM t, (VALUES ('TITLE'), ('LANG')) v(n)),
+e AS (SELECT doc_id, n, i, sum(CASE WHEN mark LIKE '[/%' THEN -1 ELSE 1 END) OVER (PARTITION BY doc_id, n ORDER BY i) AS depth FROM (SELECT doc_id, n, unnest(marks) AS mark, unnest(range(len(marks))) AS i FROM m)),
+d AS (SELECT doc_id, n, min(depth) AS least, arg_max(depth, i) AS last, count(*) AS k FROM e GROUP BY doc_id, n),
+p AS (SELECT m.doc_id, CASE WHEN k IS NULL THEN 'missing ' WHEN last <> 0 THEN 'uneven ' WHEN least < 0 THEN 'unordered ' END || m.n AS problem FROM m LEFT JOIN d USING (doc_id, n)
+  UNION ALL SELECT doc_id, 'unexpected ' || x FROM (SELECT doc_id, unnest(list_distinct(regexp_extract_all(t, '\[(\w+)\]', 1))) AS x FROM t) WHERE x NOT IN ('TITLE', 'LANG'))
+SELECT doc_id, coalesce(string_agg(problem, ', ' ORDER BY problem), '') AS problems FROM p GROUP BY doc_id""")
 def validate_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kinds = ["[TITLE]x[/TITLE][LANG]y[/LANG]", "[TITLE]x[/TITLE][LANG]y", "[TITLE]x[/TITLE]", "[TITLE]x[/TITLE][/LANG]y[LANG]", "[TITLE]x[/TITLE][LANG]y[/LANG][NOTE]z[/NOTE]"]
-    text = F.get(F.array(*map(F.lit, kinds)), (F.col("doc_id") % 5).cast("int"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(chunking.tag_problems(text, ["TITLE", "LANG"]), ", ").alias("problems"))
+    """Texts as answers: a title that each full stop closes, commas open a language and ends of lines close it."""
+    tagged = F.coalesce("text", F.lit(""))
+    for mark, name in ((".", "[/TITLE]"), (",", "[LANG]"), ("\n", "[/LANG]")):
+        tagged = F.replace(tagged, F.lit(mark), F.lit(name))
+    tagged = F.concat(F.lit("[TITLE]"), tagged, F.when(F.contains("text", F.lit("@")), "[NOTE]").otherwise(""))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(chunking.tag_problems(tagged, ["TITLE", "LANG"]), ", ").alias("problems"))
 
 
 @query(f"""WITH {_NUMBERED}, r AS (SELECT name, chapter_title, CASE WHEN chunk_id % 4 > 0 THEN 'part' END AS section_title, CASE WHEN chunk_id % 3 > 0 THEN 'about' END AS about, token_count FROM n), v AS (
@@ -312,7 +324,23 @@ def fuzzy_locate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.locate(table(spark, sf_dir, "documents"), middle)
 
 
-@query()
+def _tries() -> str:
+    """The three tries of a query in SQL, each with half of the words of the one before."""
+    parts, text = [], TEXT
+    for i in range(corrective.REWRITES + 1):
+        words = "[" + ", ".join(f"'{w}'" for w in sorted(set(text.split()))) + "]"
+        grade = rf"round(len(list_intersect({words}, regexp_split_to_array(lower(chunk_text), '\s+'))) / {len(set(text.split()))}.0::DOUBLE, 6)"
+        parts.append(f"""f{i} AS (SELECT {i} AS try, '{text}' AS query, chunk_id, {COSINE.format(a="e", b=embedded(text))} AS similarity_score, {grade} AS grade FROM v ORDER BY similarity_score DESC NULLS LAST, chunk_id LIMIT 10)""")
+        text = corrective.first_words(text, i)
+    return ", ".join(parts)
+
+
+@query(f"""WITH {VECTORS}, {_tries()}, f AS (SELECT * FROM f0 UNION ALL SELECT * FROM f1 UNION ALL SELECT * FROM f2),
+s AS (SELECT try, avg(grade) AS mean, count(*) FILTER (WHERE grade >= {corrective.KEEP}) AS n, avg(grade) FILTER (WHERE grade >= {corrective.KEEP}) AS kept_mean FROM f GROUP BY try),
+c AS (SELECT try, CASE WHEN n > 0 THEN round(0.7 * kept_mean + 0.3 * least(n / 5.0::DOUBLE, 1.0), 6) ELSE 0.0 END AS confidence FROM s
+  WHERE try = coalesce((SELECT min(try) FROM s WHERE mean >= {corrective.GOOD} AND n > 0), {corrective.REWRITES}))
+SELECT chunk_id, similarity_score, grade, grade >= {corrective.KEEP} AS kept, confidence, CASE WHEN confidence >= {corrective.ANSWER} THEN 'answer' ELSE 'insufficient' END AS outcome, query
+FROM f JOIN c USING (try)""".replace("try", "attempt"))
 def corrective_rag(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = corrective.corrective_search(embedded_chunks(spark, sf_dir), TEXT, 10, overlap_score)
     return found.select("chunk_id", "similarity_score", "grade", "kept", "confidence", "outcome", "query")

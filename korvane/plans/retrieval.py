@@ -15,16 +15,16 @@ VARIATIONS = ("the le die", "blees and threein", "worthless", "heure und nicht")
 ALPHA = 0.5
 
 
-def _embedded(text: str) -> str:
+def embedded(text: str) -> str:
     """The letter counts of a query as an SQL literal."""
     return "[" + ", ".join(f"{text.lower().count(c)}.0" for c in LETTERS) + "]::DOUBLE[]"
 
 
 _LETTERS = ", ".join(f"(length(lower(chunk_text)) - length(replace(lower(chunk_text), '{c}', '')))::DOUBLE" for c in LETTERS)
-_VECTORS = f"{CHUNKS}, v AS (SELECT *, [{_LETTERS}] AS e FROM chunks)"
+VECTORS = f"{CHUNKS}, v AS (SELECT *, [{_LETTERS}] AS e FROM chunks)"
 _LIST = "[" + ", ".join(f"'{w}'" for w in sorted(set(TEXT.split()))) + "]"
 _OVERLAP = rf"round(len(list_intersect({_LIST}, regexp_split_to_array(lower(chunk_text), '\s+'))) / {len(set(TEXT.split()))}.0::DOUBLE, 6)"
-_COSINE = "CASE WHEN list_sum(list_transform({a}, lambda x: x * x)) > 0 THEN round(list_cosine_similarity({a}, {b}), 6) END"
+COSINE = "CASE WHEN list_sum(list_transform({a}, lambda x: x * x)) > 0 THEN round(list_cosine_similarity({a}, {b}), 6) END"
 _Q = "q AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0)"
 
 
@@ -32,14 +32,14 @@ def _first_vector(rows: DataFrame) -> list[float]:
     return list(rows.where("vec_id = 0").first()["embedding"])
 
 
-@query(f"""WITH {_Q} SELECT vec_id, label, {_COSINE.format(a="embedding::DOUBLE[]", b="q")} AS similarity_score FROM embeddings, q
+@query(f"""WITH {_Q} SELECT vec_id, label, {COSINE.format(a="embedding::DOUBLE[]", b="q")} AS similarity_score FROM embeddings, q
 ORDER BY similarity_score DESC NULLS LAST, vec_id LIMIT {K}""")
 def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     return vector.top_k(rows, _first_vector(rows), K, "vec_id")
 
 
-@query(f"""WITH {_Q} SELECT vec_id, label, {_COSINE.format(a="embedding::DOUBLE[]", b="q")} AS similarity_score FROM embeddings, q
+@query(f"""WITH {_Q} SELECT vec_id, label, {COSINE.format(a="embedding::DOUBLE[]", b="q")} AS similarity_score FROM embeddings, q
 WHERE label = 3 ORDER BY similarity_score DESC NULLS LAST, vec_id LIMIT {K}""")
 def vector_topk_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of two filters the unknown one is dropped."""
@@ -63,7 +63,7 @@ def vector_topk_ip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {_Q}, h AS (
-  SELECT vec_id, label, {_COSINE.format(a="embedding::DOUBLE[]", b="q")} AS similarity_score,
+  SELECT vec_id, label, {COSINE.format(a="embedding::DOUBLE[]", b="q")} AS similarity_score,
          CAST(len(list_filter(list_zip(embedding::DOUBLE[], q), lambda p: (p[1] > 0) <> (p[2] > 0))) AS BIGINT) AS hamming
   FROM embeddings, q
 ), near AS (SELECT * FROM h ORDER BY hamming, vec_id LIMIT 100)
@@ -76,7 +76,7 @@ def hamming_topk_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector.top_k(near, first, K, "id", "vector").select(F.col("id").alias("vec_id"), "label", "hamming", "similarity_score")
 
 
-@query(f"""WITH {_Q} SELECT vec_id, label, {_COSINE.format(a="embedding::DOUBLE[]", b="q")} AS similarity_score FROM embeddings, q
+@query(f"""WITH {_Q} SELECT vec_id, label, {COSINE.format(a="embedding::DOUBLE[]", b="q")} AS similarity_score FROM embeddings, q
 ORDER BY similarity_score DESC NULLS LAST, vec_id LIMIT {K}""")
 def half_topk_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates by the stored 16-bit floats, ordered again by exact cosine."""
@@ -103,7 +103,7 @@ def vector_topk_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH s AS (
-  SELECT a.vec_id AS query_id, b.vec_id, {_COSINE.format(a="b.embedding::DOUBLE[]", b="a.embedding::DOUBLE[]")} AS similarity_score
+  SELECT a.vec_id AS query_id, b.vec_id, {COSINE.format(a="b.embedding::DOUBLE[]", b="a.embedding::DOUBLE[]")} AS similarity_score
   FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0
 ) SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity_score DESC NULLS LAST, vec_id) AS rank FROM s
 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity_score DESC NULLS LAST, vec_id) <= {K}""")
@@ -112,7 +112,7 @@ def vector_topk_all_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _each(spark, sf_dir, None)
 
 
-@query(f"WITH {_Q} SELECT vec_id, {_COSINE.format(a='embedding::DOUBLE[]', b='q')} AS similarity FROM embeddings, q")
+@query(f"WITH {_Q} SELECT vec_id, {COSINE.format(a='embedding::DOUBLE[]', b='q')} AS similarity FROM embeddings, q")
 def cosine_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     q = F.lit([float(x) for x in _first_vector(rows)]).cast("array<double>")
@@ -130,7 +130,7 @@ _SHOWN = "chunk_id, source_document, chapter_title, token_count, similarity_scor
 _SHOWN_COLUMNS = _SHOWN.split(", ")
 
 
-@query(f"""WITH {_VECTORS} SELECT chunk_id, source_document, chapter_title, token_count, {_COSINE.format(a="e", b=_embedded(TEXT))} AS similarity_score
+@query(f"""WITH {VECTORS} SELECT chunk_id, source_document, chapter_title, token_count, {COSINE.format(a="e", b=embedded(TEXT))} AS similarity_score
 FROM v WHERE source_document = 'src1' OR chapter_title = 'en' ORDER BY similarity_score DESC NULLS LAST, chunk_id LIMIT {K}""")
 def search_simple(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Filters are joined by OR."""
@@ -138,19 +138,19 @@ def search_simple(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(*_SHOWN_COLUMNS)
 
 
-@query(f"""WITH {_VECTORS}, near AS (
-  SELECT *, {_COSINE.format(a="e", b=_embedded(TEXT))} AS similarity_score FROM v ORDER BY similarity_score DESC NULLS LAST, chunk_id LIMIT {4 * K}
+@query(f"""WITH {VECTORS}, near AS (
+  SELECT *, {COSINE.format(a="e", b=embedded(TEXT))} AS similarity_score FROM v ORDER BY similarity_score DESC NULLS LAST, chunk_id LIMIT {4 * K}
 )
 SELECT {_SHOWN}, {_OVERLAP} AS rerank_score FROM near ORDER BY rerank_score DESC, similarity_score DESC NULLS LAST, chunk_id LIMIT {K}""")
 def search_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search("rerank", embedded_chunks(spark, sf_dir), TEXT, K).select(*_SHOWN_COLUMNS, "rerank_score")
 
 
-_EACH = " UNION ALL ".join(f"SELECT {i} AS variation, {_embedded(t)} AS q" for i, t in enumerate(VARIATIONS))
+_EACH = " UNION ALL ".join(f"SELECT {i} AS variation, {embedded(t)} AS q" for i, t in enumerate(VARIATIONS))
 
 
-@query(f"""WITH {_VECTORS}, qs AS ({_EACH}), scored AS (
-  SELECT v.*, variation, {_COSINE.format(a="e", b="q")} AS similarity_score FROM v, qs
+@query(f"""WITH {VECTORS}, qs AS ({_EACH}), scored AS (
+  SELECT v.*, variation, {COSINE.format(a="e", b="q")} AS similarity_score FROM v, qs
 ), ranked AS (
   SELECT *, row_number() OVER (PARTITION BY variation ORDER BY similarity_score DESC NULLS LAST, chunk_id) - 1 AS rank FROM scored
 ), once AS (
@@ -161,8 +161,8 @@ def search_advanced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search("advanced", embedded_chunks(spark, sf_dir), TEXT, K, VARIATIONS).select(*_SHOWN_COLUMNS, "rerank_score")
 
 
-@query(f"""WITH {_VECTORS}, qs AS ({_EACH}), scored AS (
-  SELECT chunk_id, variation, {_COSINE.format(a="e", b="q")} AS similarity_score FROM v, qs
+@query(f"""WITH {VECTORS}, qs AS ({_EACH}), scored AS (
+  SELECT chunk_id, variation, {COSINE.format(a="e", b="q")} AS similarity_score FROM v, qs
 ), ranked AS (
   SELECT *, CAST(row_number() OVER (PARTITION BY variation ORDER BY similarity_score DESC NULLS LAST, chunk_id) - 1 AS BIGINT) AS rank FROM scored
 )
@@ -186,8 +186,8 @@ def rerank_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.rerank_indexed(requests, TEXT).select(F.col("request").cast("long").alias("request"), F.col("index").cast("long").alias("index"), "score")
 
 
-@query(f"""WITH {_VECTORS}, near AS (
-  SELECT *, {_COSINE.format(a="e", b=_embedded(TEXT))} AS similarity_score FROM v ORDER BY similarity_score DESC NULLS LAST, chunk_id LIMIT {K}
+@query(f"""WITH {VECTORS}, near AS (
+  SELECT *, {COSINE.format(a="e", b=embedded(TEXT))} AS similarity_score FROM v ORDER BY similarity_score DESC NULLS LAST, chunk_id LIMIT {K}
 ) SELECT {_SHOWN}, NULL::DOUBLE AS rerank_score FROM near""")
 def rerank_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Without a scorer the order of the candidates stays."""
@@ -249,8 +249,8 @@ def hybrid_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.hybrid_stats(_index(spark, sf_dir), ALPHA)
 
 
-_FUSED = f"""{_BM25}, {_VECTORS}, near AS (
-  SELECT chunk_id AS id, {_COSINE.format(a="e", b=_embedded(TEXT))} AS sim FROM v ORDER BY sim DESC NULLS LAST, chunk_id LIMIT {3 * K}
+_FUSED = f"""{_BM25}, {VECTORS}, near AS (
+  SELECT chunk_id AS id, {COSINE.format(a="e", b=embedded(TEXT))} AS sim FROM v ORDER BY sim DESC NULLS LAST, chunk_id LIMIT {3 * K}
 ), vec AS (SELECT id, 1.0::DOUBLE / row_number() OVER (ORDER BY sim DESC NULLS LAST, id) AS vec FROM near),
 a AS (SELECT id, {_SCALED.format(c="vec", t="vec")} AS v FROM vec), b AS (SELECT id, {_SCALED.format(c="bm25", t="bm25")} AS k FROM bm25),
 fused AS (SELECT id, round({ALPHA} * coalesce(a.v, 0) + {1 - ALPHA} * coalesce(b.k, 0), 6) AS score FROM a FULL JOIN b USING (id))"""

@@ -58,13 +58,28 @@ def documents(spark: SparkSession, path: str) -> DataFrame:
     return files.select(name.alias("document_id"), F.col("value").alias("content"), F.sha2("value", 256).alias("sha256")).where(F.btrim("content") != "")
 
 
-def captions(spark: SparkSession, path: str) -> DataFrame:
-    """The captions of all WebVTT files of a folder."""
+def captions(spark: SparkSession, path: str, first: int | None = None) -> DataFrame:
+    """The captions of the WebVTT files of a folder; only of the first so many, by their paths, if that is given.
+
+    A folder without such files, an empty file and one that doesn't begin as WebVTT are errors.
+    """
     files = spark.read.option("pathGlobFilter", "*.vtt").text(path, wholetext=True)
-    return cues(files.withColumn("video_id", F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.vtt$", 1)))
+    files = files.select("value", _file().alias("file"), F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.vtt$", 1).alias("video_id"))
+    if first is not None:
+        files = files.join(F.broadcast(files.select("file").orderBy("file").limit(first)), "file", "left_semi")  # so many paths
+    if files.select("file").isEmpty():
+        raise ValueError(f"{path} has no WebVTT files")
+    bad = F.raise_error(F.concat(F.lit("not WebVTT: "), "file")).cast("string")
+    files = files.withColumn("value", F.when(F.col("value").rlike("^\ufeff?WEBVTT"), F.col("value")).otherwise(bad))
+    return cues(files)
 
 
 def json_documents(spark: SparkSession, path: str, fields: Sequence[str] = MEDICATION_FIELDS) -> DataFrame:
-    """(id, content): items of a JSON list, their fields a line each, with the field's name before it."""
-    rows = spark.read.schema("id string, " + ", ".join(f"`{f}` string" for f in fields)).option("multiLine", True).json(path)
-    return rows.select("id", F.concat_ws("\n", *[F.concat(F.lit(f"{f}: "), F.coalesce(F.col(f"`{f}`"), F.lit(""))) for f in fields]).alias("content"))
+    """(id, content, metadata): items of a JSON list, their fields a line each, with the field's name before it.
+
+    ``metadata`` is the whole item as JSON, with whatever fields it has.
+    """
+    lists = spark.read.text(path, wholetext=True).select(F.from_json("value", "array<variant>").alias("items"))
+    item = lists.select(F.explode("items").alias("item"))
+    rows = item.select(F.to_json("item").alias("metadata"), *[F.try_variant_get("item", f"$.{f}", "string").alias(f) for f in ("id", *fields)])
+    return rows.select("id", F.concat_ws("\n", *[F.concat(F.lit(f"{f}: "), F.coalesce(F.col(f"`{f}`"), F.lit(""))) for f in fields]).alias("content"), "metadata")

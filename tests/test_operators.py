@@ -615,3 +615,48 @@ def test_corrective_search_rewrites_until_it_is_good(spark):
     assert {(r.confidence, r.outcome) for r in got} == {(0.82, "answer")}
     none = corrective.corrective_search(rows, "zzz yyy", 2).collect()
     assert {(r.confidence, r.outcome) for r in none} == {(0.0, "insufficient")} and not any(r.kept for r in none)
+
+
+# --- sources and small operators --------------------------------------------------------------------------------------
+
+
+def test_captions_of_the_first_files(spark, tmp_path):
+    for name in ("video_12_a", "video_3_b_20240101", "video_2_c"):
+        (tmp_path / f"{name}.vtt").write_text(f"WEBVTT\n\n00:01.000 --> 00:02.000\n{name}\n")
+    assert {r.video_id for r in readers.captions(spark, str(tmp_path), 2).collect()} == {"video_12_a", "video_2_c"}
+    assert readers.captions(spark, str(tmp_path)).count() == 3
+    (tmp_path / "none").mkdir()
+    with pytest.raises(ValueError, match="no WebVTT"):
+        readers.captions(spark, str(tmp_path / "none"))
+    (tmp_path / "z.vtt").write_text("captions\n\n00:01.000 --> 00:02.000\nx\n")
+    with pytest.raises(Exception, match="not WebVTT"):
+        readers.captions(spark, str(tmp_path)).collect()
+    names = spark.createDataFrame([("video_12_a_b",), ("other",), (None,)], "n string")
+    assert [(r.x, r.t) for r in names.select(transcript.video_number(F.col("n")).alias("x"), transcript.video_title(F.col("n")).alias("t")).collect()] == [(12, "a b"), (None, "other"), (None, None)]
+
+
+def test_items_keep_all_their_fields(spark, tmp_path):
+    items = [{"id": "1", "name": "n", "uses": None, "more": {"a": [1, 2]}}, {"id": 2}]
+    (tmp_path / "m.json").write_text(json.dumps(items))
+    rows = sorted(readers.json_documents(spark, str(tmp_path / "m.json"), ["name", "uses"]).collect(), key=lambda r: r.id)
+    assert [(r.id, r.content) for r in rows] == [("1", "name: n\nuses: "), ("2", "name: \nuses: ")]
+    assert [json.loads(r.metadata) for r in rows] == items
+
+
+def test_plain_markdown(spark):
+    rows = spark.createDataFrame([([("s", "t"), (None, None)],), ([],)], "d array<struct<source:string,text:string>>")
+    got = [r.m for r in rows.select(text.documents_markdown(F.col("d"), text.PLAIN_MARKDOWN).alias("m")).collect()]
+    assert got[0] == "# Retrieved Parenting Knowledge\n\n## Source 1: s\n\nt\n\n---\n\n## Source 2: Unknown\n\n\n\n---\n\n"
+    assert got[1] == "No relevant information found in the knowledge base."
+
+
+def test_columns_of_callers_do_no_harm(spark):
+    captions = spark.createDataFrame([("v", 1, "a", "x", 9, 9, 9), ("v", 2, "b", "y", 9, 9, 9)], "k string, o int, speaker string, text string, _first int, _filled int, turn int")
+    assert [(r.turn, r.speaker) for r in transcript.merge_speakers(captions, "k", "o").orderBy("turn").collect()] == [(0, "a"), (1, "b")]
+    rows = spark.createDataFrame([(2, 7, 7, 7), (1, 7, 7, 7)], "o int, _part int, _i int, _before int")
+    assert sorted(map(tuple, transcript.renumber(rows, ["o"]).select("o", "_part", "global_id").collect())) == [(1, 7, 0), (2, 7, 1)]
+    intervals = spark.createDataFrame([("d", 2, 4, 0, 0)], "k string, start long, end long, _reach int, _last int")
+    lengths = spark.createDataFrame([("d", 6, 0)], "k string, length long, _last int")
+    assert sorted(tuple(r)[1:] for r in coverage.gaps(intervals, lengths, "k").collect()) == [(0, 2), (4, 6)]
+    events = spark.createDataFrame([("s", 1, "token", "a", 0, 0), ("s", 2, "done", None, 0, 0)], "k string, seq int, type string, content string, _t int, _s int")
+    assert sessions.accumulate(events, "k", "seq", F.col("content"), F.lit(None).cast("string")).first().answer == "a"
