@@ -843,3 +843,14 @@ def test_parts_grow_with_the_pieces(spark, sf, monkeypatch):
     assert Counter((r.doc_id, r.start, r.length) for r in rows) == want
     assert sorted(r.sequence_id for r in rows) == list(range(len(rows)))
     assert [r.length for r in sorted(rows, key=lambda r: r.sequence_id)] == sorted((r.length for r in rows), reverse=True)
+
+
+def test_headings_of_every_page_stay_within_an_article():
+    """They head what follows; other constants, and headings at the rim, are the template's."""
+    page = lambda n: (f"<html><body><div class='top'>Site</div><article><h3>Shop</h3><p>Share this</p><h1>Title {n}</h1><p>{n} said {n} and went on for a while, {n} times.</p>"
+                      f"<h2>Summary</h2><p>Support us.</p><p>In short {n} {n * n}, which is all that there was to say.</p><p>Read more</p><h2>Comments</h2></article></body></html>")
+    pages = [page(n) for n in range(6)]
+    wrapper = html_wrappers.infer_wrapper(pages)
+    for n, html in enumerate(pages):
+        want = [f"Title {n}", f"{n} said {n} and went on for a while, {n} times.", "Summary", f"In short {n} {n * n}, which is all that there was to say."]
+        assert html_wrappers.extract(html, wrapper).split("\n") == want
