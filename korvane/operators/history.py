@@ -83,3 +83,18 @@ def classify_messages(messages: DataFrame) -> DataFrame:
 def sticky_agent(messages: DataFrame) -> DataFrame:
     """(conv_id, agent): the last agent that was assigned, else the supervisor decides."""
     return messages.groupBy("conv_id").agg(F.coalesce(F.max_by("agent", F.when(F.col("agent").isNotNull(), F.col("turn"))), F.lit("supervisor")).alias("agent"))
+
+
+def answer_events(answers: DataFrame, key: list[str], text_col: str, stage: str = "generation") -> DataFrame:
+    """(key, seq, type, content): the events of each answer in the order in which a stream sends them.
+
+    ``metadata`` comes first with the key as JSON, then the start of the stage, a ``token`` for each word with the white
+    space after it, the end of the stage and ``done``; seq is from 0. An empty answer has no tokens.
+    """
+    event = lambda kind, content: F.struct(F.lit(kind).alias("type"), content.alias("content"))
+    words = F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(r"[^ ]+ *| +"), F.lit(0))
+    tokens = F.transform(words, lambda w: event("token", w))
+    around = lambda kind, content: F.array(event(kind, content))
+    stages = [around(k, F.lit(stage)) for k in ("stage_start", "stage_complete")]
+    whole = F.concat(around("metadata", F.to_json(F.struct(*key))), stages[0], tokens, stages[1], around("done", F.lit(None).cast("string")))
+    return answers.select(*key, F.posexplode(whole).alias("seq", "event")).select(*key, F.col("seq").cast("long").alias("seq"), "event.*")

@@ -317,11 +317,14 @@ def coverage_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.coverage_ratio(table(spark, sf_dir, "documents"), _runs(spark, sf_dir))
 
 
+def middle_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _runs(spark, sf_dir, "array((greatest(size(w) - 1, 0) div 60) div 2 * 60)")
+
+
 @query()
 def fuzzy_locate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where the middle run of each document lies in it."""
-    middle = _runs(spark, sf_dir, "array((greatest(size(w) - 1, 0) div 60) div 2 * 60)")
-    return alignment.locate(table(spark, sf_dir, "documents"), middle)
+    return alignment.locate(table(spark, sf_dir, "documents"), middle_runs(spark, sf_dir))
 
 
 def _tries() -> str:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from korvane.plans import conversations, corpus, learned, retrieval, sessions  # noqa: F401  (importing them registers their queries)
+from korvane.plans import checks, conversations, corpus, learned, retrieval, sessions  # noqa: F401  (importing them registers their queries)
 from korvane.plans.base import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

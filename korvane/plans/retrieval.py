@@ -201,7 +201,7 @@ def tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words.select("doc_id", F.size("w").cast("long").alias("n_words"), F.size(F.array_distinct("w")).cast("long").alias("n_distinct"))
 
 
-_BM25 = f"""{WORDS.replace("words AS (", "words AS MATERIALIZED (")}, dl AS (SELECT id, len(w) AS dl FROM words), stats AS MATERIALIZED (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl),
+BM25 = f"""{WORDS.replace("words AS (", "words AS MATERIALIZED (")}, dl AS (SELECT id, len(w) AS dl FROM words), stats AS MATERIALIZED (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl),
 tf AS MATERIALIZED (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(w) AS term FROM words) GROUP BY id, term),
 counted AS MATERIALIZED (SELECT term, count(*) AS df FROM tf GROUP BY term),
 df AS MATERIALIZED (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM counted, stats), mean AS MATERIALIZED (SELECT avg(raw) AS mean FROM df),
@@ -223,7 +223,7 @@ def bm25_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _index(spark, sf_dir).frequencies().select("term", "df", F.round("idf", lexical.DIGITS).alias("idf"))
 
 
-@query(f"WITH {_BM25} SELECT id, bm25 FROM bm25")
+@query(f"WITH {BM25} SELECT id, bm25 FROM bm25")
 def bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _index(spark, sf_dir).scores(TEXT)
 
@@ -231,25 +231,25 @@ def bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SCALED = "CASE WHEN (SELECT max({c}) = min({c}) FROM {t}) THEN 0.5 ELSE ({c} - (SELECT min({c}) FROM {t})) / (SELECT max({c}) - min({c}) FROM {t}) END"
 
 
-@query(f"WITH {_BM25} SELECT id, round({_SCALED.format(c='bm25', t='bm25')}, 6) AS scaled FROM bm25")
+@query(f"WITH {BM25} SELECT id, round({_SCALED.format(c='bm25', t='bm25')}, 6) AS scaled FROM bm25")
 def minmax_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
     scaled = lexical.min_max(_index(spark, sf_dir).scores(TEXT), "bm25", "scaled")
     return scaled.select("id", F.round("scaled", lexical.DIGITS).alias("scaled"))
 
 
-@query(f"WITH {_BM25} SELECT min(bm25) AS lowest, max(bm25) AS highest, round(avg(bm25), 6) AS mean, count(*) AS n FROM bm25")
+@query(f"WITH {BM25} SELECT min(bm25) AS lowest, max(bm25) AS highest, round(avg(bm25), 6) AS mean, count(*) AS n FROM bm25")
 def score_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _index(spark, sf_dir).scores(TEXT).agg(
         F.min("bm25").alias("lowest"), F.max("bm25").alias("highest"), F.round(F.avg("bm25"), lexical.DIGITS).alias("mean"), F.count("*").alias("n")
     )
 
 
-@query(f"WITH {_BM25} SELECT n AS n_documents, round(avgdl, 6) AS mean_words, (SELECT count(*) FROM df) AS n_terms, {ALPHA}::DOUBLE AS alpha FROM stats")
+@query(f"WITH {BM25} SELECT n AS n_documents, round(avgdl, 6) AS mean_words, (SELECT count(*) FROM df) AS n_terms, {ALPHA}::DOUBLE AS alpha FROM stats")
 def hybrid_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.hybrid_stats(_index(spark, sf_dir), ALPHA)
 
 
-_FUSED = f"""{_BM25}, {VECTORS}, near AS (
+_FUSED = f"""{BM25}, {VECTORS}, near AS (
   SELECT chunk_id AS id, {COSINE.format(a="e", b=embedded(TEXT))} AS sim FROM v ORDER BY sim DESC NULLS LAST, chunk_id LIMIT {3 * K}
 ), vec AS (SELECT id, 1.0::DOUBLE / row_number() OVER (ORDER BY sim DESC NULLS LAST, id) AS vec FROM near),
 a AS (SELECT id, {_SCALED.format(c="vec", t="vec")} AS v FROM vec), b AS (SELECT id, {_SCALED.format(c="bm25", t="bm25")} AS k FROM bm25),
