@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from korvane.llm import gif_columns, hard_negatives, queries, source_audit, source_mix
+from korvane.llm import gif_columns, hard_negatives, language_gru, queries, source_audit, source_mix
 
 # --- 11: hard negatives -----------------------------------------------------------------------------------------------
 
@@ -321,3 +321,47 @@ def test_null_and_damaged_media(spark, docs, none):
     stored = gif_columns.store_texts(docs)
     assert {r.doc_id: r.n_bytes for r in stored.collect()}[14] == 50_000 and stored.count() == docs.count()
     assert gif_columns.media_digests(gif_columns.store_texts(none)).count() == 0
+
+
+# --- 4: the recurrent network byte by byte ----------------------------------------------------------------------------
+
+
+def loop_probabilities(net, text: bytes) -> np.ndarray:
+    """The mean over bytes of the labels' probabilities, one byte and one direction at a time."""
+    size, total = language_gru.HIDDEN, np.zeros(len(net.languages))
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    for a in range(0, len(text), language_gru.WINDOW):
+        window, states = text[a : a + language_gru.WINDOW], []
+        for d, order in ((0, range(len(window))), (1, range(len(window) - 1, -1, -1))):
+            h, found = np.zeros(size), {}
+            for t in order:
+                given, past = net.inputs[d][window[t]].astype(float), h @ net.hidden[d].astype(float)
+                z, r = sigmoid(given[:size] + past[:size]), sigmoid(given[size : 2 * size] + past[size : 2 * size])
+                n = np.tanh(given[2 * size :] + r * past[2 * size :])
+                h = n + z * (h - n)
+                found[t] = h
+            states.append(found)
+        for t in range(len(window)):
+            logits = np.concatenate([states[0][t], states[1][t]]) @ net.out.astype(float) + net.bias
+            e = np.exp(logits - logits.max())
+            total += e / e.sum()
+    return total / max(1, len(text))
+
+
+def test_the_network_equals_a_loop_over_bytes():
+    rng = np.random.default_rng(2)
+    net = language_gru.Network.start(["de", "en", "fr"], 1)
+    for w in net.weights:
+        w += rng.normal(0, 0.4, w.shape).astype(w.dtype)
+    texts = [b"", b"a", "Grüße \U0001f600".encode(), bytes(rng.integers(0, 256, language_gru.WINDOW)), bytes(rng.integers(0, 256, 2 * language_gru.WINDOW + 7))]
+    got = language_gru.document_probabilities(net, texts)
+    for text, p in zip(texts, got, strict=True):
+        assert np.allclose(p, loop_probabilities(net, text), atol=2e-4)
+
+
+def test_the_fast_forward_pass_equals_the_one_that_trains():
+    rng = np.random.default_rng(3)
+    net = language_gru.Network.start(["de", "en"], 1)
+    x = rng.integers(0, 256, (5, 40)).astype(np.uint8)
+    valid = np.arange(40) < np.array([40, 1, 17, 39, 0])[:, None]
+    assert np.allclose(language_gru._states(net, x, valid), language_gru.forward(net, x, valid)[0], atol=1e-5)
