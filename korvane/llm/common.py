@@ -34,14 +34,23 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/korvane/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_materialised(spark: SparkSession) -> None:
-    """Delete every table that ``materialise`` wrote for this application."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/korvane/{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+_written: list[str] = []
+
+
+def materialise_alone(spark: SparkSession, make: Callable[[], DataFrame], tag: str) -> DataFrame:
+    """``materialise`` what ``make`` gives, and delete the tables that were written on the way: nothing reads them any more."""
+    before = len(_written)
+    out = materialise(make(), tag)
+    jvm, settings = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in _written[before:-1]:
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(settings).delete(folder, True)
+    del _written[before:-1]
+    return out
 
 
 _held: dict = {}
