@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from korvane.llm import line_dedup, minhash_dedup, packing, quality_rules, secret_scan
-from korvane.llm.common import materialise
+from korvane.llm.common import materialise_alone
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -61,5 +61,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), name)
+        docs = materialise_alone(spark, lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)
