@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pathlib
 import re
 import zlib
 
@@ -12,7 +13,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from korvane.llm import quality_rules
-from korvane.llm.common import materialise
+from korvane.llm.common import materialise, shared_dir
 
 from .test_operators import brute_classes, judged, redacted
 
@@ -87,3 +88,13 @@ def test_packing(stages):
         ids.setdefault(r.doc_id, []).extend(r.ids)
         assert r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes())
     assert ids == {i: [*tokenizer.encode(t or "", add_special_tokens=False).ids, 2] for i, t in before.items()}
+
+
+def test_a_run_leaves_the_tables_of_its_stages_alone(spark, tmp_path):
+    rows = [(i, f"document {i} of a few that say something of their own, number {i * i} and so on for a while", "en", "s", 0) for i in range(40)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    folder = pathlib.Path(shared_dir(spark)) / "korvane" / spark.sparkContext.applicationId
+    before = {p.name for p in folder.iterdir()} if folder.exists() else set()
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+    made = sorted(p.name.rpartition("-")[0] for p in folder.iterdir() if p.name not in before)
+    assert made == ["line_dedup", "near_duplicates", "pieces", "quality_rules", "secret_scan"]
