@@ -78,7 +78,10 @@ def fresh(df: DataFrame, name: str) -> str:
 
 
 def small_batches(df: DataFrame, rows: int = 500) -> DataFrame:
-    """``df``, after its session is told to hand Python this many rows at a time at most: texts may be long."""
+    """``df``, after its session is told to hand Python this many rows at a time at most: texts may be long.
+
+    Spark itself ends a batch at 64 MB (spark.sql.execution.arrow.maxBytesPerBatch), however few rows that is.
+    """
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     spark = df.sparkSession
     if not 0 < int(spark.conf.get(name)) <= rows:
