@@ -12,6 +12,7 @@ that lie inside a longer text may not be found.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator, Sequence
 from functools import cache
 
@@ -168,13 +169,45 @@ def coverage_ratio(documents: DataFrame, chunks: DataFrame) -> DataFrame:
 
     Twice the words that both have, each as often as in the poorer, over the words of both together: 1 if nothing is
     missing or added, and 1 for a document without words whose chunks have none. Words that aren't given back are missing.
-    Counts of both sides meet in one sum, which combines before its shuffle: a row for each different word of a document.
+    Rows of one id count together; a null id is a document that no chunk gives back, and has no words.
+
+    Texts move once, as their words, and come to a task sorted by document, where the words of one document at a time are
+    counted: memory is for the different words of one, a document and its chunks are the work of one task.
     """
-    one = documents.select("doc_id", F.explode(words(F.col("text"))).alias("w"), F.lit(1).alias("own"), F.lit(0).alias("given"))
-    two = chunks.select("doc_id", F.explode(words(F.col("text"))).alias("w"), F.lit(0).alias("own"), F.lit(1).alias("given"))
-    counts = one.unionByName(two).groupBy("doc_id", "w").agg(F.sum("own").alias("own"), F.sum("given").alias("given"))
-    sums = counts.groupBy("doc_id").agg(F.sum(F.least("own", "given")).alias("both"), F.sum("own").alias("own"), F.sum("given").alias("given"))
-    found = documents.select("doc_id").join(sums, "doc_id", "left")
+    kind = documents.schema["doc_id"].dataType
+    own, given = (
+        rows.where("doc_id IS NOT NULL").select(F.col("doc_id").cast(kind), F.lit(chunk).alias("chunk"), F.array_join(words(F.col("text")), " ").alias("words"))
+        for rows, chunk in ((documents, False), (chunks, True))
+    )
+    numbers = ("both", "own", "given")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, counts = None, (Counter(), Counter())
+
+        def sums() -> tuple[int, ...]:
+            mine, theirs = counts
+            return sum(min(n, theirs[w]) for w, n in mine.items() if w in theirs), mine.total(), theirs.total()
+
+        def out(rows: list[tuple]) -> pa.RecordBatch:
+            ids = pa.array([r[0] for r in rows], id_type)
+            return pa.RecordBatch.from_arrays([ids, *[pa.array([r[1][i] for r in rows], pa.int64()) for i in range(3)]], names=["doc_id", *numbers])
+
+        for batch in batches:
+            id_type, done = batch.column(0).type, []
+            for doc_id, chunk, text in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
+                if at != doc_id:
+                    if at is not None:
+                        done.append((at, sums()))
+                    at, counts = doc_id, (Counter(), Counter())
+                counts[chunk].update(text.split())
+            if done:
+                yield out(done)
+        if at is not None:
+            yield out([(at, sums())])
+
+    sorted_rows = own.unionByName(given).repartition("doc_id").sortWithinPartitions("doc_id")
+    counted = sorted_rows.mapInArrow(run, f"doc_id {kind.simpleString()}, " + ", ".join(f"{c} long" for c in numbers))
+    found = documents.select("doc_id").join(counted, "doc_id", "left")
     number = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long"))
     ratio = F.coalesce(F.try_divide(2.0 * number("both"), number("own") + number("given")), F.lit(1.0))
     return found.select("doc_id", F.round(ratio, 6).alias("ratio"), (number("own") - number("both")).alias("n_missing"), (number("given") - number("both")).alias("n_added"))

@@ -117,6 +117,26 @@ def test_coverage_is_counted_in_words(spark):
     assert len(got) == len(documents)
 
 
+def test_coverage_of_rows_that_repeat_null_ids_and_empty_tables(spark):
+    documents = spark.createDataFrame([("a", "x y", 1), ("a", "x", 2), (None, "lost words", 3), ("c", "x x x", 4)], "doc_id string, text string, words int")
+    chunks = spark.createDataFrame([("a", 0, "x X z"), (None, 0, "lost words"), ("c", 0, "x"), ("c", 0, "x")], "doc_id string, chunk_no long, text string")
+    rows = sorted((r.doc_id or "", r.ratio, r.n_missing, r.n_added) for r in alignment.coverage_ratio(documents, chunks).collect())
+    assert rows == [("", 1.0, 0, 0), ("a", 0.666667, 1, 1), ("a", 0.666667, 1, 1), ("c", 0.8, 1, 0)]
+    assert alignment.coverage_ratio(documents.limit(0), chunks).count() == 0
+    assert {r.n_missing for r in alignment.coverage_ratio(documents, chunks.limit(0)).collect()} == {0, 3}
+
+
+def test_coverage_counts_each_document_once_over_many_batches(spark):
+    documents = spark.range(3000).selectExpr("id AS doc_id", "repeat(concat('w', id, ' same '), 1 + id % 7) AS text")
+    chunks = documents.selectExpr("doc_id", "explode(sequence(0, 2)) AS chunk_no", "'same' AS text")
+    rows = alignment.coverage_ratio(documents, chunks).collect()
+    assert len(rows) == len({r.doc_id for r in rows}) == 3000
+    for r in rows:
+        n = 1 + r.doc_id % 7
+        both = min(n, 3)
+        assert (r.ratio, r.n_missing, r.n_added) == (pytest.approx(2 * both / (2 * n + 3), abs=1e-6), 2 * n - both, 3 - both)
+
+
 def test_the_query_finds_the_middle_of_every_document(spark, sf):
     rows = registry.QUERIES["fuzzy_locate"](spark, sf).collect()
     documents = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
