@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: White space of the contracts: space and U+0009 to U+000D.
 WS = " \t\n\x0b\x0c\r"
@@ -87,3 +88,25 @@ def small_batches(df: DataFrame, rows: int = 500) -> DataFrame:
     if not 0 < int(spark.conf.get(name)) <= rows:
         spark.conf.set(name, rows)
     return df
+
+
+#: A key that has more than one in HOT_SHARE of all rows (and more than some number) is dealt over several tasks.
+HOT_SHARE, HOT_ROWS = 100_000, 50_000
+
+
+def spread_join(many: DataFrame, few: DataFrame, keys: list[str], count: str, apart: list[str], hot_rows: int | None = None) -> DataFrame:
+    """``many`` with the columns of the one row of ``few`` that has its ``keys``; ``count`` there is how many rows of ``many`` do.
+
+    Rows of a hot key are dealt by a hash of the columns ``apart``, and its row of ``few`` comes in as many copies. There are
+    fewer than HOT_SHARE hot keys at any size, so these, and nothing else, are broadcast. Rows without a partner, or with a
+    null key, go; a count that is too low costs time only.
+    """
+    both = many.join(few, keys)
+    part, parts = fresh(both, "part"), fresh(both, "parts")
+    total = few.agg(F.sum(count)).first()[0] or 0  # one number
+    share = max(total // HOT_SHARE, hot_rows or HOT_ROWS)
+    needed = F.greatest(F.ceil(F.col(count) / share), F.lit(1)).cast("int")
+    hot = few.where(F.col(count) > share).select(*keys, needed.alias(parts))
+    dealt = many.join(F.broadcast(hot), keys, "left").withColumn(part, F.pmod(F.xxhash64(*apart), F.coalesce(parts, F.lit(1))).cast("int")).drop(parts)
+    copies = few.withColumn(part, F.explode(F.sequence(F.lit(0), needed - 1)))
+    return dealt.join(copies, [*keys, part]).drop(part)

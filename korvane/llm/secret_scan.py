@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, let_go, materialise, small_batches
+from .common import fresh, let_go, materialise, small_batches, spread_join
 
 # Fixed values of the base.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -142,7 +142,7 @@ def find_secrets(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
     seen = materialise(scan(docs, text_col, id_col, repository, owner), "secrets")
     values = seen.select("uid", "repository", "owner", F.inline("found"))
     classed = materialise(ownership(values), "ownership")
-    judged = values.join(classed, ["h1", "h2"]).where((F.col("kind") < 3) | (F.col("class") == "live"))
+    judged = spread_join(values, classed, ["h1", "h2"], "n_seen", ["uid", "start"]).where((F.col("kind") < 3) | (F.col("class") == "live"))
     by_doc = judged.groupBy("uid").agg(
         F.array_sort(F.collect_list(F.struct("start", "kind", "end", "class"))).alias("secrets"),
         F.count_if(F.col("class") == "live").alias("n_live"), F.count_if(F.col("class") == "example").alias("n_example"),

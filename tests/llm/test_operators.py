@@ -23,7 +23,7 @@ from oracle import of_frame, of_sql, tables
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from korvane.llm import byte_bpe, gif_columns, html_wrappers, language_gru, line_dedup, minhash_dedup, packing, quality_rules, queries, rans_files, secret_scan, sql, tokens
+from korvane.llm import byte_bpe, common, gif_columns, html_wrappers, language_gru, line_dedup, minhash_dedup, packing, quality_rules, queries, rans_files, secret_scan, sql, tokens
 
 from .conftest import LINE, TEXTS
 
@@ -237,6 +237,26 @@ def test_secrets_shared_by_owners_are_examples(spark):
     assert {r.doc_id: r.text for r in secret_scan.redact(docs).collect()}[1] == f"key {value} here <owner>"
 
 
+@pytest.mark.parametrize(("share", "rows"), [(100_000, 50_000), (100_000, 3), (2, 1)])
+def test_rows_of_hot_keys_meet_their_partner_once(spark, monkeypatch, share, rows):
+    monkeypatch.setattr(common, "HOT_SHARE", share)
+    monkeypatch.setattr(common, "HOT_ROWS", rows)
+    many = spark.createDataFrame([(None if i == 40 else "hot" if i % 3 else f"k{i % 5}", i, i) for i in range(41)], "key string, id long, part long")
+    few = many.where("key <> 'k1'").groupBy("key").count().withColumn("name", F.upper("key"))
+    got = common.spread_join(many, few, ["key"], "count", ["id"])
+    assert sorted(got.columns) == ["count", "id", "key", "name", "part"]
+    expected = many.join(few, ["key"]).select(*got.columns)
+    assert sorted(got.collect()) == sorted(expected.collect()) and got.count() > 30
+    assert common.spread_join(many, few.limit(0), ["key"], "count", ["id"]).count() == 0
+
+
+def test_secrets_of_a_hot_value(docs, monkeypatch):
+    twice = docs.unionAll(docs)
+    before = sorted(map(str, secret_scan.find_secrets(twice).drop("uid").collect()))
+    monkeypatch.setattr(common, "HOT_ROWS", 1)
+    assert sorted(map(str, secret_scan.find_secrets(twice).drop("uid").collect())) == before
+
+
 def test_secrets_of_awkward_rows(docs, none):
     found = secret_scan.find_secrets(docs).collect()
     assert Counter(r.doc_id for r in found) == Counter(i for i, _ in TEXTS)
