@@ -1,14 +1,14 @@
 """HTML extraction by wrappers: union-free regular expressions inferred from the pages of a host.
 
-A page is a stream of tags and texts. The streams of a bounded sample of a host's pages are aligned with the host's
-wrapper one after another, element by element: what only one side has becomes optional, children of one kind that come
+A page is a stream of tags and texts. The streams of all of a host's pages are aligned with the host's wrapper one after
+another, element by element; tasks do so with the pages that they have, and their wrappers are aligned with one another: what only one side has becomes optional, children of one kind that come
 in another number than before become a repeated group, children whose orders contradict each other become a repeated
 group of optional members, ``(a? b?)+``, and texts become slots. Every kind of child stands once in the expression of
 its parent, so an alignment only merges two orders of distinct names and costs what its page costs.
 
 What the wrapper finds decides what is read:
 
-* A text that stands in the same slot of at least half of the sampled pages (three or more, copies of a page counted
+* A text that stands in the same slot of at least half of the host's pages (three or more, copies of a page counted
   once) is a constant of the template and not part of any article, but for headings between an article's own blocks:
   they head what follows.
 * The article is the part of the wrapper whose slots vary and hold the text: an ``article`` or ``main`` if one does, else
@@ -18,8 +18,10 @@ What the wrapper finds decides what is read:
 A page that lacks this part (or has another number of such children) is read by a wrapper of its own, beside the
 constants of the host's; nothing is capped.
 
-Wrappers are inferred from about ``SAMPLE_PAGES`` pages of each host (the bound of the fit). A host with many pages is
-dealt out over several tasks, each with a copy of the wrapper.
+All pages of a host take part in its constants and its wrapper. Texts are counted by Spark as hashes of their slots. Two
+pages can only be copies of each other if they share one of their rarest texts, those that hold more than ``OWN_SHARE`` of
+the page, so only pages with such a text in common are compared. A wrapper is as large as its host's different structures;
+a host with many pages is dealt out over several tasks.
 
 Nulls and ties: null or empty html gives the empty text; pages of a null url share one wrapper; rows that repeat are
 read alike; empty tables stay empty; other columns aren't read. Of two parts with as much text the first by name is
@@ -44,9 +46,10 @@ from pyspark.sql import functions as F
 
 from .common import materialise, small_batches, spread_join
 
-SAMPLE_PAGES = 16
 PAGES_PER_TASK = 2000
-#: Pages that share a text before it counts as the template's, and the share of the sampled pages that they must be.
+#: Wrappers that a task holds before it hands them on, and parts that those of a host are dealt over when they are aligned. Both only steer the cost.
+HELD_HOSTS, PARTS_OF_HOST = 1000, 32
+#: Pages that share a text before it counts as the template's, and the share of the host's pages that they must be.
 LEAST_PAGES, LEAST_SHARE = 3, 0.5
 #: Two pages with no more than this share of their text to themselves are copies of one.
 OWN_SHARE = 0.2
@@ -379,9 +382,9 @@ def walk(root: Node, page: str, at_close: Callable[[Node, list[str], dict[str, i
     return True
 
 
-def infer(pages: list[str], constants: frozenset[int] = frozenset()) -> Node:
-    """A wrapper for all the pages, aligned one after another; the longest comes first, as most has its parts."""
-    root = Node()
+def infer(pages: list[str], constants: frozenset[int] = frozenset(), root: Node | None = None) -> Node:
+    """A wrapper for all the pages (and those of ``root``), aligned one after another; the longest comes first, as most has its parts."""
+    root = root or Node()
 
     def said(parts: list[tuple[Node, str, str, int]]) -> None:
         text = block([t for _, t, _, _ in parts])
@@ -451,7 +454,7 @@ def texts_of(page: str) -> dict[int, int]:
 
 
 def constant_texts(pages: list[str]) -> frozenset[int]:
-    """The texts of the template: those that pages which differ otherwise share in one slot."""
+    """The texts of the template: those that pages which differ otherwise share in one slot. ``template_texts`` has them for all hosts."""
     different: list[dict[int, int]] = []
     for page in sorted(set(pages), key=lambda p: (-len(p), p)):
         mine = texts_of(page)
@@ -471,7 +474,7 @@ def region(root: Node) -> tuple[list[tuple[str, list[int], int]], list[str]]:
     """
     rows: list[tuple[Node, str, int]] = [(root, "", -1)]
     for i, (node, _, _) in enumerate(rows):
-        rows += [(node.kids[k], k, i) for k in node.order if k in node.kids]
+        rows += [(node.kids[k], k, i) for k in sorted(node.kids)]
     kinds = [k.partition("/")[0] for _, k, _ in rows]
     tags = [tag_of(k) for k in kinds]
     cut = [bool(k) and (is_outside(k) or t == "a") for k, t in zip(kinds, tags, strict=True)]
@@ -525,13 +528,37 @@ def region(root: Node) -> tuple[list[tuple[str, list[int], int]], list[str]]:
     return steps[::-1], sorted(kept)
 
 
-def infer_wrapper(pages: list[str]) -> str:
+def wrapper_of(root: Node, constants: frozenset[int]) -> str:
     """Everything that ``extract`` needs for the pages of a host, as JSON."""
-    constants = constant_texts(pages)
-    path, kept = region(infer(pages, constants))
+    path, kept = region(root)
     return json.dumps({"path": path, "kept": kept, "constants": sorted(constants)})
 
 
+def infer_wrapper(pages: list[str]) -> str:
+    """``wrapper_of`` some pages."""
+    constants = constant_texts(pages)
+    return wrapper_of(infer(pages, constants), constants)
+
+
+def to_json(root: Node) -> str:
+    """An expression as a list of its elements, each with the place of its parent."""
+    rows: list[tuple[Node, int, str]] = [(root, -1, "")]
+    for i, (node, _, _) in enumerate(rows):
+        rows += [(kid, i, k) for k, kid in sorted(node.kids.items())]
+    return json.dumps([[parent, k, n.order, sorted(n.joined), sorted(n.again), sorted(n.optional), n.counts, sorted(n.many), n.seen, n.own] for n, parent, k in rows])
+
+
+def from_json(text: str) -> Node:
+    nodes: list[Node] = []
+    for parent, k, order, joined, again, optional, counts, many, seen, own in json.loads(text):
+        n = Node()
+        n.order, n.joined, n.again, n.optional, n.counts, n.many, n.seen, n.own = order, set(joined), set(again), set(optional), counts, set(many), seen, own
+        if parent >= 0:
+            nodes[parent].kids[k] = n
+        nodes.append(n)
+    return nodes[0]
+
+
 # --- extraction -------------------------------------------------------------------------------------------------------
 
 
@@ -605,22 +632,155 @@ def with_host(pages: DataFrame, html_col: str, url_col: str, id_col: str) -> Dat
     return pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), url.alias("url"), html.alias("html"), host.alias("host"))
 
 
-def wrappers(rows: DataFrame, sample_pages: int = SAMPLE_PAGES) -> DataFrame:
-    """(host, n, wrapper): a row for each host, inferred from the pages whose hash is below the host's share."""
-    sizes = materialise(rows.groupBy("host").agg(F.count("*").alias("n")), "hosts")
-    unit = F.pmod(F.xxhash64("url", "page_id"), F.lit(1_000_003)) / 1_000_003
-    sample = spread_join(rows.where(F.col("html").isNotNull()), sizes, ["host"], "n", ["url", "page_id"], PAGES_PER_TASK).where(unit < sample_pages / F.col("n")).select("host", "html")
+def page_texts(rows: DataFrame) -> DataFrame:
+    """(host, page, size, total, keys, ns): the texts of each different page of a host in their slots, as hashes, with their lengths."""
+    schema = pa.schema([("host", pa.string()), ("page", pa.int64()), ("size", pa.int64()), ("total", pa.int64()), ("keys", pa.list_(pa.int64())), ("ns", pa.list_(pa.int64()))])
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"host": [pdf["host"].iloc[0]], "wrapper": [infer_wrapper(sorted(pdf["html"]))]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found = texts_of(page)
+                if found:
+                    keys = sorted(found)
+                    ns = [found[k] for k in keys]
+                    out.append((host, signed(digest("", page)), len(page), sum(ns), [signed(k) for k in keys], ns))
+            columns = list(zip(*out, strict=True)) or [()] * len(schema)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    found = rows.where(F.col("html").isNotNull()).select("host", "html").mapInArrow(run, "host string, page long, size long, total long, keys array<long>, ns array<long>")
+    return found.groupBy("host", "page").agg(F.any_value(F.struct("size", "total", "keys", "ns")).alias("p")).select("host", "page", "p.*")
+
+
+def signed(n: int) -> int:
+    """A hash as Spark has it."""
+    return n - (1 << 64) if n >> 63 else n
+
+
+def page_copies(pages: DataFrame) -> DataFrame:
+    """(host, page) of the pages of which no more than OWN_SHARE differs from one before them, the longest first, both ways.
+
+    A copy shares at least one of the rarest texts that together are more than OWN_SHARE of a page, in one order of a host's
+    texts: all texts before the first shared one are its own. Pages are compared that have such a text in common.
+    """
+    texts = pages.select("host", "page", "size", "total", F.explode(F.arrays_zip("keys", "ns")).alias("t")).select("host", "page", "size", "total", F.col("t.keys").alias("key"), F.col("t.ns").alias("n"))
+    counts = texts.groupBy("host", "key").agg(F.count("*").alias("df"), F.max("n").alias("most")).where("df > 1")
+    mine = spread_join(texts, materialise(counts, "shared"), ["host", "key"], "df", ["page"])
+    # of texts about as rare the longest come first, so that few make up a share of the page
+    texts = F.array_sort(F.collect_list(F.struct(F.floor(F.log2("df")).alias("rare"), (-F.col("most")).alias("least"), "key", "df", "n")))
+    mine = mine.groupBy("host", "page", "size", "total").agg(F.sum("n").alias("common"), texts.alias("texts")).where((F.col("total") - F.col("common")) <= OWN_SHARE * F.col("total"))
+    mine = mine.select("host", "page", "size", "total", "common", "texts.key", "texts.df", "texts.n")
+    schema = pa.schema([("host", pa.string()), *[(c, pa.int64()) for c in ("key", "df", "page", "size", "total")], ("keys", pa.list_(pa.int64())), ("ns", pa.list_(pa.int64()))])
+
+    def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for host, page, size, total, common, keys, dfs, ns in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                before = total - common  # what no other page has
+                for key, df, n in zip(keys, dfs, ns, strict=True):
+                    if before > OWN_SHARE * total:
+                        break
+                    out.append((host, key, df, page, size, total, keys, ns))
+                    before += n
+            columns = list(zip(*out, strict=True)) or [()] * len(schema)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    mine = mine.mapInArrow(rarest, "host string, key long, df long, page long, size long, total long, keys array<long>, ns array<long>")
+    nothing = pages.where("total = 0").select("host", "page", "size")  # pages of links alone are alike
+    # a large group is compared in parts first, and what these leave together
+    part = F.pmod(F.xxhash64("page"), F.ceil(F.col("df") / PAGES_PER_TASK)).cast("int")
+    first = materialise(_marked(mine.withColumn("part", part)), "marked")
+    rest = _marked(first.where("NOT copy").drop("copy").withColumn("part", F.lit(0)))
+    none = nothing.withColumn("i", F.struct(-F.col("size"), "page")).groupBy("host").agg(F.min("i").alias("least"))
+    zero = nothing.join(none, "host").where(F.struct(-F.col("size"), "page") != F.col("least"))
+    return first.where("copy").select("host", "page").unionByName(rest.where("copy").select("host", "page")).unionByName(zero.select("host", "page")).distinct()
+
+
+def _marked(groups: DataFrame) -> DataFrame:
+    """``groups`` with whether a page is a copy of one before it in its group (host, key, part) that is none."""
 
-    return sizes.join(sample.groupBy("host").applyInPandas(fit, "host string, wrapper string"), "host", "left")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, kept = None, []
+        for batch in batches:
+            names = ("host", "key", "part", "total", "keys", "ns")
+            marks = []
+            for host, key, part, total, keys, ns in zip(*[batch.column(n).to_pylist() for n in names], strict=True):
+                if at != (host, key, part):
+                    at, kept = (host, key, part), []
+                mine = dict(zip(keys, ns, strict=True))
+                copy = any(
+                    total - sum(n for k, n in mine.items() if k in theirs) <= OWN_SHARE * total and other - sum(n for k, n in theirs.items() if k in mine) <= OWN_SHARE * other
+                    for other, theirs in kept
+                )
+                marks.append(copy)
+                if not copy:
+                    kept.append((total, mine))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(marks, pa.bool_())], names=[*batch.schema.names, "copy"])
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in groups.schema)
+    ordered = groups.repartition("host", "key", "part").sortWithinPartitions("host", "key", "part", F.desc("size"), "page")
+    return ordered.mapInArrow(run, f"{schema}, copy boolean")
+
+
+def template_texts(pages: DataFrame) -> DataFrame:
+    """(host, constants): what ``constant_texts`` gives for all pages of each host, as signed hashes; hosts without any are left out."""
+    different = materialise(pages.join(page_copies(pages), ["host", "page"], "left_anti").select("host", "keys"), "different")
+    least = different.groupBy("host").agg(F.greatest(F.lit(float(LEAST_PAGES)), LEAST_SHARE * F.count("*")).alias("least"))
+    counts = different.select("host", F.explode("keys").alias("key")).groupBy("host", "key").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_PAGES)
+    return counts.join(least, "host").where("n >= least").groupBy("host").agg(F.array_sort(F.collect_list("key")).alias("constants"))
+
+
+def wrappers(rows: DataFrame) -> DataFrame:
+    """(host, n, wrapper): a row for each host, inferred from all its pages."""
+    sizes = materialise(rows.groupBy("host").agg(F.count("*").alias("n")), "hosts")
+    constants = template_texts(materialise(page_texts(rows), "texts"))
+    known = materialise(sizes.join(constants, "host", "left").select("host", "n", F.coalesce("constants", F.array().cast("array<bigint>")).alias("constants")), "constants")
+    placed = spread_join(rows.where(F.col("html").isNotNull()), known, ["host"], "n", ["url", "page_id"], PAGES_PER_TASK).select("host", "html", "constants")
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        roots: dict[str, Node] = {}
 
+        def made() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(roots, pa.string()), pa.array(map(to_json, roots.values()), pa.string())], names=["host", "root"])
+            roots.clear()
+            return out
 
-def extract_main_text(pages: DataFrame, html_col: str = "html", url_col: str = "url", id_col: str = "page_id", sample_pages: int = SAMPLE_PAGES) -> DataFrame:
+        for batch in batches:
+            texts: dict[str, list[str]] = {}
+            at: dict[str, int] = {}
+            for i, (host, page) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                texts.setdefault(host, []).append(page)
+                at.setdefault(host, i)
+            for host, pages in texts.items():
+                roots[host] = infer(pages, frozenset(k % (1 << 64) for k in batch.column(2)[at[host]].as_py()), roots.get(host))
+            if len(roots) > HELD_HOSTS:
+                yield made()
+        if roots:
+            yield made()
+
+    def merged(pdf: pd.DataFrame) -> Node:
+        texts = sorted(pdf["root"])
+        root = from_json(texts[0])
+        for text in texts[1:]:
+            settle([(root, from_json(text))])
+        return root
+
+    def some(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"host": [pdf["host"].iloc[0]], "root": [to_json(merged(pdf))]})
+
+    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
+        constants = frozenset(int(k) % (1 << 64) for k in pdf["constants"].iloc[0])
+        return pd.DataFrame({"host": [pdf["host"].iloc[0]], "wrapper": [wrapper_of(merged(pdf), constants)]})
+
+    parts = placed.mapInArrow(fit, "host string, root string").withColumn("part", F.pmod(F.xxhash64("root"), F.lit(PARTS_OF_HOST)))
+    parts = parts.groupBy("host", "part").applyInPandas(some, "host string, root string")
+    return sizes.join(parts.join(known.drop("n"), "host").groupBy("host").applyInPandas(whole, "host string, wrapper string"), "host", "left")
+
+
+def extract_main_text(pages: DataFrame, html_col: str = "html", url_col: str = "url", id_col: str = "page_id") -> DataFrame:
     """(page_id, url, text, n_chars) for every row."""
     rows = with_host(small_batches(pages), html_col, url_col, id_col)
-    found = materialise(wrappers(rows, sample_pages), "wrappers")
+    found = materialise(wrappers(rows), "wrappers")
     placed = spread_join(rows, found, ["host"], "n", ["url", "page_id"], PAGES_PER_TASK)
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
 

@@ -874,3 +874,23 @@ def test_headings_of_every_page_stay_within_an_article():
     for n, html in enumerate(pages):
         want = [f"Title {n}", f"{n} said {n} and went on for a while, {n} times.", "Summary", f"In short {n} {n * n}, which is all that there was to say."]
         assert html_wrappers.extract(html, wrapper).split("\n") == want
+
+
+def test_a_wrapper_is_inferred_from_all_pages_of_its_host(spark):
+    """A line on just over half of a host's pages is the template's, one on just under half isn't; copies count once, and nothing depends on how rows are dealt."""
+    def page(n, notice, copy):
+        words = f"{n * n} words of {n} that no other page of this host has, {n} times over and {n + 7} again, so that it is long." if not copy else f"The one article of many dates, which says the same thing on each of them, at length and in full. {'x' * 80}"
+        return f"<div class='top'>Site</div><article><h1>Title {n if not copy else 'one'}</h1><p>{words}</p><p>{notice}</p></article>" + (f"<p class='date'>{n}</p>" if copy else "")
+
+    pages = {f"h{h}": [page(n, "Just over half." if n % 40 < 21 else "Just under half.", False) for n in range(80)] for h in range(4)}
+    pages["copies"] = [page(n, "Its end.", n > 6) for n in range(60)]
+    rows = [(n, f"http://{host}/{n}", html) for host, some in pages.items() for n, html in enumerate(some)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.url: r.text for r in html_wrappers.extract_main_text(df.repartition(7)).collect()}
+    own = {host: html_wrappers.infer_wrapper(some) for host, some in pages.items()}
+    for n, url, html in rows:
+        assert got[url] == html_wrappers.extract(html, own[url.split("/")[2]]), url
+        if "/h" in url:
+            assert ("Just under half." in got[url]) == (n % 40 >= 21) and "Just over half." not in got[url]
+    assert got["http://copies/50"].startswith("Title one\nThe one article of many dates")
+    assert got == {r.url: r.text for r in html_wrappers.extract_main_text(df.coalesce(1)).collect()}
