@@ -660,3 +660,19 @@ def test_columns_of_callers_do_no_harm(spark):
     assert sorted(tuple(r)[1:] for r in coverage.gaps(intervals, lengths, "k").collect()) == [(0, 2), (4, 6)]
     events = spark.createDataFrame([("s", 1, "token", "a", 0, 0), ("s", 2, "done", None, 0, 0)], "k string, seq int, type string, content string, _t int, _s int")
     assert sessions.accumulate(events, "k", "seq", F.col("content"), F.lit(None).cast("string")).first().answer == "a"
+
+
+def test_top_k_of_each_query_limits_partitions_before_its_shuffle(spark):
+    """Of whole rows only the best of each query move; null ids, ties and repeated ids are kept as they are."""
+    rows = [(None if i == 7 else i // 2, "long text " * 5, [float(i % 5), 1.0, float(i % 3)]) for i in range(40)]
+    df = spark.createDataFrame(rows, "chunk_id long, chunk_text string, embedding array<double>").repartition(4)
+    queries = [[1.0, 0.0, 1.0], [0.0, 1.0, 0.5]]
+    found = vector.top_k_each(df, queries, 6)
+    assert "WindowGroupLimit" in found._jdf.queryExecution().executedPlan().toString()
+    got = sorted((r.variation, r["rank"], -1 if r.chunk_id is None else r.chunk_id, r.similarity_score) for r in found.collect())
+    cosine = lambda a, b: round(sum(x * y for x, y in zip(a, b, strict=True)) / sum(x * x for x in a) ** 0.5 / sum(x * x for x in b) ** 0.5, 6)
+    want = []
+    for v, q in enumerate(queries):
+        best = sorted((-cosine(e, q), -1 if i is None else i) for i, _, e in rows)[:6]
+        want += [(v, n, i, -s) for n, (s, i) in enumerate(best)]
+    assert got == want and found.columns == ["chunk_id", "chunk_text", "variation", "similarity_score", "rank"]
