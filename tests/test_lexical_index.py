@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
 import pytest
 
@@ -96,3 +97,24 @@ def test_deleting_everything(spark, tmp_path):
     assert state(spark, path)[0] == 0
     lexical.add_documents(frame(spark, docs), path)
     assert state(spark, path)[0] == 3
+
+
+def test_words_are_counted_in_their_rows_and_files_stay_small(spark, tmp_path, monkeypatch):
+    """No word is shuffled before it is counted; one folder's postings are dealt over files by the number of words, not of documents."""
+    docs = spark.createDataFrame([(i, " ".join(f"W{(i * j) % 97}" for j in range(i))) for i in range(60)] + [(60, None), (61, " \n")], "doc_id long, text string")
+    posted = lexical.postings(docs)
+    assert "Exchange" not in posted._jdf.queryExecution().executedPlan().toString()
+    want = Counter((r.doc_id, w) for r in docs.collect() for w in (r.text or "").lower().split())
+    assert {(r.id, r.term): r.tf for r in posted.collect()} == want
+    assert all(r.dl == r.id for r in posted.collect())
+    monkeypatch.setattr(lexical, "FILE_WORDS", 10)
+    lexical.add_documents(docs, str(tmp_path / "many"))
+    monkeypatch.undo()
+    lexical.add_documents(docs, str(tmp_path / "one"))
+    many, one = (lexical.read_index(spark, str(tmp_path / x)) for x in ("many", "one"))
+    files = Counter(p.parent.name for p in (tmp_path / "many" / "postings").rglob("*.parquet"))
+    assert len(files) == lexical.FOLDERS and min(files.values()) > 1
+    assert sorted(many.scores("w3 w5 w5").collect()) == sorted(one.scores("w3 w5 w5").collect())
+    weights = [{r.term: (r.df, round(r.idf, 9)) for r in x.frequencies().collect()} for x in (many, one)]
+    assert weights[0] == weights[1]
+    assert many.terms.count() == many.n_terms == len({w for _, w in want})
