@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from korvane.session import unused
+from korvane.session import small_batches, unused
 
 EMPTY, ROOT = "[EMPTY]", "ROOT"
 FIELDS = ("title", "level", "parent_section", "summary", "start_words", "end_words", "is_table")
@@ -179,7 +179,7 @@ def pieces(text: str, size: int, overlap: int, separators: Sequence[str] = SEPAR
 
 
 def split_recursive(text: Column, size: int, overlap: int = 0) -> Column:
-    """The pieces of each text."""
+    """The pieces of each text; ``small_batches`` of the rows bounds what a worker holds."""
     if size <= 0 or not 0 <= overlap < size:
         raise ValueError("0 <= overlap < size is needed")
 
@@ -199,7 +199,7 @@ def parent_child_chunks(rows: DataFrame, key: str, text_col: str, parent_size: i
     if parent_size < child_size:
         raise ValueError("a parent is at least as large as a child")
     whole, parent, at, inside = (unused(rows, c) for c in ("_whole", "_parent", "_at", "_in"))
-    parents = rows.select(key, F.col(text_col).alias(whole), F.posexplode(split_recursive(F.col(text_col), parent_size, overlap)).alias("parent_no", parent))
+    parents = small_batches(rows).select(key, F.col(text_col).alias(whole), F.posexplode(split_recursive(F.col(text_col), parent_size, overlap)).alias("parent_no", parent))
     parents = parents.withColumn(at, F.expr(f"instr({whole}, {parent})") - 1).drop(whole)
     children = parents.select("*", F.posexplode(split_recursive(F.col(parent), child_size, overlap)).alias("child_no", "text"))
     number = F.row_number().over(Window.partitionBy(key).orderBy("parent_no", "child_no")) - 1

@@ -6,7 +6,7 @@ import pytest
 from oracle import of_frame, of_sql, tables
 
 import __spark_entry__ as entry
-from korvane.plans import registry
+from korvane.plans import base, learned, registry
 
 
 def test_entry_is_a_top_k(spark):
@@ -47,3 +47,18 @@ def test_filter_and_columns_reach_the_scan(spark, sf):
     assert "EqualTo(label,3)" in plan
     plan = plan_of(registry.QUERIES["document_tokens"](spark, sf))
     assert "doc_id" not in plan.split("ReadSchema")[-1]
+
+
+@pytest.mark.parametrize("name", ["split_recursive", "parent_child_chunks", "search_learned"])
+def test_python_gets_few_texts_at_a_time(spark, sf, name, monkeypatch, tmp_path):
+    """What a worker holds doesn't grow with the rows of its partition."""
+
+    def made_anew(spark, sf_dir, table, tag, ready, make):
+        make(base.table(spark, sf_dir, table), str(tmp_path / tag))
+        return str(tmp_path / tag)
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    monkeypatch.setattr(learned, "stored", made_anew)
+    spark.conf.set(key, 10_000)
+    registry.QUERIES[name](spark, sf)
+    assert int(spark.conf.get(key)) <= 500
