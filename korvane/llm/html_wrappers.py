@@ -49,6 +49,8 @@ from .common import materialise, small_batches, spread_join
 PAGES_PER_TASK = 2000
 #: Wrappers that a task holds before it hands them on, and parts that those of a host are dealt over when they are aligned. Both only steer the cost.
 HELD_HOSTS, PARTS_OF_HOST = 1000, 32
+#: Sequences of children that an element remembers, and how long they may be.
+MET = 50
 #: Pages that share a text before it counts as the template's, and the share of the host's pages that they must be.
 LEAST_PAGES, LEAST_SHARE = 3, 0.5
 #: Two pages with no more than this share of their text to themselves are copies of one.
@@ -202,7 +204,7 @@ class Node:
     A name is a signature, for the second and later ones of a fixed number of them followed by ``/`` and its number, or T.
     """
 
-    __slots__ = ("order", "joined", "again", "optional", "kids", "counts", "many", "seen", "own")
+    __slots__ = ("order", "joined", "again", "optional", "kids", "counts", "many", "seen", "own", "met")
 
     def __init__(self) -> None:
         self.order: list[str] = []
@@ -214,12 +216,17 @@ class Node:
         self.many: set[str] = {TEXT}  # kinds that don't
         self.seen = 0
         self.own = 0  # characters of varying text right in this element
+        self.met: set[tuple[str, ...]] = set()  # some sequences that it accepts, which need no second look
 
     def name(self, kind: str, n: int) -> str:
         return kind if n == 1 or kind in self.many else f"{kind}/{n}"
 
     def align(self, names: list[str], counts: dict[str, int]) -> None:
         """Accept one more sequence of children; ``counts`` has how many of each kind it holds."""
+        sequence = tuple(names)
+        if sequence in self.met:
+            self.seen += 1
+            return
         todo: list[tuple[Node, Node]] = []
         for kind, n in counts.items():
             if kind not in self.many and self.counts.setdefault(kind, n) != n:
@@ -227,6 +234,8 @@ class Node:
         self.place([k if k == TEXT or (kind := k.partition("/")[0]) not in self.many else kind for k in names])
         self.seen += 1
         settle(todo)
+        if len(self.met) < MET and len(sequence) <= MET:
+            self.met.add(sequence)
 
     def place(self, names: list[str]) -> dict[str, int]:
         """Put new names behind those that they follow; orders that contradict each other become one repeated group."""
