@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import small_batches
-from .tokens import encoder
+from .tokens import encoder, joined
 
 MAGIC = b"KVRANS01"
 FILE_IDS = 1 << 20  # a file ends with the document that reaches this many
@@ -166,7 +166,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, text_col: str = "text"
             data = to_file(np.array(doc_ids, np.int64), np.array([len(x) // 4 for x in texts_ids]), np.frombuffer(b"".join(texts_ids), "<u4"))
             return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((part, chunk, first, n, data), schema, strict=True)], schema=schema)
 
-        for batch in batches:
+        for batch in joined(batches):
             for doc_id, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1)), strict=True):
                 doc_ids.append(doc_id)
                 texts_ids.append(ids + end)

@@ -15,6 +15,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings
@@ -68,6 +69,31 @@ def test_special_strings_in_texts(path, space, plain):
     assert (got[0] != library(path, not plain)(texts[0])) and got[3] == library(path, not plain)(texts[3])
 
 
+@pytest.mark.parametrize(("path", "space"), [(WORD, False), (BYTE, True)])
+def test_kept_pieces_are_bounded_and_give_the_same_ids(path, space, monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE_PIECES", 60)
+    monkeypatch.setattr(tokens, "CACHE_BYTES", 4000)
+    rng, encode, want = random.Random(3), tokens.PieceEncoder(path, space), library(path)
+    for _ in range(40):
+        some = ["".join(rng.choices("abé", k=rng.choice([1, 3, 700]))) + rng.choice(["", ".", ",", "?!", "1", "\n", " \n x"]) for _ in range(25)]
+        texts = [" ".join(some), "\n".join(some[:5]), None, some[0]]
+        assert [np.frombuffer(x, "<u4").tolist() for x in encode.encode(texts)] == list(map(want, texts))
+        encode.encode(["a"])  # what the batch before left over is dropped first
+        assert len(encode.known) <= 61 and pa.concat_arrays([encode.known]).nbytes + encode.ids.nbytes <= 4100
+
+
+def test_known_pieces_are_not_encoded_again_and_short_batches_are_joined(monkeypatch):
+    encode, given_ = tokens.PieceEncoder(BYTE, True), []
+    real = encode._encode
+    monkeypatch.setattr(encode, "_encode", lambda texts: given_.extend(texts) or real(texts))
+    want = encode.encode(["one two, 12 three\nfour 5\n6"])
+    given_.clear()
+    assert encode.encode(["one two, 12 three\nfour 5\n6"]) == want and given_ == ["one"]  # a text's first piece isn't kept
+    batches = [pa.record_batch({"id": [i], "text": ["x" * n]}) for i, n in enumerate([10, 10, tokens.BATCH_BYTES, 10, 0])]
+    sizes = [b.column(0).to_pylist() for b in tokens.joined(iter(batches))]
+    assert sizes == [[0, 1], [2], [3, 4]] and list(tokens.joined(iter([]))) == []
+
+
 def test_packing(spark, sf):
     rows = queries.op1_pack_powers_of_two(spark, sf).collect()
     encode, texts = library(WORD), texts_of(spark, sf)
