@@ -32,6 +32,27 @@ def test_common_is_the_longest_common_subsequence(a, b):
     assert alignment.common(a, b) == subsequence(a, b)
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(0, 4), max_size=80), st.lists(st.lists(st.integers(0, 4), min_size=30, max_size=30), max_size=4))
+def test_common_of_several_at_once(a, others):
+    assert alignment.commons(a, others) == [subsequence(a, b) for b in others]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(0, 9), max_size=60))
+def test_marks_are_the_last_of_the_least_of_each_window(tokens):
+    hashes = np.array(tokens, np.uint64)
+    got = dict(zip(*[x.tolist() for x in alignment.marks(hashes)][::-1], strict=True))
+    n = max(0, len(tokens) - alignment.SHINGLE + 1)
+    run = lambda i: tuple(tokens[i : i + alignment.SHINGLE])
+    shingle = {i: alignment.marks(hashes[i : i + alignment.SHINGLE])[0][0].astype(np.uint64) for i in range(n)}
+    width = min(alignment.WINDOW, n)
+    want = sorted({min(range(i, i + width), key=lambda j: (shingle[j], -j)) for i in range(n - width + 1)}) if n else []
+    seen = Counter()
+    kept = [i for i in want if (seen.update([run(i)]), seen[run(i)])[1] <= alignment.REPEATS]
+    assert sorted(got) == kept and all(np.int64(got[i]).astype(np.uint64) == shingle[i] for i in kept)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="aAéÉ_9 \n.,-\U0001f600中x", max_size=60))
 def test_tokens_have_their_places(text):
@@ -99,6 +120,22 @@ def test_punctuation_is_told_apart_only_as_tokens(spark):
     assert (r.start, r.end, r.similarity, r.matched) == (5, 42, 1.0, True)
 
 
+def test_texts_move_once_and_a_document_is_cut_into_tokens_once(spark, monkeypatch):
+    documents = spark.createDataFrame([(1, "a b c d e f g h i j k l m n"), (2, "one two three four"), (2, "four five six")], "doc_id long, text string")
+    chunks = spark.createDataFrame([(1, 0, "c d e f g h i j"), (1, None, "c d e f g h i j"), (2, 0, "four five six"), (3, 0, "c d e f g h i j")], "doc_id long, chunk_no long, text string")
+    found = alignment.locate(documents, chunks)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("Repartition") == 1
+    rows = sorted((r.doc_id, -1 if r.chunk_no is None else r.chunk_no, r.start, r.end, r.similarity) for r in found.collect())
+    assert rows == [(1, -1, -1, -1, 0.0), (1, 0, 4, 19, 1.0), (2, 0, -1, -1, 0.0), (2, 0, 0, 13, 1.0), (3, 0, -1, -1, 0.0)]
+    calls, real = [], alignment.positioned_tokens
+    monkeypatch.setattr(alignment, "positioned_tokens", lambda text: calls.append(text) or real(text))
+    document = alignment.Located("a b c d e f g h i j k l m n")
+    for part in ("c d e f g h i j", "e f g h i j k l"):
+        alignment.best_place(document.tokens, real(part)[0], document.starts(real(part)[0]))
+    assert calls == ["a b c d e f g h i j k l m n"]
+
+
 def test_a_repeating_document(spark):
     documents = spark.createDataFrame([(1, "again and again " * 4000)], "doc_id long, text string")
     chunks = spark.createDataFrame([(1, i, "again and again " * 20) for i in range(50)], "doc_id long, chunk_no long, text string")
